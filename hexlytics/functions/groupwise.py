@@ -1,0 +1,56 @@
+"""Counting helpers for one bounded group of rows inside a task."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import numpy as np
+import pandas as pd
+
+
+def concordance(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> int:
+    """Weighted concordant minus discordant pairs; pairs tied in x or y count nothing.
+
+    Each (x, y) occurs once, with a weight. Rows in (x, y) order are paired by halving: every
+    pair of positions meets in exactly one block, one row in its left half, one in its right.
+    """
+    if len(x) < 2:
+        return 0
+    total = int(weight.sum())
+    kind = np.int64 if total < 2_000_000_000 else object
+    order = np.lexsort((y, x))
+    x, y, weight = x[order], y[order], weight[order].astype(kind)
+    y_rank = np.unique(y, return_inverse=True)[1]
+    place = np.arange(len(x))
+    signed, width = 0, 1
+    while width < len(x):
+        block = place // (2 * width)
+        left = (place // width) % 2 == 0
+        by = np.lexsort((y_rank, block))
+        sorted_block, sorted_y = block[by], y_rank[by]
+        sorted_left, sorted_weight = left[by], weight[by]
+        running = np.cumsum(np.where(sorted_left, sorted_weight, 0))
+        new_block = np.r_[True, sorted_block[1:] != sorted_block[:-1]]
+        new_tie = new_block | np.r_[True, sorted_y[1:] != sorted_y[:-1]]
+        tie = np.cumsum(new_tie) - 1
+        blk = np.cumsum(new_block) - 1
+        before = np.r_[np.zeros(1, dtype=running.dtype), running[:-1]]
+        tie_start = before[new_tie][tie]
+        tie_end = running[np.r_[np.flatnonzero(new_tie)[1:] - 1, len(x) - 1]][tie]
+        block_start = before[new_block][blk]
+        block_end = running[np.r_[np.flatnonzero(new_block)[1:] - 1, len(x) - 1]][blk]
+        balance = (tie_start - block_start) - (block_end - tie_end)
+        signed += int(np.where(sorted_left, 0, sorted_weight * balance).sum())
+        width *= 2
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    sums = np.add.reduceat(weight, starts)
+    squares = np.add.reduceat(weight * weight, starts)
+    same_x = int((sums * sums - squares).sum()) // 2
+    return signed - same_x
+
+
+def concordance_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    value = concordance(
+        rows["x"].to_numpy(), rows["y"].to_numpy(), rows["weight"].to_numpy()
+    )
+    return pd.DataFrame({"signed": [Decimal(value)]})
