@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hexlytics import constants as K
 
@@ -91,10 +91,12 @@ def parse_moment(text: Column) -> Column:
     )
 
 
-def arrest_flag(arrest: Column) -> Column:
+def arrest_flag(df: DataFrame, name: str) -> Column:
     """1 for yes in any accepted spelling, 0 for no and unknown."""
-    yes = F.lower(arrest.cast("string")).isin(TRUE_WORDS)
-    return F.when(yes, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    arrest = F.col(name)
+    if dict(df.dtypes)[name] != "boolean":
+        arrest = F.lower(arrest.cast("string")).isin(TRUE_WORDS)
+    return F.when(arrest, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
 
 
 def title_case(text: Column) -> Column:

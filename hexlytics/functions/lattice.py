@@ -59,38 +59,19 @@ def radius_km(res: int) -> float:
     return K.FINEST_RADIUS_KM * math.sqrt(7.0) ** (FINEST - res)
 
 
-def locate_plane(df: DataFrame, x: str, y: str, radius: float, i: str, j: str) -> DataFrame:
-    """Nearest lattice cell of a plane point; null in, null out."""
-    fi = F.col(x) / F.lit(radius * ROOT3) + F.col(y) / F.lit(3.0 * radius)
-    fj = F.col(y) / F.lit(1.5 * radius)
-    kept = df.columns
+def nearest_cell(x: Column, y: Column, radius: float) -> tuple[Column, Column]:
+    """Nearest lattice cell of a plane point; null in, null out.
+
+    A point lies in a cell when its three differences of cube coordinates are each within 1 of
+    the cell's. Their floors leave three consecutive candidates for three times a coordinate,
+    and one of those is a multiple of three.
+    """
+    across = x / F.lit(radius * ROOT3)
+    up = y / F.lit(radius)
+    right, left, double = F.floor(across + up), F.floor(across - up), F.floor(across * -2.0)
     return (
-        df.select(*kept, fi.alias("_fi"), fj.alias("_fj"))
-        .select(
-            "*",
-            _nearest(F.col("_fi")).alias("_a"),
-            _nearest(F.col("_fj")).alias("_b"),
-            _nearest(F.col("_fi") - F.col("_fj")).alias("_d"),
-        )
-        .select(
-            "*",
-            F.abs(F.col("_fi") - F.col("_a")).alias("_ea"),
-            F.abs(F.col("_fj") - F.col("_b")).alias("_eb"),
-            F.abs(F.col("_fi") - F.col("_fj") - F.col("_d")).alias("_ed"),
-        )
-        .select(
-            *kept,
-            F.when(
-                (F.col("_ea") > F.col("_eb")) & (F.col("_ea") > F.col("_ed")),
-                F.col("_b") + F.col("_d"),
-            ).otherwise(F.col("_a")).alias(i),
-            F.when(
-                (F.col("_ea") > F.col("_eb")) & (F.col("_ea") > F.col("_ed")), F.col("_b")
-            )
-            .when(F.col("_eb") > F.col("_ed"), F.col("_a") - F.col("_d"))
-            .otherwise(F.col("_b"))
-            .alias(j),
-        )
+        F.floor((right - double + 1) / 3.0),
+        -F.floor((left - right + 1) / 3.0),
     )
 
 
@@ -99,23 +80,18 @@ def locate(df: DataFrame, i: str, j: str, lat: str = "latitude", lon: str = "lon
     """Direct assignment at one level (any level, not by way of parents of the finest)."""
     lat0, lon0 = K.CITY_CENTRE
     ok = inside_cell_box(F.col(lat), F.col(lon))
-    kept = df.columns
     plane = df.select(
-        *kept,
+        *df.columns,
         F.when(ok, (F.col(lon) - F.lit(lon0)) * F.lit(K.KM_PER_LON)).alias("_x"),
         F.when(ok, (F.col(lat) - F.lit(lat0)) * F.lit(K.KM_PER_LAT)).alias("_y"),
     )
-    if res != FINEST:
-        # Coarser lattices are turned against the finest one; undo the turn before rounding.
-        turn = rotation(res)
-        cos, sin = math.cos(-turn), math.sin(-turn)
-        plane = plane.select(
-            *kept,
-            (F.col("_x") * F.lit(cos) - F.col("_y") * F.lit(sin)).alias("_x"),
-            (F.col("_x") * F.lit(sin) + F.col("_y") * F.lit(cos)).alias("_y"),
-        )
-    placed = locate_plane(plane, "_x", "_y", radius_km(res), i, j)
-    return placed.select(*kept, i, j)
+    x, y = F.col("_x"), F.col("_y")
+    if rotation(res):
+        # Every second level is turned against the finest one; undo the turn first.
+        cos, sin = math.cos(rotation(res)), math.sin(rotation(res))
+        x, y = x * F.lit(cos) + y * F.lit(sin), y * F.lit(cos) - x * F.lit(sin)
+    cell_i, cell_j = nearest_cell(x, y, radius_km(res))
+    return plane.select(*df.columns, cell_i.alias(i), cell_j.alias(j))
 
 
 def with_levels(df: DataFrame, i: str = "_i", j: str = "_j") -> DataFrame:

@@ -15,7 +15,7 @@ FINEST = f"h3_r{L.FINEST}"
 
 def _flag(df: DataFrame):
     name = S.first_present(df, K.ARREST_NAMES)
-    return arrest_flag(F.col(name)) if name else F.lit(0).cast("bigint")
+    return arrest_flag(df, name) if name else F.lit(0).cast("bigint")
 
 
 def daily_counts(df: DataFrame, cell: str) -> DataFrame:
@@ -66,8 +66,11 @@ def month_priors(daily: DataFrame, by: Sequence[str] = ("res", "year", "month"))
 
 def with_prior(df: DataFrame, priors: DataFrame, by: Sequence[str] = ("res", "year", "month")
                ) -> DataFrame:
-    """The prior table has one row per level and calendar month, which bounds the broadcast."""
-    return df.join(F.broadcast(priors), list(by), "left")
+    """The prior table has one row per level and calendar month, which bounds the broadcast.
+
+    Every dated row has a prior. The inner join lets both sides share one scan and shuffle.
+    """
+    return df.join(F.broadcast(priors), list(by))
 
 
 def with_rates(df: DataFrame, alpha: float = K.PRIOR_WEIGHT) -> DataFrame:

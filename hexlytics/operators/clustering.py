@@ -102,7 +102,8 @@ def cluster_incidents(df: DataFrame, cell: str, bin_radius: float = 0.25, min_bi
     """Embed incidents by their cyclic codes and label density clusters: cell, embedding,
     cluster (-1 = noise)."""
     points = embedding(df).select(cell, "embed_x", "embed_y")
-    placed = L.locate_plane(points, "embed_x", "embed_y", bin_radius, "i", "j")
+    i, j = L.nearest_cell(F.col("embed_x"), F.col("embed_y"), bin_radius)
+    placed = points.select("*", i.alias("i"), j.alias("j"))
     counts = placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
     regions = dense_regions(counts, min_bin, min_size).select("i", "j", "cluster")
     return placed.join(regions, ["i", "j"]).select(cell, "embed_x", "embed_y", "cluster")

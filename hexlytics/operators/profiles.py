@@ -15,7 +15,7 @@ def _incidents() -> Column:
 def _arrests(df: DataFrame) -> Column:
     if "arrest_made" not in df.columns:
         return F.sum(F.lit(0)).cast("bigint").alias("arrests")
-    return F.sum(arrest_flag(F.col("arrest_made"))).alias("arrests")
+    return F.sum(arrest_flag(df, "arrest_made")).alias("arrests")
 
 
 def daily_series(df: DataFrame) -> DataFrame:

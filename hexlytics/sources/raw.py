@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hexlytics import schemas as S
 
 
+# Quotes are doubled and blanks kept, in both directions.
+CSV = {
+    "header": True, "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Yearly files as text columns; types come later, so nothing is lost on read."""
-    return (
-        spark.read.schema(S.RAW_SCHEMA).option("header", True).option("escape", '"')
-        .csv(paths if isinstance(paths, str) else list(paths))
+    rows = spark.read.schema(S.RAW_SCHEMA).options(**CSV).csv(
+        paths if isinstance(paths, str) else list(paths)
     )
+    return rows.select(*S.RAW_SCHEMA.names)
 
 
 def read_monthly_raw(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -22,8 +29,8 @@ def read_monthly_raw(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     out = None
     for path in paths:
         part = (
-            spark.read.option("header", True).option("escape", '"')
-            .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).csv(path)
+            spark.read.options(**CSV).option("ignoreCorruptFiles", True)
+            .option("ignoreMissingFiles", True).csv(path)
         )
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
@@ -35,8 +42,7 @@ def write_raw_by_year(df: DataFrame, path: str, year: str = "year") -> None:
     """Consolidate to one folder per year."""
     (
         df.withColumn("file_year", F.col(year)).hint("rebalance", "file_year")
-        .write.mode("overwrite").option("header", True).option("escape", '"')
-        .partitionBy("file_year").csv(path)
+        .write.mode("overwrite").options(**CSV).partitionBy("file_year").csv(path)
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics import schemas as S
 from hexlytics.plans.bronze import bronze
+from hexlytics.sources.raw import CSV
 
 
 def load_new_files(spark: SparkSession, raw_path: str, bronze_path: str, checkpoint: str) -> None:
@@ -25,8 +26,7 @@ def load_new_files(spark: SparkSession, raw_path: str, bronze_path: str, checkpo
         )
 
     (
-        spark.readStream.schema(S.RAW_SCHEMA).option("header", True).option("escape", '"')
-        .csv(raw_path)
+        spark.readStream.schema(S.RAW_SCHEMA).options(**CSV).csv(raw_path)
         .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start().awaitTermination()
     )
