@@ -1,4 +1,4 @@
 """Registered queries over the test tables, with a SQL statement of each expected result."""
 
-from workload import cell_queries, layer_queries  # noqa: F401
+from workload import cell_queries, hotspot_queries, layer_queries  # noqa: F401
 from workload.registry import EXPECTED, QUERIES  # noqa: F401
