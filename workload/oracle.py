@@ -312,19 +312,19 @@ def hotspots(res: int, focus: str | None, scope: str | None = None) -> str:
 # ------------------------------------------------------------------- numeric tail probabilities
 
 def integral(density: str, low: str, high: str, steps: int = 20000) -> str:
-    """Simpson's rule; ``density`` is written over ``t``."""
+    """Simpson's rule; ``density`` is written over ``xx``."""
     return f"""(SELECT sum(CASE WHEN g = 0 OR g = {steps} THEN 1.0 WHEN g % 2 = 1 THEN 4.0 ELSE 2.0 END
         * ({density})) * (({high}) - ({low})) / {3 * steps}.0
-      FROM (SELECT g, ({low}) + (({high}) - ({low})) * g / {steps}.0 AS t FROM range({steps + 1}) r(g)))"""
+      FROM (SELECT g, ({low}) + (({high}) - ({low})) * g / {steps}.0 AS xx FROM range({steps + 1}) r(g)))"""
 
 
 def two_sided_normal(z: str) -> str:
-    body = integral("exp(-t * t / 2) / sqrt(2 * pi())", "0", f"least(abs({z}), 12)")
+    body = integral("exp(-xx * xx / 2) / sqrt(2 * pi())", "0", f"least(abs({z}), 12)")
     return f"greatest(0.0, 1.0 - 2.0 * {body})"
 
 
 def two_sided_student(t: str, df: str) -> str:
     # With u = atan(x / sqrt(df)) the density becomes a power of a cosine on a bounded range.
     ratio = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi())"
-    body = integral(f"pow(cos(t), {df} - 1)", "0", f"atan(abs({t}) / sqrt({df}))")
+    body = integral(f"pow(cos(xx), {df} - 1)", "0", f"atan(abs({t}) / sqrt({df}))")
     return f"greatest(0.0, 1.0 - 2.0 * {ratio} * {body})"
