@@ -8,18 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hexlytics import constants as K
 
-# --- fixed values: house-number patterns -------------------------------------------------------
-MASKED_HOUSE_NUMBER = r"^\d{3,4}XX\s+"
-HOUSE_NUMBER = r"^\d+\s+"
+# --- fixed values: house numbers (masked, then plain) and blanks around, US date and time ------
+BEFORE_STREET = r"^(?:\d{3,4}XX\s+)?(?:\d+\s+)?\s*|\s+$"
+US_MOMENT = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}):(\d{2}):(\d{2}) [AP]M$"
 
 TRUE_WORDS = ["true", "1", "1.0"]
 
 
 def street_name(block: Column) -> Column:
-    text = F.upper(F.coalesce(block, F.lit("")))
-    for pattern in (MASKED_HOUSE_NUMBER, HOUSE_NUMBER, r"^\s+|\s+$"):
-        text = F.regexp_replace(text, pattern, "")
-    return text
+    return F.regexp_replace(F.upper(F.coalesce(block, F.lit(""))), BEFORE_STREET, "")
 
 
 def cyclic(value: Column, period: int) -> tuple[Column, Column]:
@@ -57,12 +54,13 @@ def cyclic_parts() -> dict[str, Column]:
 
 
 def category_of(offense: Column) -> Column:
-    """Broad category; set lookups of literals, so no join and no shuffle."""
-    key = F.trim(F.upper(offense), F.lit(" \t\r\n"))
-    branch = F.lit(K.UNCLASSIFIED)
-    for category, types in K.CATEGORY_TYPES.items():
-        branch = F.when(key.isin(types), F.lit(category)).otherwise(branch)
-    return branch
+    """Broad category: one lookup in a constant map, so no join and no shuffle."""
+    pairs = [
+        F.lit(text) for category, types in K.CATEGORY_TYPES.items()
+        for offense_type in types for text in (offense_type, category)
+    ]
+    key = F.trim(F.upper(offense))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(K.UNCLASSIFIED))
 
 
 def tolerant_cast(text: Column, to: str) -> Column:
@@ -74,20 +72,22 @@ def tolerant_cast(text: Column, to: str) -> Column:
     return text if to == "string" else text.try_cast(to)
 
 
-def parse_moment(text: Column) -> Column:
-    """ISO text, or month/day/year with a 12-hour clock; anything else is null."""
-    us = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}):(\d{2}):(\d{2}) ([AP]M)$"
-    hour12 = F.regexp_extract(text, us, 4).try_cast("int") % 12
-    hour = hour12 + F.when(F.regexp_extract(text, us, 7) == "PM", 12).otherwise(0)
-    us_iso = F.concat(
-        F.regexp_extract(text, us, 3), F.lit("-"), F.regexp_extract(text, us, 1), F.lit("-"),
-        F.regexp_extract(text, us, 2), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"),
-        F.regexp_extract(text, us, 5), F.lit(":"), F.regexp_extract(text, us, 6),
+def iso_text(text: Column) -> Column:
+    """Month/day/year with a 12-hour clock rearranged as ISO text; other text unchanged."""
+    return F.regexp_replace(text, US_MOMENT, "$3-$1-$2 $4:$5:$6")
+
+
+def with_moment(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Parse ISO text, or month/day/year with a 12-hour clock; anything else is null."""
+    kept = [c for c in df.columns if c != out]
+    clock = F.hour("_at")
+    shift = (
+        F.when(F.col(text).endswith("PM") & (clock < 12), 12)
+        .when(F.col(text).endswith("AM") & (clock == 12), -12)
     )
-    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$")
-    return (
-        F.when(iso, text.try_cast("timestamp_ntz"))
-        .when(text.rlike(us), us_iso.try_cast("timestamp_ntz"))
+    shifted = F.col("_at") + F.make_dt_interval(hours=shift)
+    return df.select(*kept, iso_text(F.col(text)).try_cast("timestamp_ntz").alias("_at")).select(
+        *kept, F.when(shift.isNotNull(), shifted).otherwise(F.col("_at")).alias(out)
     )
 
 

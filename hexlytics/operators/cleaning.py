@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hexlytics import constants as K
-from hexlytics.functions.features import parse_moment, tolerant_cast
+from hexlytics.functions.features import tolerant_cast, with_moment
 
 STANDARD_NAME = {raw: name for raw, name, _ in K.RAW_COLUMNS}
 STANDARD_TYPE = {name: kind for _, name, kind in K.RAW_COLUMNS}
@@ -45,8 +45,9 @@ def cast_failures(df: DataFrame) -> DataFrame:
 
 
 def with_datetime(df: DataFrame) -> DataFrame:
-    at = parse_moment(F.col("created_date")) if "created_date" in df.columns else F.lit(None)
-    return df.withColumn("datetime", at.cast("timestamp_ntz"))
+    if "created_date" not in df.columns:
+        return df.withColumn("datetime", F.lit(None).cast("timestamp_ntz"))
+    return with_moment(df, "created_date", "datetime")
 
 
 def with_partition_values(df: DataFrame) -> DataFrame:

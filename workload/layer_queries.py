@@ -23,9 +23,7 @@ _RAW_NAMES = ", ".join(S.RAW_SCHEMA.names)
 
 @query(sql(f"SELECT {_RAW_NAMES} FROM raw", "raw"))
 def raw_yearly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "raw-yearly")
-    R.write_raw_by_year(raw_incidents(spark, sf_dir), path)
-    return R.read_raw(spark, path)
+    return ST.raw_rows(spark, sf_dir)
 
 
 @query(sql("""SELECT id, date, primary_type,
@@ -78,7 +76,7 @@ _BRONZE = [name for _, name, _ in K.RAW_COLUMNS] + ["datetime", "year", "month"]
 
 @query(sql(f"SELECT {', '.join(_BRONZE)} FROM l1", "l1"))
 def bronze_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bronze(raw_incidents(spark, sf_dir))
+    return bronze(ST.raw_rows(spark, sf_dir))
 
 
 @query(sql("""SELECT * FROM (
@@ -92,7 +90,7 @@ def bronze_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'latitude', 0
     UNION ALL SELECT 'longitude', count(*) FILTER (WHERE longitude = 'abc') FROM raw)""", "typed"))
 def cast_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cast_failures(C.known_columns(C.standard_names(raw_incidents(spark, sf_dir))))
+    return C.cast_failures(C.known_columns(C.standard_names(ST.raw_rows(spark, sf_dir))))
 
 
 @query(sql(f"""SELECT *, total_rows - kept_rows AS dropped_rows,
@@ -102,7 +100,7 @@ def cast_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM typed WHERE latitude IS NULL OR longitude IS NULL) AS null_coordinates,
     (SELECT count(*) FROM l1) AS kept_rows)""", "typed", "l1"))
 def load_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.load_quality(typed(raw_incidents(spark, sf_dir))))
+    return rounded(C.load_quality(typed(ST.raw_rows(spark, sf_dir))))
 
 
 _FILLS = [*K.TEXT_FILL_COLUMNS, *K.ID_FILL_COLUMNS]
@@ -114,7 +112,7 @@ _FILLS = [*K.TEXT_FILL_COLUMNS, *K.ID_FILL_COLUMNS]
   FROM (SELECT *, datetime IS NULL OR latitude IS NULL OR longitude IS NULL AS bad FROM typed)""",
     "typed"))
 def fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.fill_report(typed(raw_incidents(spark, sf_dir)))
+    return C.fill_report(typed(ST.raw_rows(spark, sf_dir)))
 
 
 @query(sql("""SELECT year, month, count(*) AS incidents, count(DISTINCT id) AS ids FROM l1
@@ -172,7 +170,7 @@ def canonical_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     " '^\\d{3,4}XX\\s+', ''), '^\\d+\\s+', ''), '^\\s+|\\s+$', '', 'g')"
 ) + " AS street_norm FROM raw)", "raw"))
 def street_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_incidents(spark, sf_dir).select("id", X.street_name(F.col("block")).alias("street_norm"))
+    return ST.raw_rows(spark, sf_dir).select("id", X.street_name(F.col("block")).alias("street_norm"))
 
 
 @query(sql("""SELECT block, string_agg(CASE WHEN k > 1 AND regexp_matches(substr(block, k - 1, 1), '[A-Za-z]')
@@ -180,7 +178,7 @@ def street_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT block, unnest(range(1, length(block) + 1)) AS k FROM (
       SELECT DISTINCT block FROM raw WHERE block IS NOT NULL)) GROUP BY block""", "raw"))
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = raw_incidents(spark, sf_dir).where("block IS NOT NULL").select("block").distinct()
+    blocks = ST.raw_rows(spark, sf_dir).where("block IS NOT NULL").select("block").distinct()
     return blocks.select("block", X.title_case(F.col("block")).alias("title"))
 
 

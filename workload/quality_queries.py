@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics import schemas as S
-from hexlytics.functions.features import parse_moment
+from hexlytics.functions.features import with_moment
 from hexlytics.operators import clustering as G, quality as Q
 from hexlytics.plans.bronze import typed
 from hexlytics.session import scratch_path
@@ -59,7 +59,7 @@ def silver_schema_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT CAST(year AS INT) AS year, count(*) AS raw_count FROM raw GROUP BY ALL)
     LEFT JOIN (SELECT year, count(*) AS kept_count FROM l1 GROUP BY year) USING (year)""", "raw", "l1"))
 def rows_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, kept = raw_incidents(spark, sf_dir), ST.bronze_rows(spark, sf_dir)
+    raw, kept = ST.raw_rows(spark, sf_dir), ST.bronze_rows(spark, sf_dir)
     return rounded(Q.rows_per_year(raw, kept, F.col("year").cast("int"), F.col("year")))
 
 
@@ -71,7 +71,7 @@ def rows_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
           latitude BETWEEN 41.0 AND 42.5 AND longitude BETWEEN -88.5 AND -87.0)) AS out_of_bounds
       FROM typed GROUP BY incident_year)""", "typed"))
 def coordinate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed(raw_incidents(spark, sf_dir))
+    rows = typed(ST.raw_rows(spark, sf_dir))
     return rounded(Q.coordinate_report(rows, F.col("incident_year")))
 
 
@@ -112,13 +112,13 @@ def cell_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all typed rows, those with missing or far coordinates included."""
     from hexlytics.functions.lattice import assign_cells
 
-    rows = typed(raw_incidents(spark, sf_dir)).select("latitude", "longitude")
+    rows = typed(ST.raw_rows(spark, sf_dir)).select("latitude", "longitude")
     return rounded(Q.cell_success(assign_cells(rows)))
 
 
 @query(sql("SELECT id, datetime FROM typed", "typed"))
 def parsed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_incidents(spark, sf_dir).select("id", parse_moment(F.col("date")).alias("datetime"))
+    return with_moment(ST.raw_rows(spark, sf_dir).select("id", "date"), "date", "datetime").drop("date")
 
 
 # -------------------------------------------------------------------------------- clusters

@@ -14,7 +14,7 @@ from hexlytics.plans.silver import silver
 from hexlytics.operators.cells import drill_map
 from hexlytics.functions import lattice as L
 from hexlytics.session import scratch_path
-from hexlytics.sources import layers as T
+from hexlytics.sources import layers as T, raw as R
 from pyspark.sql import functions as F
 from workload.fixture import raw_incidents
 
@@ -30,9 +30,17 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build, write) -> str:
     return _paths[key]
 
 
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows as yearly CSV files."""
+    path = _stored(
+        spark, sf_dir, "raw", lambda: raw_incidents(spark, sf_dir), R.write_raw_by_year
+    )
+    return R.read_raw(spark, path)
+
+
 def bronze_path(spark: SparkSession, sf_dir: str) -> str:
     return _stored(
-        spark, sf_dir, "bronze", lambda: bronze(raw_incidents(spark, sf_dir)), T.write_bronze
+        spark, sf_dir, "bronze", lambda: bronze(raw_rows(spark, sf_dir)), T.write_bronze
     )
 
 
