@@ -43,6 +43,7 @@ def _top_values(df: DataFrame, cell: str, fields: Sequence[tuple[str, Column]])
     of the table reaches the second step as one row per distinct value and task.
     """
     nothing = F.lit(None)
+    # The blank entry keeps a cell that has no value in any field.
     entries = F.array(
         *[
             F.struct(
@@ -50,7 +51,7 @@ def _top_values(df: DataFrame, cell: str, fields: Sequence[tuple[str, Column]])
                 (column if name in NUMBER_FIELDS else nothing).cast("bigint").alias("number"),
                 (nothing if name in NUMBER_FIELDS else column).cast("string").alias("text"),
             )
-            for name, column in fields
+            for name, column in [*fields, ("", nothing)]
         ]
     )
     known = F.col("number").isNotNull() | F.col("text").isNotNull()
@@ -60,14 +61,15 @@ def _top_values(df: DataFrame, cell: str, fields: Sequence[tuple[str, Column]])
         .groupBy("h3_id", "field", "number", "text").agg(F.count(F.lit(1)).alias("n"))
     )
     entry = F.struct((-F.col("n")).alias("r"), "number", "text")
-    return counts.groupBy("h3_id").agg(
-        *[F.min(F.when((F.col("field") == name) & known, entry)).alias(name) for name, _ in fields]
-    )
+    best = [F.min(F.when((F.col("field") == name) & known, entry)).alias(name) for name, _ in fields]
+    return counts.groupBy("h3_id").agg(F.sum("n").alias("entries"), *best)
 
 
 def build_context(df: DataFrame, cell: str) -> DataFrame:
     """Typical offense, street, block, district, ward and area per cell, with counts."""
     present = [(c, a) for c, a in CONTEXT_FIELDS if c in df.columns]
+    if not present:
+        return df.select(F.col(cell).alias("h3_id")).limit(0)
     best = _top_values(df, cell, [(c, F.col(c)) for c, _ in present])
     known = [F.col(c).isNotNull() for c, _ in present]
     out = best.where(F.coalesce(*[F.when(k, True) for k in known], F.lit(False)))
@@ -134,8 +136,9 @@ def colour_range(summary: DataFrame, metric: str) -> DataFrame:
     """(low, high) of the map colours for a metric; (0, 1) without cells."""
     value = F.coalesce(F.col(metric).cast("double"), F.lit(0.0))
     if metric in SHARE_METRICS:
-        high = F.greatest(F.max(value), F.lit(0.1))
-        return summary.agg(F.lit(0.0).alias("low"), F.coalesce(high, F.lit(1.0)).alias("high"))
+        top = F.max(value)
+        high = F.when(top.isNull(), 1.0).otherwise(F.greatest(top, F.lit(0.1)))
+        return summary.agg(F.lit(0.0).alias("low"), high.alias("high"))
     # One row per distinct count: counts that add up to N take at most sqrt(2N) values.
     counted = summary.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return counted.agg(
@@ -165,6 +168,15 @@ def scope_centre(summary: DataFrame, parent: str | None = None) -> DataFrame:
     )
 
 
+# --- fixed values: wording of labels and sentences ---------------------------------------------
+AREA_WORDS = [
+    ("district_id", "District %02d"), ("community_area_id", "Community Area %02d"),
+    ("ward_id", "Ward %02d"),
+]
+AREA_FALLBACK = "%s hotspot"
+PLACEHOLDER_BLOCK = "0X0X0X"
+
+
 def area_labels(df: DataFrame, res: int) -> DataFrame:
     """A readable name for every cell of a level: block or street at fine levels, else
     district, community area, ward, else the level's own label."""
@@ -188,17 +200,15 @@ def area_labels(df: DataFrame, res: int) -> DataFrame:
         block = F.trim(F.col("block_address.text"))
         # Placeholder blocks name no place.
         choices.append(
-            F.when((block != "") & ~F.upper(block).startswith("0X0X0X"), title_case(block))
+            F.when((block != "") & ~F.upper(block).startswith(PLACEHOLDER_BLOCK), title_case(block))
         )
     if "street_norm" in have:
         choices.append(title_case(F.col("street_norm.text")))
-    for name, words in (
-        ("district_id", "District"), ("community_area_id", "Community Area"), ("ward_id", "Ward"),
-    ):
+    for name, words in AREA_WORDS:
         if name in have:
             number = F.col(f"{name}.number")
-            choices.append(F.when(number.isNotNull(), F.format_string(f"{words} %02d", number)))
-    return best.select("h3_id", F.coalesce(*choices, F.lit(f"{guide} hotspot")).alias("label"))
+            choices.append(F.when(number.isNotNull(), F.format_string(words, number)))
+    return best.select("h3_id", F.coalesce(*choices, F.lit(AREA_FALLBACK % guide)).alias("label"))
 
 
 def percent_text(share: Column) -> Column:

@@ -173,22 +173,22 @@ def normality(data: DataFrame, method: str = "auto") -> DataFrame:
     """
     if method not in ("auto", "shapiro", "dagostino"):
         raise ValueError(f"Unsupported method: {method}")
-    sizes = data.groupBy("sample").agg(
-        F.count(F.when(~F.isnan("value"), F.col("value"))).alias("_n")
-    )
-    checked = sizes.withColumn(
-        "_n",
-        F.when(F.col("_n") > 0, F.col("_n")).otherwise(
-            F.raise_error(F.lit("Sample has no non-null values for normality test.")).cast("bigint")
-        ),
-    )
-    sized = data.join(checked, "sample")
-    few = sized.where(F.col("_n") <= K.SHAPIRO_LIMIT) if method == "auto" else sized
-    many = sized.where(F.col("_n") > K.SHAPIRO_LIMIT) if method == "auto" else sized
+    valid = F.when(~F.isnan("value"), F.col("value"))
+    sizes = data.groupBy("sample").agg(F.count(valid).alias("_n"))
     if method == "dagostino":
-        return dagostino(many.drop("_n"))
-    by_rank = shapiro(few.drop("_n"))
-    return by_rank if method == "shapiro" else by_rank.unionByName(dagostino(many.drop("_n")))
+        result = dagostino(data)
+    elif method == "shapiro":
+        result = shapiro(data)
+    else:
+        sized = data.join(sizes, "sample")
+        small = F.col("_n") <= K.SHAPIRO_LIMIT
+        result = shapiro(sized.where(small)).unionByName(dagostino(sized.where(~small)))
+    none = F.raise_error(F.lit("Sample has no non-null values for normality test."))
+    return sizes.join(result.drop("n"), "sample", "left").select(
+        "sample", "method",
+        F.when(F.col("_n") > 0, F.col("_n")).otherwise(none.cast("bigint")).alias("n"),
+        "statistic", "p_value",
+    )
 
 
 # ------------------------------------------------------------------------- variance, means
@@ -385,15 +385,14 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = _complete(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight"))
-    ranked = pairs
+    ranked, size = pairs, None
     for axis in ("x", "y"):
         counts = pairs.groupBy(axis).agg(F.sum("weight").alias("n"))
-        ranks = running_sum(sliced(counts, [], axis), [], axis, "n", "before").select(
-            axis, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"rank_{axis}")
-        )
-        ranked = ranked.join(ranks, axis)
-    # Both rank columns have mean (n + 1) / 2; sums are taken about it.
-    size = pairs.agg(F.sum("weight").cast("double").alias("size"))
+        ranks = running_sum(sliced(counts, [], axis), [], axis, "n", "before")
+        mid = (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"rank_{axis}")
+        ranked = ranked.join(ranks.select(axis, mid), axis)
+        size = ranks.agg(F.max(F.col("before") + F.col("n")).cast("double"))
+    # Both rank columns have mean (size + 1) / 2; sums are taken about it.
     middle = (size.scalar() + 1.0) / 2.0
     w = F.col("weight").cast("double")
     a, b = F.col("rank_x") - middle, F.col("rank_y") - middle
@@ -467,10 +466,15 @@ def adjust_p_values(df: DataFrame, p: str = "p_value", alpha: float = 0.05,
     size = counts.agg(F.sum("_n").cast("double").alias("m"))
     m = size.scalar()
     value = F.col(p)
+
+    def any_of(tests: Column) -> Column:
+        """Chance of a p-value this small in that many independent tests."""
+        return F.when(value >= 1.0, 1.0).otherwise(-F.expm1(tests * F.log1p(-value)))
+
     if method == "bonferroni":
         table = counts.withColumn("_q", value * m)
     elif method == "sidak":
-        table = counts.withColumn("_q", -F.expm1(m * F.log1p(-value)))
+        table = counts.withColumn("_q", any_of(m))
     else:
         cut = running_sum(sliced(counts, [], p), [], p, "_n", "_before")
         first, last = F.col("_before") + 1, F.col("_before") + F.col("_n")
@@ -478,7 +482,7 @@ def adjust_p_values(df: DataFrame, p: str = "p_value", alpha: float = 0.05,
         if method == "holm":
             table = running_max(cut, p, value * (m - first + 1), "_q")
         elif method == "holm-sidak":
-            table = running_max(cut, p, -F.expm1((m - first + 1) * F.log1p(-value)), "_q")
+            table = running_max(cut, p, any_of(m - first + 1), "_q")
         elif method == "simes-hochberg":
             table = running_min_from_top(cut, p, value * (m - last + 1), "_q")
         else:

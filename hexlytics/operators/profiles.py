@@ -125,12 +125,9 @@ def by_offense(df: DataFrame, limit: int = 12) -> DataFrame:
 
 
 def categories(df: DataFrame, column: str = "primary_type") -> DataFrame:
-    """Types of each category, sorted. Distinct types first, so the lists stay short."""
+    """Every offense type with its category, once each."""
     types = df.where(F.col(column).isNotNull()).select(F.col(column).alias("type")).distinct()
-    return (
-        types.groupBy(category_of(F.col("type")).alias("category"))
-        .agg(F.array_sort(F.collect_set("type")).alias("types"))
-    )
+    return types.select(category_of(F.col("type")).alias("category"), "type")
 
 
 def filter_options(df: DataFrame, chosen: list[str] | None = None) -> DataFrame:
@@ -140,5 +137,5 @@ def filter_options(df: DataFrame, chosen: list[str] | None = None) -> DataFrame:
         F.lit("category").alias("option"), F.col("category").alias("value")
     )
     within = listed.where(F.col("category").isin(chosen)) if chosen else listed
-    types = within.select(F.lit("type").alias("option"), F.explode("types").alias("value"))
-    return kinds.unionByName(types)
+    types = within.select(F.lit("type").alias("option"), F.col("type").alias("value"))
+    return kinds.distinct().unionByName(types)

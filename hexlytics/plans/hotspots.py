@@ -104,12 +104,13 @@ class HotspotView:
         joined = base.join(self.context(), "h3_id", "left").join(self.share(), "h3_id", "left")
         if self.matches is None:
             return joined.withColumn("selection_n_crimes", F.col("n_crimes"))
+        # With a focus in effect the selected count of a cell is its focus count.
         on = self.focused()
-        return joined.join(self.selected_counts(), "h3_id", "left").withColumns(
+        return joined.withColumns(
             {
                 "focus_share": F.coalesce("focus_share", F.when(on, F.lit(0.0))),
                 "selection_n_crimes": F.when(
-                    on, F.coalesce("selection_n_crimes", F.lit(0).cast("bigint"))
+                    on, F.coalesce("focus_count", F.lit(0).cast("bigint"))
                 ).otherwise(F.col("n_crimes")),
             }
         )

@@ -406,20 +406,19 @@ def top_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.top_counts(serving(spark, sf_dir), "district_id", 10, "incidents")
 
 
-_CATEGORIES = """SELECT crime_category AS category, list_sort(list(DISTINCT primary_type)) AS types
-    FROM view WHERE primary_type IS NOT NULL GROUP BY crime_category"""
+_CATEGORIES = """SELECT DISTINCT crime_category AS category, primary_type AS type
+    FROM view WHERE primary_type IS NOT NULL"""
 
 
-@query(sql(f"SELECT category, array_to_string(types, '|') AS types FROM ({_CATEGORIES})", "view"))
+@query(sql(_CATEGORIES, "view"))
 def category_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = P.categories(serving(spark, sf_dir))
-    return listed.select("category", F.array_join("types", "|").alias("types"))
+    return P.categories(serving(spark, sf_dir))
 
 
 def _options_sql(where: str) -> str:
-    return sql(f"""SELECT 'category' AS option, category AS value FROM ({_CATEGORIES})
+    return sql(f"""SELECT DISTINCT 'category' AS option, category AS value FROM ({_CATEGORIES})
       WHERE category <> 'Unclassified'
-      UNION ALL SELECT 'type', unnest(types) FROM ({_CATEGORIES}) WHERE {where}""", "view")
+      UNION ALL SELECT 'type', type FROM ({_CATEGORIES}) WHERE {where}""", "view")
 
 
 @query(_options_sql("true"))
