@@ -97,7 +97,7 @@ def dense_regions(counts: DataFrame, min_bin: int, min_size: int = K.MIN_CLUSTER
     )
 
 
-def cluster_incidents(df: DataFrame, cell: str, bin_radius: float = 0.25, min_bin: int = 5,
+def cluster_incidents(df: DataFrame, cell: str, bin_radius: float = 0.05, min_bin: int = 5,
                       min_size: int = K.MIN_CLUSTER_SIZE) -> DataFrame:
     """Embed incidents by their cyclic codes and label density clusters: cell, embedding,
     cluster (-1 = noise)."""

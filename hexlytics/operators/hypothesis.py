@@ -16,7 +16,7 @@ from hexlytics.functions.rates import safe_rate
 from hexlytics.operators.concordance import signed_pairs
 from hexlytics.operators.onerow import beside
 from hexlytics.operators.ordered import (
-    running_max, running_min_from_top, running_sum, sliced, value_ranks,
+    ranked, running_max, running_min_from_top, running_sum, sliced, value_counts, value_ranks,
 )
 
 
@@ -94,16 +94,19 @@ LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_SCALE = [-0.4803, -0.082676, 0.0030302]
 
 
-def shapiro(data: DataFrame) -> DataFrame:
-    """W per sample. Expected order scores are joined to values by rank, so a sample of any
-    size is spread over many tasks."""
-    ranked = value_ranks(_present(data), ["sample"], "value")
-    sizes = ranked.groupBy("sample").agg(
+def shapiro(data: DataFrame, limit: int | None = None) -> DataFrame:
+    """W per sample (of at most ``limit`` values). Expected order scores are joined to values
+    by rank, so a sample of any size is spread over many tasks."""
+    counts = value_counts(_present(data), ["sample"], "value")
+    sizes = counts.groupBy("sample").agg(
         F.sum("n").alias("size"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
     )
+    sized = counts.join(sizes, "sample")
+    if limit is not None:
+        sized = sized.where(F.col("size") <= limit)
     scored = (
-        ranked.join(sizes, "sample")
+        ranked(sized, ["sample"], "value")
         .withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))))
         .withColumn("m", D.normal_quantile((F.col("rank") - 0.375) / (F.col("size") + 0.25)))
     )
@@ -180,9 +183,8 @@ def normality(data: DataFrame, method: str = "auto") -> DataFrame:
     elif method == "shapiro":
         result = shapiro(data)
     else:
-        sized = data.join(sizes, "sample")
-        small = F.col("_n") <= K.SHAPIRO_LIMIT
-        result = shapiro(sized.where(small)).unionByName(dagostino(sized.where(~small)))
+        large = dagostino(data).where(F.col("n") > K.SHAPIRO_LIMIT)
+        result = shapiro(data, K.SHAPIRO_LIMIT).unionByName(large)
     none = F.raise_error(F.lit("Sample has no non-null values for normality test."))
     return sizes.join(result.drop("n"), "sample", "left").select(
         "sample", "method",
@@ -328,7 +330,7 @@ def mann_whitney(data: DataFrame, first, second) -> DataFrame:
         _present(data).where(F.col("sample").isin([first, second])).groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"), n_first.alias("n_first"))
     )
-    ranked = running_sum(sliced(counts, [], "value"), [], "value", "n", "before")
+    placed = running_sum(sliced(counts, [], "value"), [], "value", "n", "before")
     mid = F.col("before") + (F.col("n") + 1) / 2.0
     t = F.col("n").cast("double")
     n1, n2, u1 = F.col("n1"), F.col("n2"), F.col("u_stat")
@@ -339,7 +341,7 @@ def mann_whitney(data: DataFrame, first, second) -> DataFrame:
     )
     exact = ((n1 <= 8) | (n2 <= 8)) & (F.col("ties") == 0)
     return (
-        ranked.agg(
+        placed.agg(
             F.sum("n_first").cast("double").alias("n1"),
             (F.sum("n") - F.sum("n_first")).cast("double").alias("n2"),
             F.sum(F.col("n_first") * mid).alias("r1"),
@@ -385,18 +387,18 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = _complete(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight"))
-    ranked, size = pairs, None
+    joined, size = pairs, None
     for axis in ("x", "y"):
         counts = pairs.groupBy(axis).agg(F.sum("weight").alias("n"))
         ranks = running_sum(sliced(counts, [], axis), [], axis, "n", "before")
         mid = (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"rank_{axis}")
-        ranked = ranked.join(ranks.select(axis, mid), axis)
+        joined = joined.join(ranks.select(axis, mid), axis)
         size = ranks.agg(F.max(F.col("before") + F.col("n")).cast("double"))
     # Both rank columns have mean (size + 1) / 2; sums are taken about it.
     middle = (size.scalar() + 1.0) / 2.0
     w = F.col("weight").cast("double")
     a, b = F.col("rank_x") - middle, F.col("rank_y") - middle
-    one = ranked.agg(
+    one = joined.agg(
         F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"),
         F.sum(w * b * b).alias("bb"), F.sum(w).alias("n"),
     ).select("n", F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("r"))

@@ -60,13 +60,22 @@ def running_max(cut: DataFrame, order: str, value: Column, out: str) -> DataFram
     return _over_slices(cut, [], order, value, F.max, None, out, False, True)
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, value, n, before, mid_rank) for each distinct value; nulls are left out."""
-    counts = (
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value, n): one row per distinct value; nulls are left out."""
+    return (
         df.where(F.col(value).isNotNull()).groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_sum(sliced(counts, by, value), by, value, "n", "before")
-    return ranked.drop("_slice").withColumn(
+
+
+def ranked(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Add ``before`` (rows with a smaller value) and ``mid_rank`` to value counts."""
+    placed = running_sum(sliced(counts, by, value), by, value, "n", "before")
+    return placed.drop("_slice").withColumn(
         "mid_rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     )
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Counts and ranks of each distinct value."""
+    return ranked(value_counts(df, by, value), by, value)

@@ -53,7 +53,64 @@ def normality_dagostino(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.normality(event_samples(spark, sf_dir, *kinds), "dagostino"))
 
 
-@query()
+# --- fixed values: coefficients of the normal quantile (Wichura, algorithm AS 241) --------------
+_CENTRE = (
+    [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
+     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
+     3.3430575583588128105e4, 2.5090809287301226727e3],
+    [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
+     5.2264952788528545610e3],
+)
+_TAIL = (
+    [1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
+     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
+     2.27238449892691845833e-2, 7.74545014278341407640e-4],
+    [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
+     1.05075007164441684324e-9],
+)
+
+
+def _poly(coefficients: list[float], x: str) -> str:
+    text = f"CAST('{coefficients[-1]!r}' AS DOUBLE)"
+    for c in reversed(coefficients[:-1]):
+        text = f"({text} * {x} + CAST('{c!r}' AS DOUBLE))"
+    return text
+
+
+def _quantile(q: str, r: str) -> str:
+    """Normal quantile from q = p - 0.5 and r = sqrt(-ln(min(p, 1 - p))), down to p = 1e-11."""
+    c = f"(0.180625 - {q} * {q})"
+    centre = f"{q} * {_poly(_CENTRE[0], c)} / {_poly(_CENTRE[1], c)}"
+    t = f"({r} - 1.6)"
+    return (f"CASE WHEN abs({q}) <= 0.425 THEN {centre} ELSE sign({q}) * {_poly(_TAIL[0], t)}"
+            f" / {_poly(_TAIL[1], t)} END")
+
+
+_W = f"""WITH scored AS (SELECT *, {_quantile('q', 'r')} AS m FROM (
+    SELECT *, p - 0.5 AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM (
+      SELECT sample, value, k, n, (k - 0.375) / (n + 0.25) AS p FROM (
+        SELECT user_id AS sample, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k,
+          CAST(count(*) OVER (PARTITION BY user_id) AS DOUBLE) AS n FROM events)))),
+  sums AS (SELECT *, ml / sqrt(mm) + {_poly(H.LAST_WEIGHT, '(1 / sqrt(n))')} AS al,
+      mn / sqrt(mm) + {_poly(H.NEXT_WEIGHT, '(1 / sqrt(n))')} AS an FROM (
+    SELECT sample, n, sum(m * m) AS mm, max(CASE WHEN k = n THEN m END) AS ml, max(CASE WHEN k = n - 1 THEN m END) AS mn
+    FROM scored GROUP BY sample, n)),
+  weighted AS (SELECT s.sample, s.n, s.value, CASE WHEN s.k = s.n THEN al WHEN s.k = 1 THEN -al
+      WHEN s.k = s.n - 1 THEN an WHEN s.k = 2 THEN -an
+      ELSE s.m / sqrt((mm - 2 * ml * ml - 2 * mn * mn) / (1 - 2 * al * al - 2 * an * an)) END AS a
+    FROM scored s JOIN sums u USING (sample)),
+  found AS (SELECT sample, n, pow(sum(a * value), 2) / sum(pow(value - mu, 2)) AS w FROM (
+    SELECT *, avg(value) OVER (PARTITION BY sample) AS mu FROM weighted) GROUP BY sample, n),
+  z AS (SELECT *, (ln(1 - w) - ({_poly(H.LARGE_MEAN, 'ln(n)')})) / exp({_poly(H.LARGE_SCALE, 'ln(n)')}) AS z FROM found)
+  SELECT sample, 'shapiro' AS method, CAST(n AS BIGINT) AS n, {r6('w', 'statistic')},
+    {r6("greatest(0.0, 0.5 - sign(z) * " + integral("exp(-xx * xx / 2) / sqrt(2 * pi())", "0", "least(abs(z), 12)", 2000) + ")", 'p_value')}
+  FROM z"""
+
+
+# All users have between 12 and 5000 events, so all rows take the same branch.
+@query(_W)
 def normality_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapiro-Wilk or D'Agostino by sample size, for every user's values."""
     rows = table(spark, sf_dir, "events").select(
@@ -195,17 +252,19 @@ def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.pearson(table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax"))
 
 
-_RANKED = """(SELECT avg(rx) OVER (PARTITION BY l_quantity) AS x, avg(ry) OVER (PARTITION BY l_discount) AS y FROM (
-    SELECT l_quantity, l_discount, row_number() OVER (ORDER BY l_quantity) AS rx,
-      row_number() OVER (ORDER BY l_discount) AS ry FROM lineitem))"""
+def _midranks(x: str, y: str) -> str:
+    return f"""(SELECT avg(rx) OVER (PARTITION BY {x}) AS x, avg(ry) OVER (PARTITION BY {y}) AS y FROM (
+      SELECT {x}, {y}, row_number() OVER (ORDER BY {x}) AS rx, row_number() OVER (ORDER BY {y}) AS ry FROM lineitem))"""
 
 
-@query(_correlation("spearman_rho", "corr(x, y)", "count(*)", _RANKED))
+@query(_correlation("spearman_rho", "corr(x, y)", "count(*)", _midranks("l_quantity", "l_discount")))
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount"))
 
 
-_KENDALL = f"""WITH c AS (SELECT l_quantity AS x, l_extendedprice AS y, count(*) AS w FROM lineitem GROUP BY ALL),
+def _kendall(x: str, y: str) -> str:
+    """Signed pairs from running balances on the full grid of values."""
+    return f"""WITH c AS (SELECT {x} AS x, {y} AS y, count(*) AS w FROM lineitem GROUP BY ALL),
   grid AS (SELECT a.x, b.y, coalesce(c.w, 0) AS w FROM (SELECT DISTINCT x FROM c) a
     CROSS JOIN (SELECT DISTINCT y FROM c) b LEFT JOIN c ON c.x = a.x AND c.y = b.y),
   along AS (SELECT x, y, w, sum(w) OVER (PARTITION BY x ORDER BY y) AS upto, sum(w) OVER (PARTITION BY x) AS total FROM grid),
@@ -222,12 +281,19 @@ _KENDALL = f"""WITH c AS (SELECT l_quantity AS x, l_extendedprice AS y, count(*)
     {r6(two_sided_normal('z'), 'p_value')} FROM parts"""
 
 
-@query(_KENDALL)
+@query(_kendall("l_quantity", "l_extendedprice"))
 def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.kendall(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
-@query()
+_TABLE = " UNION ALL ".join(f"SELECT * FROM ({text})" for text in (
+    _correlation("pearson_r", "corr(l_discount, l_tax)", "count(*)", "lineitem"),
+    _correlation("spearman_rho", "corr(x, y)", "count(*)", _midranks("l_discount", "l_tax")),
+    _kendall("l_discount", "l_tax"),
+))
+
+
+@query(_TABLE)
 def correlation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.correlations(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax"))
 
