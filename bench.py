@@ -31,6 +31,8 @@ def main() -> None:
     spark = build_session("bench", f"local[{CPUS}]", **{
         "spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "16g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        # The default of 64 MB would leave the small test tables to one task.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
     })
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}

@@ -455,6 +455,7 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 
 FDR_METHODS = (
     "bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by",
+    "fdr_tsbh", "fdr_tsbky",
 )
 
 
@@ -494,6 +495,16 @@ def adjust_p_values(df: DataFrame, p: str = "p_value", alpha: float = 0.05,
                 ranks = cut.select(F.explode(F.sequence(first, last)).alias("r"))
                 scale = m * ranks.agg(F.sum(1.0 / F.col("r"))).scalar()
             table = running_min_from_top(cut, p, value * scale / last, "_q")
+    if method in ("fdr_tsbh", "fdr_tsbky"):
+        # The first stage counts rejections; the second takes the rest as the true nulls.
+        factor = 1.0 + alpha if method == "fdr_tsbky" else 1.0
+        first_stage = table.agg(
+            F.sum(F.when(F.col("_q") <= alpha / factor, F.col("_n")).otherwise(0)).cast("double")
+        ).scalar()
+        nulls = F.when((first_stage == 0) | (first_stage == m), m).otherwise(m - first_stage)
+        table = table.withColumn(
+            "_q", F.least(F.lit(1.0), F.col("_q")) * nulls / m * F.lit(factor)
+        )
     q = F.least(F.lit(1.0), F.col("_q"))
     return df.join(table.select(p, q.alias("q_value")), p, "left").withColumn(
         "rejected", F.col("q_value") <= F.lit(alpha)

@@ -11,15 +11,17 @@ from hexlytics import constants as K, schemas as S
 from hexlytics.sources.raw import normalize_months
 
 
-def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], gather: bool = True) -> None:
     """Overwrite only the partitions present in ``df``.
 
-    The rebalance gathers small partitions into few files and splits a partition that holds
-    much of the data over many tasks.
+    Gathering collects small partitions into few files and splits a partition that holds much
+    of the data over many tasks. It costs a shuffle, so it is left out where rows already lie
+    by partition.
     """
+    rows = df.hint("rebalance", *keys) if gather else df
     (
-        df.hint("rebalance", *keys).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys).parquet(path)
     )
 
 
@@ -40,7 +42,8 @@ def with_provenance(df: DataFrame, producer: str) -> DataFrame:
 
 
 def write_silver(df: DataFrame, path: str, producer: str = "hexlytics.plans.silver") -> None:
-    write_partitioned(with_provenance(df, producer), path, ["year", "month"])
+    """Silver rows keep the order of bronze, which lies by month: no shuffle on the way."""
+    write_partitioned(with_provenance(df, producer), path, ["year", "month"], gather=False)
 
 
 def write_gold(df: DataFrame, path: str) -> None:

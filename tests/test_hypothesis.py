@@ -234,6 +234,12 @@ def test_adjusted_p_values(spark):
         q, rejected = adjusted(spark, ps, method)
         assert q == pytest.approx(want), method
         assert rejected == [x <= 0.05 for x in q]
+    rejected = sum(q <= 0.05 for q in bh)
+    assert 0 < rejected < m
+    q, _ = adjusted(spark, ps, "fdr_tsbh")
+    assert q == pytest.approx([min(1, x * (m - rejected) / m) for x in bh])
+    q, _ = adjusted(spark, [0.5, 0.9], "fdr_tsbky")
+    assert q == pytest.approx([0.945, 0.945])
     with pytest.raises(ValueError):
         adjusted(spark, ps, "other")
 

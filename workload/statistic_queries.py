@@ -337,6 +337,26 @@ def fdr_benjamini_yekutieli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjust(spark, sf_dir, "fdr_by")
 
 
+def _two_stage(factor: float) -> str:
+    bh = f"""SELECT sample, p_value, least(1.0, {_FROM_TOP}) AS q FROM (
+      SELECT sample, p_value, p_value * {_M} / {_LAST} AS q FROM {_USERS})"""
+    return f"""WITH bh AS ({bh}), first AS (SELECT CAST(count(*) AS DOUBLE) AS m,
+        CAST(count(*) FILTER (WHERE q <= 0.05 / {factor}) AS DOUBLE) AS r FROM bh)
+      SELECT sample, {r6('p_value')}, {r6('q', 'q_value')}, q <= 0.05 AS rejected FROM (
+        SELECT sample, p_value, least(1.0, q * CASE WHEN r = 0 OR r = m THEN 1.0 ELSE (m - r) / m END * {factor}) AS q
+        FROM bh, first)"""
+
+
+@query(_two_stage(1.0))
+def fdr_two_stage_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjust(spark, sf_dir, "fdr_tsbh")
+
+
+@query(_two_stage(1.05))
+def fdr_two_stage_bky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjust(spark, sf_dir, "fdr_tsbky")
+
+
 @query(_adjusted(f"p_value * ({_M} - {_FIRST} + 1)", _FROM_LOW))
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjust(spark, sf_dir, "holm")
