@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hexlytics.functions import lattice as L
 from hexlytics.operators import cells as C
 from hexlytics.plans.gold import gold_daily, gold_monthly, gold_rolling
+from hexlytics.session import scratch_path
 
 D = dt.date
 
@@ -43,7 +44,9 @@ def incidents(spark):
                     rng.choice(["THEFT", "ARSON", None]), rng.choice(["W A", "N B", "E C", None])))
     schema = ("id string, latitude double, longitude double, date date, arrest_made boolean,"
               " crime_type string, street_norm string")
-    return L.assign_cells(spark.createDataFrame(out, schema)).cache()
+    path = scratch_path(spark, "incidents")
+    L.assign_cells(spark.createDataFrame(out, schema)).coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def test_levels_agree_with_direct_counts(spark, incidents):

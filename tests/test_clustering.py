@@ -59,8 +59,8 @@ def test_incident_clusters_cover_every_row(spark):
     rows = [("9:0:0", *([rng.gauss(4, 0.05) if n % 2 else rng.gauss(-4, 0.05) for _ in S.CYCLIC_COLUMNS]))
             for n in range(240)]
     df = spark.createDataFrame(rows, ["h3_r9", *S.CYCLIC_COLUMNS])
-    out = G.cluster_incidents(df, "h3_r9")
+    out = G.cluster_incidents(df, "h3_r9", bin_radius=0.25)
     sizes = {r["cluster"]: r["count"] for r in out.groupBy("cluster").count().collect()}
     assert sum(sizes.values()) == 240 and sorted(v for k, v in sizes.items() if k != -1) == [120, 120]
-    few = G.cluster_incidents(df, "h3_r9", min_size=121)
+    few = G.cluster_incidents(df, "h3_r9", bin_radius=0.25, min_size=121)
     assert few.select(F.max("cluster")).first()[0] == -1

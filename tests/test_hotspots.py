@@ -7,6 +7,7 @@ from hexlytics.functions import lattice as L
 from hexlytics.operators import context as X, profiles as P
 from hexlytics.plans.gold import gold_daily
 from hexlytics.plans.hotspots import Drill, HotspotView
+from hexlytics.session import scratch_path
 
 # Two r8 cells under one r7 parent and one far away.
 PLACES = {"a": "9:0:0", "b": "9:3:0", "far": "9:40:10"}
@@ -32,12 +33,24 @@ def rows(spark):
     schema = ("datetime timestamp_ntz, primary_type string, crime_category string, street_norm string,"
               " block_address string, arrest_made boolean, community_area_id long, district_id long,"
               " ward_id long, latitude double, longitude double, date date")
-    return L.assign_cells(spark.createDataFrame(out, schema)).cache()
+    path = scratch_path(spark, "rows")
+    L.assign_cells(spark.createDataFrame(out, schema)).coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def view(rows, **choice):
-    gold = gold_daily(rows, levels=(choice.get("res", 9),))
-    return HotspotView(rows, gold, choice.pop("res", 9), **choice)
+@pytest.fixture(scope="module")
+def gold(spark, rows):
+    path = scratch_path(spark, "gold")
+    gold_daily(rows).coalesce(1).write.partitionBy("res").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def view(rows, gold):
+    def make(res=9, **choice):
+        return HotspotView(rows, gold.where(F.col("res") == res), res, **choice)
+
+    return make
 
 
 def drill(spark, *children, parent="8:0:0"):
@@ -57,22 +70,22 @@ def test_context_prefers_the_smaller_value_on_ties_and_marks_unknown_text(spark)
     assert (got["d"]["common_crime"], got["d"]["common_crime_count"], got["d"]["ward_id"]) == ("UNKNOWN", None, 4)
 
 
-def test_summary_with_focus(rows):
-    got = cells(view(rows, types=("THEFT",)).summary())
+def test_summary_with_focus(view):
+    got = cells(view(types=("THEFT",)).summary())
     a, far = got[PLACES["a"]], got[PLACES["far"]]
     assert (a["n_crimes"], a["focus_count"], a["focus_share"], a["selection_n_crimes"]) == (6, 3, 0.5, 3)
     assert (far["focus_share"], far["selection_n_crimes"], far["common_crime"]) == (0.0, 0, None)
 
 
-def test_summary_without_focus(rows):
-    got = cells(view(rows).summary())
+def test_summary_without_focus(view):
+    got = cells(view().summary())
     assert {r["focus_share"] for r in got.values()} == {1.0}
     assert all(r["selection_n_crimes"] == r["n_crimes"] for r in got.values())
 
 
-def test_rows_fall_back_from_children_to_parent_to_all(spark, rows):
+def test_rows_fall_back_from_children_to_parent_to_all(spark, rows, view):
     def count(**choice):
-        return view(rows, **choice).rows().count()
+        return view(**choice).rows().count()
 
     inside = drill(spark, PLACES["a"])
     assert count() == 16 and count(types=("THEFT",)) == 7
@@ -89,14 +102,14 @@ def test_rows_fall_back_from_children_to_parent_to_all(spark, rows):
     assert count(drill=drill(spark, "9:99:99")) == 0
 
 
-def test_kpis(rows):
-    r = view(rows, types=("THEFT",)).kpis().first()
+def test_kpis(view):
+    r = view(types=("THEFT",)).kpis().first()
     assert (r["total_incidents"], r["busiest_cell_count"], r["leading_cell"]) == (7, 4, PLACES["b"])
     assert r["leading_share"] == 1.0 and r["average_focus_share"] == pytest.approx(0.5)
     assert r["leading_delta"] == pytest.approx(0.5) and r["total_arrests"] == 3
     # Two days only: both means are over all days.
     assert (r["incident_trend"], r["arrest_trend"]) == (0.0, 0.0)
-    plain = view(rows).kpis().first()
+    plain = view().kpis().first()
     assert (plain["total_incidents"], plain["busiest_cell_count"], plain["total_arrests"]) == (16, 6, 9)
     assert plain["leading_cell"] == min(PLACES["a"], PLACES["far"]) and plain["leading_share"] is None
 
@@ -109,10 +122,10 @@ def test_trend_compares_first_and_last_week(spark):
     assert got["arrest_trend"] == pytest.approx(0.0 - 3 / 7)
 
 
-def test_map_is_limited_at_fine_levels_without_a_drill(spark, rows):
-    assert view(rows, map_limit=2).map_cells().count() == 2
-    assert view(rows, map_limit=2, drill=drill(spark, *PLACES.values())).map_cells().count() == 3
-    assert view(rows, res=7, map_limit=1).map_cells().count() == rows.select("h3_r7").distinct().count()
+def test_map_is_limited_at_fine_levels_without_a_drill(spark, rows, view):
+    assert view(map_limit=2).map_cells().count() == 2
+    assert view(map_limit=2, drill=drill(spark, *PLACES.values())).map_cells().count() == 3
+    assert view(res=7, map_limit=1).map_cells().count() == rows.select("h3_r7").distinct().count()
 
 
 def test_area_labels(rows):
