@@ -396,9 +396,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         size = ranks.agg(F.max(F.col("before") + F.col("n")).cast("double"))
     # Both rank columns have mean (size + 1) / 2; sums are taken about it.
     middle = (size.scalar() + 1.0) / 2.0
-    w = F.col("weight").cast("double")
-    a, b = F.col("rank_x") - middle, F.col("rank_y") - middle
-    one = joined.agg(
+    centred = joined.select(
+        F.col("weight").cast("double").alias("w"),
+        (F.col("rank_x") - middle).alias("a"), (F.col("rank_y") - middle).alias("b"),
+    )
+    w, a, b = F.col("w"), F.col("a"), F.col("b")
+    one = centred.agg(
         F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"),
         F.sum(w * b * b).alias("bb"), F.sum(w).alias("n"),
     ).select("n", F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("r"))

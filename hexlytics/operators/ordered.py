@@ -32,6 +32,7 @@ def _over_slices(cut: DataFrame, by: Sequence[str], order: str, value: Column, m
         W.unboundedPreceding, W.currentRow if inclusive else -1
     )
     valued = cut.withColumn("_v", value)
+    # One row per slice: a table as long as the number of shuffle partitions.
     totals = (
         valued.groupBy(*by, "_slice").agg(merge("_v").alias("_t"))
         .select(*by, "_slice", merge("_t").over(ahead).alias("_ahead"))

@@ -158,12 +158,12 @@ class HotspotView:
             .when(any_parent, "parent")
             .otherwise("all").alias("choice")
         ).scalar()
-        keep = (
-            ((choice == "selected children") & F.col("_m") & F.col("_c"))
-            | ((choice == "children") & F.col("_c"))
-            | ((choice == "parent") & F.col("_p"))
-            | (choice == "all")
+        # A map of the choices asks for the one-row result once.
+        kept = F.create_map(
+            F.lit("selected children"), F.col("_m") & F.col("_c"), F.lit("children"), F.col("_c"),
+            F.lit("parent"), F.col("_p"), F.lit("all"), F.lit(True),
         )
+        keep = F.coalesce(F.try_element_at(kept, choice), F.lit(False))
         return flagged.where(keep).drop("_m", "_c", "_p")
 
     # ------------------------------------------------------------------ key figures
