@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hexlytics.llm import mixing, sharding
+from hexlytics.llm import mainhtml, mixing, quality, secrets, sharding
 from hexlytics.llm.registry import query
 from hexlytics.llm.tables import crc, table, utf8_bytes
 
@@ -21,6 +21,15 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", (quality.fold(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 OP8_SQL = f"""
 WITH sized AS (
   SELECT doc_id, coalesce('=' || source, '~') AS k,
@@ -57,3 +66,24 @@ FROM line
 def op8_systematic_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+@query()
+def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("_spans", lambda s: s["rank"] < len(secrets.BASE))
+    of = lambda rank: F.size(
+        F.filter("_spans", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(F.encode(secrets.listed(base), "UTF-8"), 256).alias("base_sha256"),
+        secrets.listed(F.col("_spans")).alias("spans"),
+    )
+
+
+@query()
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return mainhtml.extract(pages).select(
+        "page_id", "url", F.col("main_text").alias("text"),
+        F.length("main_text").cast("long").alias("n_chars"))

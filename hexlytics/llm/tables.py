@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -33,3 +38,25 @@ def crc(text: Column) -> Column:
 def source_key(source: Column) -> Column:
     """Never null, joins by equality, sorts by code point with the null source last."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
+
+
+def map_columns(df: DataFrame, inputs: list[str], make: Callable[..., list], added: str
+                ) -> DataFrame:
+    """All columns of ``df`` plus those of the schema ``added``, in one pass over each partition.
+
+    ``make`` gets the input columns of a batch as lists of Python values (null: None) and returns
+    one sequence per added column. A column of ``df`` with the name of an added one is replaced.
+    """
+    new = StructType.fromDDL(added)
+    kept = [c for c in df.columns if c not in new.names]
+    types = [to_arrow_type(f.dataType) for f in new.fields]
+    out = StructType([df.schema[c] for c in kept] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(*[batch.column(c).to_pylist() for c in inputs])
+            arrays = [pa.array(v, t) for v, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + arrays, names=kept + new.names)
+
+    return df.mapInArrow(run, out)
