@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hexlytics.llm import mainhtml, mixing, quality, secrets, sharding
+from hexlytics.llm import (
+    fingerprints, mainhtml, mixing, neardup, neighbours, packing, quality, repeats, secrets,
+    sharding,
+)
 from hexlytics.llm.registry import query
 from hexlytics.llm.tables import crc, table, utf8_bytes
 
@@ -21,6 +24,32 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.expr("id % 50 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query()
+def op3_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_odd_sketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.measure(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
