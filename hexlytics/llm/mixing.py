@@ -90,13 +90,13 @@ def mix(docs: DataFrame, seed: int = SEED, **weighting) -> DataFrame:
         F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")
     ).select(F.struct(F.col("doc_id").alias("d"), F.col("_key").alias("k"),
                       F.col("size").alias("s")).alias("_id"), "_all", "_rows")
-    rows = docs.withColumn("_id", F.struct(
+    rows = docs.select(F.struct("*").alias("_row"), F.struct(
         F.col("doc_id").alias("d"), source_key(F.col("source")).alias("k"),
-        word_count(F.col("text")).alias("s")))
+        word_count(F.col("text")).alias("s")).alias("_id"))
     joined = rows.join(chosen, rows["_id"].eqNullSafe(chosen["_id"])).drop(chosen["_id"])
     nth = F.row_number().over(W.partitionBy("_id").orderBy("_rows"))
     extra = (nth <= F.col("_all") % F.col("_rows")).cast("long")
     times = F.floor(F.col("_all") / F.col("_rows")) + extra
     return joined.withColumn("_times", times).where("_times > 0").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
-    ).select(*docs.columns)
+    ).select("_row.*")

@@ -324,6 +324,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows alike in doc_id and text are one document and stay once; documents without words stay.
     """
     kept = _grouped(docs).where("kept").select("row_key").distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select(
+        F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.struct("*").alias("_row"))
     return keyed.join(kept, "row_key", "left_semi").dropDuplicates(
-        ["row_key", "doc_id"]).select(*docs.columns)
+        ["row_key", "doc_id"]).select("_row.*")

@@ -175,9 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns plus ``score``."""
+    """All columns plus ``score``; a column of that name is replaced."""
     def make(texts):
         x = np.array(list(map(statistics, texts)), float).reshape(len(texts), len(FEATURES))
         return [model.scores(x)]
 
     return map_columns(docs, ["text"], make, "score double")
+
+
+def accept(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents, with their own columns, whose score is at least ``least``."""
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    return score(rows, model).where(F.col("score") >= least).select("_row.*")

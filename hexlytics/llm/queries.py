@@ -100,13 +100,13 @@ def op8_systematic_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    base = F.filter("_spans", lambda s: s["rank"] < len(secrets.BASE))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
     of = lambda rank: F.size(
-        F.filter("_spans", lambda s: s["rank"] == rank)).cast("long")
+        F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     return found.select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(F.encode(secrets.listed(base), "UTF-8"), 256).alias("base_sha256"),
-        secrets.listed(F.col("_spans")).alias("spans"),
+        secrets.listed(F.col("spans")).alias("spans"),
     )
 
 

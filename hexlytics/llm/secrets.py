@@ -215,10 +215,13 @@ def _probe(rule: Rule) -> str:
     return rule.java
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """All columns plus ``_spans``: (start, rank, kind, stop) by start, then order of rules."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_key", _row_key()).join(candidates(docs, rules), "_key", "left")
+def _found(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(_row, text, _spans): the row as a struct, its text, null as empty, and its spans."""
+    text = F.col("text")
+    rows = docs.select(
+        _row_key().alias("_key"), F.struct("*").alias("_row"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    ).join(candidates(docs, rules), "_key", "left")
     found = []
     for rank, rule in enumerate(rules):
         spans = _spans(text, rule, rank)
@@ -226,7 +229,16 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
             spans = F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(
                 F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>"))
         found.append(spans)
-    return rows.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_key", "_kinds")
+    return rows.select("_row", "text", F.array_sort(F.concat(*found)).alias("_spans"))
+
+
+def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """All columns plus ``spans``: (start, rank, kind, stop) by start, then order of rules.
+
+    Columns of the names ``spans`` are replaced.
+    """
+    kept = [F.col(f"_row.{c}").alias(c) for c in docs.columns if c != "spans"]
+    return _found(docs, rules).select(*kept, F.col("_spans").alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -252,9 +264,8 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     masked = F.aggregate("_spans", start, step, lambda acc: F.concat(
         acc["out"], F.substring("text", acc["at"] + 1, F.length("text") - acc["at"])))
     changed = F.size("_spans") > 0
-    found = scan(docs, rules).withColumn("_masked", F.when(changed, masked))
-    out = {"text": F.when(changed, F.col("_masked")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length("_masked").cast("long")).otherwise(
-            F.col("n_chars"))
-    return found.withColumns(out).select(*docs.columns)
+    found = _found(docs, rules).select("_row", F.when(changed, masked).alias("_masked"))
+    new = {"text": F.col("_masked"), "n_chars": F.length("_masked").cast("long")}
+    return found.select(*[
+        F.coalesce(new[c], F.col(f"_row.{c}")).alias(c) if c in new else F.col(f"_row.{c}")
+        for c in docs.columns])

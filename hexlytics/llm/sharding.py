@@ -73,25 +73,27 @@ def invert(positions, n: int, seed: int = SEED) -> np.ndarray:
 
 def shard(df: DataFrame, order: Sequence[str | Column], shards: int = SHARDS, seed: int = SEED
           ) -> DataFrame:
-    """Add ``row_number``, ``shard`` and ``slot`` to every row.
+    """Add ``row_number``, ``shard`` and ``slot`` to every row, in place of columns so named.
 
     Runs the numbering (a range shuffle and a checkpoint) when called, to learn n. Rows that tie
     in ``order`` are spread over partitions, so repeated rows make no large one.
     """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
     spread = F.monotonically_increasing_id() % 1024
-    numbered = row_numbers(df.withColumn("_spread", spread), [*order, "_spread"], "row_number")
+    rows = df.select(F.struct("*").alias("_row"), *[
+        c.alias(f"_key{k}") for k, c in enumerate([*keys, spread])])
+    numbered = row_numbers(rows, rows.columns[1:], "row_number").select("_row", "row_number")
     n = numbered.count()
 
     @F.pandas_udf("long")
     def position(number: pd.Series) -> pd.Series:
         return pd.Series(permute(number.to_numpy(), n, seed))
 
-    return (
-        numbered.drop("_spread").withColumn("_position", position("row_number"))
-        .withColumn("shard", (F.col("_position") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_position") / shards).cast("long"))
-        .drop("_position")
-    )
+    added = ("row_number", "shard", "slot")
+    kept = [F.col(f"_row.{c}").alias(c) for c in df.columns if c not in added]
+    return numbered.withColumn("_position", position("row_number")).select(
+        *kept, "row_number", (F.col("_position") % shards).cast("int").alias("shard"),
+        F.floor(F.col("_position") / shards).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, order: Sequence[str | Column], shards: int = SHARDS,
