@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is not below ``REJECT_BELOW``; trained on the labelled ones."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(f"score >= {REJECT_BELOW}").select(*docs.columns)
+    return quality.accept(docs, model, REJECT_BELOW)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
