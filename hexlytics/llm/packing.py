@@ -19,6 +19,7 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from hexlytics.llm.order import running_within
+from hexlytics.llm.shingles import joined, word_table
 from hexlytics.llm.tables import source_key
 from hexlytics.session import scratch_path
 
@@ -38,55 +40,91 @@ QUANTUM = 128
 CLOSING = 1  # id after each document
 PAD = 0
 VOCABULARY = "word_bpe_49k.json"
-_KNOWN = 300_000  # words and pieces remembered per worker
+_KNOWN_WORDS = 4_000_000  # remembered per worker, at 20 bytes and their ids each
+_KNOWN_PIECES = 300_000
+_TOGETHER = 3 << 20  # bytes of text whose words are looked up at once
 _POINT = 32  # binary places of the rates
 
 # Fixed value: how this vocabulary splits lower-cased text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Characters whose case, form and class are the same everywhere, so that words are independent.
-_PLAIN = regex.compile(r"[\t-\r\x20-\x7E¡-©«-´¶-¹»-įı-ž]*")
+_ODD = regex.compile(r"[^\t-\r\x20-\x7E¡-©«-´¶-¹»-įı-ž]|<\|")
 
 
 class Words:
     """Ids of texts by the tokenizer, each word and piece encoded once and remembered.
 
     Plain text is split at white space into words and words into pieces, which the tokenizer
-    encodes independently of each other. Any other text goes to the tokenizer as a whole.
+    encodes independently of each other. Words are found by 64-bit hashes in a sorted array.
+    Any other text goes to the tokenizer as a whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, "<u2")
 
     def whole(self, text: str) -> bytes:
         return np.array(
             self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        split = [_PIECES.findall(w) for w in new]
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        split = [_PIECES.findall(w.lower()) for w in words]
+        if len(self.pieces) > _KNOWN_PIECES:
+            self.pieces = {}
         unknown = list(set().union(*split).difference(self.pieces))
         found = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-        self.pieces.update(
-            (p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(unknown, found))
         known = self.pieces
-        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in zip(new, split))
+        known.update((p, array("H", e.ids).tobytes()) for p, e in zip(unknown, found))
+        return [b"".join([known[p] for p in parts]) for parts in split]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words, given with their hashes in rising order."""
+        made = self._word_ids(words)
+        count = np.array([len(x) // 2 for x in made], np.int32)
+        start = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u2")])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.start, self.count = np.insert(self.start, at, start), np.insert(self.count, at, count)
+
+    def _together(self, data: bytes, ends: np.ndarray) -> list[bytes]:
+        start, stop, hashes = word_table(data)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > _KNOWN_WORDS:
+            self._forget()
+        new = np.flatnonzero(~np.isin(distinct, self.hashes, assume_unique=True))
+        if len(new):
+            self._learn(distinct[new], [
+                data[a:b].decode() for a, b in zip(start[first[new]], stop[first[new]])])
+        at = np.searchsorted(self.hashes, distinct)[which]
+        count = self.count[at].astype(np.int64)
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.ids[np.repeat(self.start[at] - (upto - count), count) + np.arange(total)]
+        cut = np.concatenate([[0], upto])[np.searchsorted(start, ends)]
+        return [ids[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        if len(self.words) > _KNOWN:
-            self.words = {}
-        if len(self.pieces) > _KNOWN:
-            self.pieces = {}
-        for text in texts:
-            if "<|" in text or not _PLAIN.fullmatch(text):
-                out.append(self.whole(text))
-                continue
-            words = text.lower().split()
-            new = set(words).difference(self.words)
-            if new:
-                self._learn(list(new))
-            out.append(b"".join(map(self.words.__getitem__, words)))
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if _ODD.search(text):
+                out[k] = self.whole(text)
+            else:
+                plain.append(k)
+        done = 0
+        for data, ends in joined([texts[k].encode() for k in plain], _TOGETHER):
+            made = self._together(data, ends)
+            for k, ids in zip(plain[done:done + len(made)], made):
+                out[k] = ids
+            done += len(made)
         return out
 
 

@@ -7,6 +7,8 @@ array operations; five mixed word hashes make a shingle. All hashes have 64 bits
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WORDS = 5
@@ -50,54 +52,55 @@ def back(n: int) -> np.ndarray:
     return powers(pow(_BASE, -1, 1 << 64), n)
 
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word."""
-    blank = _BLANK[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    sums = running(data, _VALUE)
-    raw = (sums[stop] - sums[start]) * back(len(data))[start]
-    return start, mix(raw + (stop - start).astype(np.uint64))
+def word_table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, hash) of each word, in order; long data are handled slice by slice."""
+    parts, at = [], 0
+    for piece in _slices(data):
+        raw = np.frombuffer(piece, np.uint8)
+        blank = _BLANK[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        sums = running(raw, _VALUE)
+        value = (sums[stop] - sums[start]) * back(len(raw))[start] if len(raw) else sums[:0]
+        parts.append((start + at, stop + at, mix(value + (stop - start).astype(np.uint64))))
+        at += len(piece)
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     """The word hashes of each text, in order."""
     out: list[np.ndarray] = []
-    pending: list[bytes] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal pending, size
-        if not pending:
-            return
-        ends = np.cumsum([len(p) + 1 for p in pending])
-        start, hashes = _word_hashes(np.frombuffer(b" ".join(pending), np.uint8))
+    for data, ends in joined([(t or "").encode("utf-8", "replace") for t in texts], _SLICE // 2):
+        start, _, hashes = word_table(data)
         out.extend(np.split(hashes, np.searchsorted(start, ends[:-1])))
-        pending, size = [], 0
-
-    for text in texts:
-        data = (text or "").encode("utf-8", "replace")
-        if len(data) > _SLICE:
-            flush()
-            out.append(np.concatenate([_word_hashes(np.frombuffer(p, np.uint8))[1]
-                                       for p in _slices(data)]))
-            continue
-        pending.append(data)
-        size += len(data)
-        if size > _SLICE // 2:
-            flush()
-    flush()
     return out
 
 
+def joined(texts: list[bytes], size: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Texts put together with blanks between, up to about ``size`` bytes; the end of each."""
+    at = 0
+    while at < len(texts):
+        upto, total = at, 0
+        while upto < len(texts) and (upto == at or total + len(texts[upto]) <= size):
+            total += len(texts[upto]) + 1
+            upto += 1
+        some = texts[at:upto]
+        yield b" ".join(some), np.cumsum([len(t) + 1 for t in some])
+        at = upto
+
+
 def _slices(data: bytes) -> list[bytes]:
-    """Cut at white space into parts of about ``_SLICE`` bytes; a longer word stays whole."""
+    """Cut before white space into parts of at most ``_SLICE`` bytes; a longer word stays whole."""
     parts, at = [], 0
-    blank = np.flatnonzero(_BLANK[np.frombuffer(data, np.uint8)])
+    blank = np.flatnonzero(_BLANK[np.frombuffer(data, np.uint8)]) if len(data) > _SLICE else ()
     while len(data) - at > _SLICE:
-        k = np.searchsorted(blank, at + _SLICE // 2)
-        if k == len(blank):
-            break
+        k = int(np.searchsorted(blank, at + _SLICE, "right")) - 1
+        if k < 0 or blank[k] <= at:
+            k += 1  # no blank within reach: up to the next one
+            while k < len(blank) and blank[k] <= at:
+                k += 1
+            if k >= len(blank):
+                break
         parts.append(data[at:blank[k]])
         at = int(blank[k])
     return [*parts, data[at:]]
