@@ -46,18 +46,13 @@ CATEGORY_TYPES = {
 }
 UNCLASSIFIED = "Unclassified"
 
-# --- fixed values: resolution, label, size, use ------------------------------------------------
+# --- fixed values: resolution, label, size -----------------------------------------------------
 RESOLUTION_GUIDE = [
-    (6, "Citywide", "≈4.7 km across",
-     "Best for executive briefings and spotting macro trends."),
-    (7, "District-scale", "≈1.2 km across",
-     "Best for citywide comparisons and strategic deployment."),
-    (8, "Neighborhood-scale", "≈0.46 km across",
-     "Balances coverage with localized patterns – great for beat discussions."),
-    (9, "Street-scale", "≈0.17 km across",
-     "Highlights specific blocks/intersections for tactical response."),
-    (10, "Micro-block", "≈0.06 km across",
-     "Extremely granular – aggregate multiple months for stability."),
+    (6, "Citywide", "≈4.7 km across"),
+    (7, "District-scale", "≈1.2 km across"),
+    (8, "Neighborhood-scale", "≈0.46 km across"),
+    (9, "Street-scale", "≈0.17 km across"),
+    (10, "Micro-block", "≈0.06 km across"),
 ]
 RESOLUTIONS = [6, 7, 8, 9, 10]
 

@@ -221,20 +221,18 @@ def geojson_features(df: DataFrame, cell: str, res: int, digits: int = 6) -> Dat
     return id_centre(df, cell).select(*kept, F.to_json(feature).alias("feature"))
 
 
-def feature_collection(df: DataFrame, cell: str, res: int, order: str,
-                       limit: int = K.MAP_CELL_LIMIT) -> DataFrame:
-    """One FeatureCollection text of the map's top cells (a report of fixed size)."""
-    top = df.orderBy(F.col(order).desc(), F.col(cell)).limit(limit)
-    return geojson_features(top.select(cell), cell, res).agg(
+def feature_collections(df: DataFrame, cell: str, res: int) -> DataFrame:
+    """(parent, collection): one FeatureCollection text per parent cell, of at most its seven
+    children. ``df`` has each cell once."""
+    up_i, up_j = parent(id_part(F.col(cell), 2), id_part(F.col(cell), 3), res)
+    features = geojson_features(df.select(cell), cell, res)
+    listed = F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(cell), F.col("feature")))),
+        lambda s: s["feature"],
+    )
+    return features.groupBy(cell_id(res - 1, up_i, up_j).alias("parent")).agg(
         F.concat(
-            F.lit('{"type":"FeatureCollection","features":['),
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct(F.col(cell), F.col("feature")))),
-                    lambda s: s["feature"],
-                ),
-                ",",
-            ),
+            F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","),
             F.lit("]}"),
         ).alias("collection")
     )

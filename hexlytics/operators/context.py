@@ -181,7 +181,7 @@ def area_labels(df: DataFrame, res: int) -> DataFrame:
     """A readable name for every cell of a level: block or street at fine levels, else
     district, community area, ward, else the level's own label."""
     cell = f"h3_r{res}"
-    guide = {r: label for r, label, _, _ in K.RESOLUTION_GUIDE}.get(res, f"r{res}")
+    guide = {r: label for r, label, _ in K.RESOLUTION_GUIDE}.get(res, f"r{res}")
     fields: list[tuple[str, Column]] = []
     if res >= 9:
         for name, empty in (("block_address", None), ("street_norm", "")):
@@ -243,6 +243,7 @@ def narrative(summary: DataFrame, lines: int = 3) -> DataFrame:
         named.orderBy(F.col("n_crimes").desc(), "h3_id").limit(lines)
         .select(
             "h3_id", "n_crimes",
+            # The wording of the line.
             F.concat(
                 F.lit("- "), place, F.lit(" we saw **"), F.col("n_crimes").cast("string"),
                 F.lit(" incidents**; most common offense: **"),
@@ -256,6 +257,6 @@ def narrative(summary: DataFrame, lines: int = 3) -> DataFrame:
 def resolution_guide(df: DataFrame, res: str = "res") -> DataFrame:
     """Label, size and use of the level of each row. The guide has five rows."""
     guide = df.sparkSession.createDataFrame(
-        K.RESOLUTION_GUIDE, "res int, label string, size string, story string"
+        K.RESOLUTION_GUIDE, "res int, label string, size string"
     )
     return df.join(F.broadcast(guide.withColumnRenamed("res", res)), res, "left")

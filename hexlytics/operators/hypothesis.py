@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hexlytics import constants as K
 from hexlytics.functions import distributions as D
 from hexlytics.functions.rates import safe_rate
-from hexlytics.operators.concordance import signed_pairs
+from hexlytics.operators.concordance import SMALL_TABLE, signed_pairs
 from hexlytics.operators.onerow import beside
 from hexlytics.operators.ordered import (
     ranked, running_max, running_min_from_top, running_sum, sliced, value_counts, value_ranks,
 )
+from hexlytics.session import checkpointed
 
 
 def samples(df: DataFrame, group: str, value: str, groups: Sequence, dropna: bool = True
@@ -35,8 +36,16 @@ def _present(data: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------- normality
 
-def dagostino(data: DataFrame) -> DataFrame:
-    """K-squared from skewness and kurtosis, per sample."""
+def _moments(data: DataFrame) -> DataFrame:
+    """(sample, rows, n, mean, skew, kurt): one row per sample, one scan."""
+    valid = F.when(~F.isnan("value"), F.col("value"))
+    return data.groupBy("sample").agg(
+        F.count(valid).alias("n"), F.avg(valid).alias("mean"),
+        F.skewness(valid).alias("skew"), F.kurtosis(valid).alias("kurt"),
+    )
+
+
+def _k_squared(moments: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     b1, b2 = F.col("skew"), F.col("kurt") + 3.0
     beta = (
@@ -62,12 +71,7 @@ def dagostino(data: DataFrame) -> DataFrame:
     z_kurt = (1.0 - 2.0 / (9.0 * a) - root) / F.sqrt(2.0 / (9.0 * a))
 
     return (
-        _present(data).groupBy("sample")
-        .agg(
-            F.count("value").alias("n"),
-            F.skewness("value").alias("skew"),
-            F.kurtosis("value").alias("kurt"),
-        )
+        moments.where(F.col("n") > 0)
         .select("sample", "n", F.when(n > 7, z_skew).alias("zs"), F.when(n > 7, z_kurt).alias("zk"))
         .select("sample", "n", (F.col("zs") ** 2 + F.col("zk") ** 2).alias("statistic"))
         .select(
@@ -77,11 +81,9 @@ def dagostino(data: DataFrame) -> DataFrame:
     )
 
 
-def _poly(x: Column, coefficients: Sequence[float]) -> Column:
-    out = F.lit(float(coefficients[-1]))
-    for c in reversed(coefficients[:-1]):
-        out = out * x + F.lit(float(c))
-    return out
+def dagostino(data: DataFrame) -> DataFrame:
+    """K-squared from skewness and kurtosis, per sample."""
+    return _k_squared(_moments(data))
 
 
 # --- fixed values: polynomial coefficients of Royston's algorithm AS R94 -----------------------
@@ -94,22 +96,28 @@ LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_SCALE = [-0.4803, -0.082676, 0.0030302]
 
 
-def shapiro(data: DataFrame, limit: int | None = None) -> DataFrame:
-    """W per sample (of at most ``limit`` values). Expected order scores are joined to values
-    by rank, so a sample of any size is spread over many tasks."""
-    counts = value_counts(_present(data), ["sample"], "value")
-    sizes = counts.groupBy("sample").agg(
-        F.sum("n").alias("size"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-    )
-    sized = counts.join(sizes, "sample")
-    if limit is not None:
-        sized = sized.where(F.col("size") <= limit)
-    scored = (
-        ranked(sized, ["sample"], "value")
-        .withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))))
-        .withColumn("m", D.normal_quantile((F.col("rank") - 0.375) / (F.col("size") + 0.25)))
-    )
+_RUN = 4096  # ranks of one value that are handled at once
+
+
+def shapiro(data: DataFrame) -> DataFrame:
+    """W per sample. Expected order scores are joined to values by rank, so a sample of any
+    size is spread over many tasks. Runs a job when called (ranks)."""
+    sizes = _moments(data).where(F.col("n") > 0).select("sample", F.col("n").alias("size"), "mean")
+    return _w(_present(data), sizes)
+
+
+def _w(data: DataFrame, sizes: DataFrame) -> DataFrame:
+    """W of the samples in ``sizes`` (sample, size, mean)."""
+    counts = value_counts(data.join(sizes.select("sample"), "sample", "left_semi"),
+                          ["sample"], "value")
+    placed = ranked(counts, ["sample"], "value").join(sizes, "sample")
+    # The ranks of a value, in runs of bounded length.
+    first, last = F.col("before") + 1, F.col("before") + F.col("n")
+    runs = placed.withColumn("_from", F.explode(F.sequence(first, last, F.lit(_RUN).cast("long"))))
+    numbered = runs.withColumn("rank", F.explode(F.sequence(
+        "_from", F.least(F.col("_from") + (_RUN - 1), last))))
+    scored = D.with_normal_quantile(
+        numbered, (F.col("rank") - 0.375) / (F.col("size") + 0.25), "m")
     from_top = F.col("size") - F.col("rank")
     inner = (F.col("rank") > 2) & (from_top >= 2)
 
@@ -130,10 +138,10 @@ def shapiro(data: DataFrame, limit: int | None = None) -> DataFrame:
     n = F.col("n").cast("double")
     rsn = 1.0 / F.sqrt(n)
     last = F.when(n == 3, F.lit(0.5**0.5)).otherwise(
-        F.col("m_last") / F.sqrt("mm") + _poly(rsn, LAST_WEIGHT)
+        F.col("m_last") / F.sqrt("mm") + D.polynomial(rsn, LAST_WEIGHT)
     )
     second = F.when(
-        n > 5, F.col("m_next") / F.sqrt("mm") + _poly(rsn, NEXT_WEIGHT)
+        n > 5, F.col("m_next") / F.sqrt("mm") + D.polynomial(rsn, NEXT_WEIGHT)
     )
     a1, a2 = F.col("a_last"), F.col("a_next")
     phi = F.when(
@@ -147,10 +155,10 @@ def shapiro(data: DataFrame, limit: int | None = None) -> DataFrame:
 
     stat = F.col("statistic")
     y = F.log(1.0 - stat)
-    gamma = _poly(n, SMALL_GAMMA)
+    gamma = D.polynomial(n, SMALL_GAMMA)
     log_n = F.log(n)
-    z_small = (-F.log(gamma - y) - _poly(n, SMALL_MEAN)) / F.exp(_poly(n, SMALL_SCALE))
-    z_large = (y - _poly(log_n, LARGE_MEAN)) / F.exp(_poly(log_n, LARGE_SCALE))
+    z_small = (-F.log(gamma - y) - D.polynomial(n, SMALL_MEAN)) / F.exp(D.polynomial(n, SMALL_SCALE))
+    z_large = (y - D.polynomial(log_n, LARGE_MEAN)) / F.exp(D.polynomial(log_n, LARGE_SCALE))
     p_three = F.greatest(
         F.lit(0.0), 6.0 / F.pi() * (F.asin(F.sqrt(stat)) - F.asin(F.sqrt(F.lit(0.75))))
     )
@@ -169,24 +177,29 @@ def shapiro(data: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def normality(data: DataFrame, method: str = "auto") -> DataFrame:
-    """Per sample: Shapiro-Wilk up to 5000 values, else D'Agostino-Pearson; or the one named.
+def normality(data: DataFrame, method: str = "auto", limit: int = K.SHAPIRO_LIMIT) -> DataFrame:
+    """Per sample: Shapiro-Wilk up to ``limit`` values, else D'Agostino-Pearson; or the one named.
 
-    A sample without a single value fails the query.
+    ``method`` in the result tells which one was used. A sample without a single value fails the
+    query. Unless D'Agostino-Pearson is asked for, jobs run when called: one scan for sizes and
+    moments, one for the values of the samples that are ranked.
     """
     if method not in ("auto", "shapiro", "dagostino"):
         raise ValueError(f"Unsupported method: {method}")
-    valid = F.when(~F.isnan("value"), F.col("value"))
-    sizes = data.groupBy("sample").agg(F.count(valid).alias("_n"))
+    moments = _moments(data)
     if method == "dagostino":
-        result = dagostino(data)
-    elif method == "shapiro":
-        result = shapiro(data)
+        result = _k_squared(moments)
     else:
-        large = dagostino(data).where(F.col("n") > K.SHAPIRO_LIMIT)
-        result = shapiro(data, K.SHAPIRO_LIMIT).unionByName(large)
+        moments = checkpointed(moments)
+        chosen = F.col("n") > 0 if method == "shapiro" else F.col("n").between(1, limit)
+        result = _w(_present(data), moments.where(chosen).select(
+            "sample", F.col("n").alias("size"), "mean"))
+        if method == "auto":
+            result = result.unionByName(_k_squared(moments.where(F.col("n") > limit)))
     none = F.raise_error(F.lit("Sample has no non-null values for normality test."))
-    return sizes.join(result.drop("n"), "sample", "left").select(
+    return moments.select("sample", F.col("n").alias("_n")).join(
+        result.drop("n"), "sample", "left"
+    ).select(
         "sample", "method",
         F.when(F.col("_n") > 0, F.col("_n")).otherwise(none.cast("bigint")).alias("n"),
         "statistic", "p_value",
@@ -196,7 +209,8 @@ def normality(data: DataFrame, method: str = "auto") -> DataFrame:
 # ------------------------------------------------------------------------- variance, means
 
 def levene(data: DataFrame, center: str = "median", trim: float = 0.05) -> DataFrame:
-    """Equality of variances over all samples present (two in the usual call)."""
+    """Equality of variances over all samples present (two in the usual call). Runs jobs when
+    called (ranks, and the means of the samples)."""
     if center == "mean":
         counted = (
             _present(data).groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -226,32 +240,27 @@ def levene(data: DataFrame, center: str = "median", trim: float = 0.05) -> DataF
         centres = kept.groupBy("sample").agg(
             (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("centre")
         )
+    # Centres and means have one row per sample; all values are read twice, never joined to
+    # each other.
     away = kept.join(centres, "sample").select(
         "sample", "n", F.abs(F.col("value") - F.col("centre")).alias("z")
     )
-    means = away.groupBy("sample").agg(
+    means = checkpointed(away.groupBy("sample").agg(
         F.sum("n").alias("ni"), (F.sum(F.col("z") * F.col("n")) / F.sum("n")).alias("zi")
-    )
-    within = (
-        away.join(means, "sample").groupBy("sample")
-        .agg(
-            F.max("ni").alias("ni"), F.max("zi").alias("zi"),
-            F.sum(F.col("n") * (F.col("z") - F.col("zi")) ** 2).alias("wi"),
-        )
+    ))
+    within = away.join(means, "sample").agg(
+        F.sum(F.col("n") * (F.col("z") - F.col("zi")) ** 2).alias("w"))
+    grand = means.agg((F.sum(F.col("ni") * F.col("zi")) / F.sum("ni")).alias("g")).scalar()
+    between = means.agg(
+        F.count(F.lit(1)).cast("double").alias("k"), F.sum("ni").cast("double").alias("total"),
+        F.sum(F.col("ni") * (F.col("zi") - grand) ** 2).alias("b"),
     )
     k, total = F.col("k"), F.col("total")
-    between = F.col("nzz") - F.col("nz") ** 2 / total
     return (
-        within.agg(
-            F.count(F.lit(1)).cast("double").alias("k"),
-            F.sum("ni").cast("double").alias("total"),
-            F.sum(F.col("ni") * F.col("zi")).alias("nz"),
-            F.sum(F.col("ni") * F.col("zi") ** 2).alias("nzz"),
-            F.sum("wi").alias("w"),
-        )
+        beside(between, within)
         .select(
             F.lit(center).alias("center"),
-            F.try_divide((total - k) * between, (k - 1) * F.col("w")).alias("statistic"),
+            F.try_divide((total - k) * F.col("b"), (k - 1) * F.col("w")).alias("statistic"),
             (k - 1).alias("df1"), (total - k).alias("df2"),
         )
         .withColumn("p_value", D.f_p_value("statistic", "df1", "df2"))
@@ -322,9 +331,23 @@ def two_proportions(df: DataFrame, success1: str, total1: str, success2: str, to
 
 # ----------------------------------------------------------------------------------- ranks
 
-def mann_whitney(data: DataFrame, first, second) -> DataFrame:
-    """U of the first sample, two-sided; exact when one sample has at most 8 values and no
-    value repeats, else the tie-corrected normal approximation with continuity correction."""
+P_METHODS = ("auto", "exact", "asymptotic")
+
+
+def _check_method(method: str) -> None:
+    if method not in P_METHODS:
+        raise ValueError(f"Unsupported method: {method}")
+
+
+def mann_whitney(data: DataFrame, first, second, method: str = "auto") -> DataFrame:
+    """U of the first sample, two-sided. Runs a job when called (ranks).
+
+    ``exact`` counts all orders; it needs values without ties and n1 * n2 of at most
+    ``distributions.EXACT_TABLE``, and fails beyond. ``asymptotic`` is the tie-corrected normal
+    approximation with continuity correction. ``auto`` is exact when one sample has at most 8
+    values, no value repeats and the table fits, else asymptotic.
+    """
+    _check_method(method)
     n_first = F.count(F.when(F.col("sample") == F.lit(first), 1))
     counts = (
         _present(data).where(F.col("sample").isin([first, second])).groupBy("value")
@@ -339,7 +362,12 @@ def mann_whitney(data: DataFrame, first, second) -> DataFrame:
     spread = F.sqrt(
         n1 * n2 / 12.0 * (size + 1.0 - F.try_divide(F.col("ties"), size * (size - 1.0)))
     )
-    exact = ((n1 <= 8) | (n2 <= 8)) & (F.col("ties") == 0)
+    exact = {
+        "auto": ((n1 <= 8) | (n2 <= 8)) & (F.col("ties") == 0) & (n1 * n2 < D.EXACT_TABLE),
+        "exact": F.when(F.col("ties") == 0, True).otherwise(
+            F.raise_error(F.lit("exact U needs values without ties")).cast("boolean")),
+        "asymptotic": F.lit(False),
+    }[method]
     return (
         placed.agg(
             F.sum("n_first").cast("double").alias("n1"),
@@ -368,25 +396,37 @@ def _complete(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _with_t(df: DataFrame, name: str) -> DataFrame:
+    """p-value of a correlation; NaN, as the correlation is, when a column is constant."""
     r, freedom = F.col("r"), F.col("n") - 2.0
-    t = F.when(F.abs(r) >= 1.0, F.lit(float("inf"))).otherwise(
-        r * F.sqrt(freedom / ((1.0 - r) * (1.0 + r)))
-    )
+    t = F.when(F.isnan(r) | (freedom <= 0.0), F.lit(None).cast("double")).when(
+        F.abs(r) >= 1.0, F.lit(float("inf"))
+    ).otherwise(r * F.sqrt(F.greatest(freedom, F.lit(0.0)) / ((1.0 - r) * (1.0 + r))))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))
+    not_a_number = F.lit(float("nan"))
+    df = df.withColumn(
+        "r", F.when(F.col("r").isNull() | F.isnan("r"), not_a_number).otherwise(bounded))
     return df.withColumn("_t", t).withColumn("_df", freedom).select(
         F.lit(name).alias("test"), F.col("n").cast("bigint").alias("n"),
-        r.alias("statistic"), D.t_p_value("_t", "_df").alias("p_value"),
+        r.alias("statistic"),
+        # Two points lie on a line always.
+        F.when(F.isnan(r), r).when(F.col("_df") <= 0.0, 1.0)
+        .otherwise(D.t_p_value("_t", "_df")).alias("p_value"),
     )
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     one = _complete(df, x, y).agg(
-        F.corr("x", "y").alias("r"), F.count(F.lit(1)).cast("double").alias("n")
-    )
+        F.covar_pop("x", "y").alias("xy"), F.stddev_pop("x").alias("sx"),
+        F.stddev_pop("y").alias("sy"), F.count(F.lit(1)).cast("double").alias("n"),
+    ).select("n", F.try_divide(F.col("xy"), F.col("sx") * F.col("sy")).alias("r"))
     return _with_t(one, "pearson_r")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    pairs = _complete(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight"))
+    """Rank correlation. Runs jobs when called: the distinct pairs are pinned, so that the
+    values that ranks are joined by are evaluated once."""
+    pairs = checkpointed(
+        _complete(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight")))
     joined, size = pairs, None
     for axis in ("x", "y"):
         counts = pairs.groupBy(axis).agg(F.sum("weight").alias("n"))
@@ -408,10 +448,19 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return _with_t(one, "spearman_rho")
 
 
-def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Tau-b. The pair counts are found by an iterative job, so this call runs Spark jobs."""
-    pairs = _complete(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight"))
-    signed = signed_pairs(pairs)
+def kendall(df: DataFrame, x: str, y: str, method: str = "auto", one_task: int = SMALL_TABLE
+            ) -> DataFrame:
+    """Tau-b. The pair counts are found by an iterative job, so this call runs Spark jobs.
+
+    ``exact`` counts all orders; it needs columns without ties and fails where its table exceeds
+    ``distributions.EXACT_TABLE``. ``auto`` is exact without ties for at most 33 pairs, or where
+    at most one pair is discordant (or concordant), else the normal approximation. Tables of at
+    most ``one_task`` distinct pairs are counted in one task; the result is the same either way.
+    """
+    _check_method(method)
+    pairs = checkpointed(
+        _complete(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight")))
+    signed = signed_pairs(pairs, one_task)
 
     def ties(axis: str) -> DataFrame:
         t = F.col("t").cast("double")
@@ -437,7 +486,13 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     )
     discordant = (all_pairs - s) / 2.0
     few = (n <= 33) | (F.least(discordant, all_pairs - discordant) <= 1)
-    exact = few & (F.col("top_x") == 1) & (F.col("top_y") == 1)
+    untied = (F.col("top_x") == 1) & (F.col("top_y") == 1)
+    exact = {
+        "auto": few & untied,
+        "exact": F.when(untied, True).otherwise(
+            F.raise_error(F.lit("exact tau needs columns without ties")).cast("boolean")),
+        "asymptotic": F.lit(False),
+    }[method]
     return (
         beside(ties("x"), ties("y"))
         .withColumn("statistic", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), tau)))
@@ -465,9 +520,12 @@ FDR_METHODS = (
 def adjust_p_values(df: DataFrame, p: str = "p_value", alpha: float = 0.05,
                     method: str = "fdr_bh") -> DataFrame:
     """Add ``q_value`` and ``rejected``. The family is the whole frame; ranks come from
-    distinct p-values, so a family of any size is adjusted without one sorting task."""
+    distinct p-values, so a family of any size is adjusted without one sorting task. Runs jobs
+    when called (the frame is pinned and its p-values are ranked)."""
     if method not in FDR_METHODS:
         raise ValueError(f"Unsupported method: {method}")
+    # Pinned: the values that q-values are joined by are evaluated once.
+    df = checkpointed(df)
     counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
     size = counts.agg(F.sum("_n").cast("double").alias("m"))
     m = size.scalar()
@@ -494,9 +552,7 @@ def adjust_p_values(df: DataFrame, p: str = "p_value", alpha: float = 0.05,
         else:
             scale = m
             if method == "fdr_by":
-                # Harmonic number: the table of ranks summed as 1/rank over each run of ties.
-                ranks = cut.select(F.explode(F.sequence(first, last)).alias("r"))
-                scale = m * ranks.agg(F.sum(1.0 / F.col("r"))).scalar()
+                scale = m * size.select(D.harmonic(F.col("m"))).scalar()
             table = running_min_from_top(cut, p, value * scale / last, "_q")
     if method in ("fdr_tsbh", "fdr_tsbky"):
         # The first stage counts rejections; the second takes the rest as the true nulls.

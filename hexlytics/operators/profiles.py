@@ -12,10 +12,15 @@ def _incidents() -> Column:
     return F.count(F.lit(1)).alias("incidents")
 
 
-def _arrests(df: DataFrame) -> Column:
+def arrest(df: DataFrame) -> Column:
+    """1 for a row with an arrest, else 0; 0 for all rows of a frame without the column."""
     if "arrest_made" not in df.columns:
-        return F.sum(F.lit(0)).cast("bigint").alias("arrests")
-    return F.sum(arrest_flag(df, "arrest_made")).alias("arrests")
+        return F.lit(0).cast("bigint")
+    return arrest_flag(df, "arrest_made")
+
+
+def _arrests(df: DataFrame) -> Column:
+    return F.sum(arrest(df)).alias("arrests")
 
 
 def daily_series(df: DataFrame) -> DataFrame:

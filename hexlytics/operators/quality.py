@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics import constants as K
 from hexlytics.functions.features import cyclic_distance
@@ -19,25 +18,40 @@ def _partition_of(path: str) -> dict:
     }
 
 
-def partition_manifest(df: DataFrame, layer: str, levels: Sequence[int] = (7, 8, 9),
-                       expected: DataFrame | None = None) -> DataFrame:
-    """Rows per stored file with its partition values and which cell columns the layer has.
+def partition_manifest(spark: SparkSession, path: str, layer: str,
+                       levels: Sequence[int] = (7, 8, 9), expected: DataFrame | None = None
+                       ) -> DataFrame:
+    """One row per stored file: its partition values, rows, and which cell columns hold values.
 
-    ``expected`` (year, month) adds a row for each month without any file.
+    A file that cannot be read has a row with an error. ``expected`` (year, month) adds a row
+    for each month without any file.
     """
-    files = (
-        df.select(F.col("_metadata.file_path").alias("path"))
-        .groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    listed = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", True).load(path).select(F.col("path").alias("_path"))
     )
-    found = files.withColumns(_partition_of("path")).withColumn("exists", F.lit(True))
+    rows = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(path)
+    flags = {f"h3_r{r}": f"h3_r{r}" in rows.columns for r in levels}
+    read = rows.select(
+        F.col("_metadata.file_path").alias("_read"),
+        *[F.col(c) if there else F.lit(None).cast("string").alias(c) for c, there in flags.items()]
+    ).groupBy("_read").agg(
+        F.count(F.lit(1)).alias("rows"), *[(F.count(c) > 0).alias(c) for c in flags])
+    # Both paths in one spelling: some listings leave out the slashes of an empty host.
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(
+        F.col(c), F.lit("+"), F.lit("%2B"))), "^([a-z]+:)/+", "$1/")
+    files = listed.select(plain("_path").alias("path")).join(
+        read.withColumn("path", plain("_read")).drop("_read"), "path", "left"
+    ).withColumns(_partition_of("path")).withColumn("exists", F.lit(True))
     if expected is not None:
-        found = expected.select("year", "month").join(found, ["year", "month"], "left").withColumn(
+        files = expected.select("year", "month").join(files, ["year", "month"], "left").withColumn(
             "exists", F.coalesce("exists", F.lit(False))
         )
-    return found.select(
+    return files.select(
         F.lit(layer).alias("layer"), "res", "year", "month", "path", "exists", "rows",
-        *[F.lit(f"h3_r{r}" in df.columns).alias(f"h3_r{r}") for r in levels],
-        F.when(~F.col("exists"), "missing partition").alias("error"),
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in flags],
+        F.when(~F.col("exists"), "missing partition")
+        .when(F.col("rows").isNull(), "unreadable or empty file").alias("error"),
     )
 
 
@@ -108,31 +122,26 @@ CONTINUITY_POINTS = [
 
 def cyclic_continuity(df: DataFrame) -> DataFrame:
     """Per cycle: the distance over the wrap and across the circle, for the codes stored in a
-    feature table (mean point of each step, so wrong codes show)."""
-    out = []
-    for column, period, point, near, far in CONTINUITY_POINTS:
+    feature table (mean point of each step, so wrong codes show). One scan."""
+    means, cycles = {}, []
+    for column, _, point, near, far in CONTINUITY_POINTS:
         offset = 1 if column == "month" else 0
         prefix = {"day_of_week": "dow"}.get(column, column)
-
-        def coded(step: int, part: str):
-            here = F.col(column) == step + offset
-            return F.avg(F.when(here, F.col(f"{prefix}_{part}")))
+        for step in (point, near, far):
+            for part in ("sin", "cos"):
+                here = F.when(F.col(column) == step + offset, F.col(f"{prefix}_{part}"))
+                means[f"{prefix}_{step}_{part}"] = F.avg(here)
 
         def apart(a: int, b: int):
-            return F.sqrt(
-                F.pow(coded(a, "sin") - coded(b, "sin"), F.lit(2.0))
-                + F.pow(coded(a, "cos") - coded(b, "cos"), F.lit(2.0))
-            )
-
-        out.append(
-            df.agg(
-                F.lit(column).alias("cycle"),
-                apart(point, near).alias("near_distance"),
-                apart(point, far).alias("far_distance"),
-            )
-        )
-    joined = reduce(lambda a, b: a.unionByName(b), out)
-    return joined.withColumn("valid", F.col("near_distance") < F.col("far_distance"))
+            gaps = [F.col(f"{prefix}_{a}_{p}") - F.col(f"{prefix}_{b}_{p}") for p in ("sin", "cos")]
+            return F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1])
+
+        cycles.append(F.struct(
+            F.lit(column).alias("cycle"), apart(point, near).alias("near_distance"),
+            apart(point, far).alias("far_distance")))
+    one = df.agg(*[c.alias(name) for name, c in means.items()])
+    return one.select(F.inline(F.array(*cycles))).withColumn(
+        "valid", F.col("near_distance") < F.col("far_distance"))
 
 
 def step_distances(df: DataFrame, column: str, period: int) -> DataFrame:

@@ -27,19 +27,13 @@ def gold_daily(silver: DataFrame, levels: Sequence[int] = tuple(K.RESOLUTIONS),
     )
 
 
-def gold_monthly(silver: DataFrame, levels: Sequence[int] = tuple(K.RESOLUTIONS),
-                 alpha: float = K.PRIOR_WEIGHT) -> DataFrame:
-    """Counts and rates per cell and month, smoothed with the month's daily prior."""
-    daily = C.daily_levels(silver, levels)
-    priors = C.month_priors(C.with_month_keys(daily))
-    monthly = (
-        C.monthly_counts(daily, ["res", "i", "j"])
-        .withColumn("year", F.year("month_start")).withColumn("month", F.month("month_start"))
-    )
+def gold_monthly(daily: DataFrame, alpha: float = K.PRIOR_WEIGHT) -> DataFrame:
+    """Counts and rates per cell and month from the daily table, smoothed with the month's prior."""
+    monthly = daily.groupBy(*KEYS, "cell").agg(
+        F.sum("n_crimes").alias("n_crimes"), F.sum("n_arrests").alias("n_arrests"))
     n, k = F.col("n_crimes"), F.col("n_arrests")
-    return C.with_prior(monthly, priors).select(
-        *KEYS, L.cell_id(F.col("res"), F.col("i"), F.col("j")).alias("cell"),
-        "n_crimes", "n_arrests", R.raw_rate(k, n).alias("raw_rate"),
+    return C.with_prior(monthly, C.month_priors(daily)).select(
+        *KEYS, "cell", "n_crimes", "n_arrests", R.raw_rate(k, n).alias("raw_rate"),
         R.smoothed(k, n, F.col("prior"), alpha).alias("smoothed_rate"),
     )
 

@@ -10,12 +10,13 @@ from hexlytics import constants as K
 from hexlytics.functions.features import category_of
 from hexlytics.operators import context as X, profiles as P
 from hexlytics.operators.onerow import beside
+from hexlytics.session import checkpointed
 
 
 @dataclass(frozen=True)
 class Drill:
-    """A parent cell and a frame of its children (column ``child``); a parent has at most
-    seven, which bounds the broadcast of the frame."""
+    """A parent cell and a frame of its children (column ``child``). A parent has seven, but any
+    frame is accepted, so joins with it are left to the optimizer, which checks sizes."""
 
     parent_res: int
     parent: str
@@ -78,7 +79,7 @@ class HotspotView:
     def _in_scope(self, df: DataFrame, cell: str) -> DataFrame:
         if self.drill is None:
             return df
-        children = F.broadcast(self.drill.children.select(F.col("child").alias(cell)))
+        children = self.drill.children.select(F.col("child").alias(cell))
         return df.join(children, cell, "left_semi")
 
     def share(self) -> DataFrame:
@@ -134,17 +135,29 @@ class HotspotView:
             found = self.filtered().limit(1).agg((F.count(F.lit(1)) > 0).alias("found")).scalar()
             return self.incidents.where(match | ~found)
 
-        children = F.broadcast(
-            self.drill.children.select(F.col("child").alias(self.cell), F.lit(True).alias("_in"))
-        )
-        child = F.coalesce(F.col("_in"), F.lit(False))
+        flagged = self._flagged(self.incidents.columns)
+        return flagged.where(self._keep(flagged)).drop("_m", "_c", "_p")
+
+    def _flagged(self, columns) -> DataFrame:
+        """Rows with ``_m`` (selected), ``_c`` (in a drilled cell), ``_p`` (in the parent)."""
+        match = F.lit(True) if self.matches is None else self.matches
+        if self.drill is None:
+            return self.incidents.select(
+                *columns, match.alias("_m"), F.lit(True).alias("_c"), F.lit(True).alias("_p"))
+        children = self.drill.children.select(
+            F.col("child").alias(self.cell), F.lit(True).alias("_in")).distinct()
         parent_column = f"h3_r{self.drill.parent_res}"
-        parent = F.coalesce(F.col(parent_column) == self.drill.parent, F.lit(False))
-        flagged = self.incidents.join(children, self.cell, "left").select(
-            *self.incidents.columns,
-            match.alias("_m"), child.alias("_c"), parent.alias("_p"),
+        return self.incidents.join(children, self.cell, "left").select(
+            *columns, match.alias("_m"), F.coalesce("_in", F.lit(False)).alias("_c"),
+            F.coalesce(F.col(parent_column) == self.drill.parent, F.lit(False)).alias("_p"),
         )
+
+    def _keep(self, flagged: DataFrame) -> Column:
+        """Which flagged rows are in view; decided by one aggregate over their flags."""
         any_match = F.coalesce(F.max("_m"), F.lit(False))
+        if self.drill is None:
+            found = flagged.agg(any_match.alias("found")).scalar()
+            return F.col("_m") | ~found
         any_both = F.coalesce(F.max(F.col("_m") & F.col("_c")), F.lit(False))
         any_child = F.coalesce(F.max("_c"), F.lit(False))
         any_parent = F.coalesce(F.max("_p"), F.lit(False))
@@ -163,14 +176,25 @@ class HotspotView:
             F.lit("selected children"), F.col("_m") & F.col("_c"), F.lit("children"), F.col("_c"),
             F.lit("parent"), F.col("_p"), F.lit("all"), F.lit(True),
         )
-        keep = F.coalesce(F.try_element_at(kept, choice), F.lit(False))
-        return flagged.where(keep).drop("_m", "_c", "_p")
+        return F.coalesce(F.try_element_at(kept, choice), F.lit(False))
 
     # ------------------------------------------------------------------ key figures
 
-    def trend(self) -> DataFrame:
-        """One row: totals, and last-week minus first-week daily means (0 under seven days)."""
-        daily = P.daily_series(self.rows())
+    def _tally(self) -> DataFrame:
+        """(date, h3_id, _m, _c, _p, incidents, arrests): counts from one scan of the incidents,
+        pinned, as long as the daily table at most."""
+        at = "datetime" if "datetime" in self.incidents.columns else "date"
+        flagged = self._flagged([F.to_date(at).alias("date"), F.col(self.cell).alias("h3_id"),
+                                 P.arrest(self.incidents).alias("_a")])
+        return checkpointed(
+            flagged.groupBy("date", "h3_id", "_m", "_c", "_p")
+            .agg(F.count(F.lit(1)).alias("incidents"), F.sum("_a").alias("arrests")))
+
+    @staticmethod
+    def _trend(rows: DataFrame) -> DataFrame:
+        """One row from counts per date: totals, and last-week minus first-week daily means."""
+        daily = rows.where("date is not null").groupBy("date").agg(
+            F.sum("incidents").alias("incidents"), F.sum("arrests").alias("arrests"))
         first = daily.orderBy("date").limit(7)
         last = daily.orderBy(F.col("date").desc()).limit(7)
 
@@ -186,10 +210,17 @@ class HotspotView:
             (F.col("a_last") - F.col("a_first")).alias("arrest_trend"),
         )
 
+    def trend(self) -> DataFrame:
+        """One row: totals, and last-week minus first-week daily means (0 under seven days)."""
+        return self._trend(P.daily_series(self.rows()))
+
     def kpis(self) -> DataFrame:
-        """One row of key figures. Share figures are null without a focus."""
-        total = self.rows().agg(F.count(F.lit(1)).alias("total_incidents"))
-        cells = self.map_cells()
+        """One row of key figures over all cells in scope. Share figures are null without a
+        focus. Runs a job when called: every figure comes from one tally of the incidents."""
+        tally = self._tally()
+        rows = tally.where(self._keep(tally))
+        total = rows.agg(F.coalesce(F.sum("incidents"), F.lit(0)).alias("total_incidents"))
+        cells = self._in_scope(X.period_summary(self.gold), "h3_id").select("h3_id", "n_crimes")
         if self.matches is None:
             lead = cells.agg(
                 F.coalesce(F.max("n_crimes"), F.lit(0).cast("bigint")).alias("busiest_cell_count"),
@@ -199,8 +230,16 @@ class HotspotView:
                 F.lit(None).cast("double").alias("leading_share"),
             )
         else:
-            on = self.focused()
-            rank = F.when(on, -F.coalesce("focus_count", F.lit(0))).otherwise(-F.col("n_crimes"))
+            on = F.lit(True) if self.types else tally.agg(
+                F.coalesce(F.max("_m"), F.lit(False)).alias("on")).scalar()
+            counted = tally.where("h3_id is not null").groupBy("h3_id").agg(
+                F.sum("incidents").alias("_all"),
+                F.sum(F.when(F.col("_m"), F.col("incidents")).otherwise(0)).alias("focus_count"))
+            cells = cells.join(counted, "h3_id", "left").select(
+                "h3_id", "n_crimes", F.coalesce("focus_count", F.lit(0)).alias("focus_count"),
+                F.coalesce(F.bround(F.col("focus_count") / F.col("_all"), 3), F.lit(0.0))
+                .alias("focus_share"))
+            rank = F.when(on, -F.col("focus_count")).otherwise(-F.col("n_crimes"))
             top = F.min_by(
                 F.struct("h3_id", "focus_share"), F.struct(rank.alias("r"), "h3_id")
             )
@@ -213,13 +252,14 @@ class HotspotView:
                 F.when(on, F.col("mean_share")).alias("average_focus_share"),
                 F.when(on, F.col("top.focus_share")).alias("leading_share"),
             )
-        return beside(total, lead, self.trend()).withColumn(
+        return beside(total, lead, self._trend(rows)).withColumn(
             "leading_delta", F.col("leading_share") - F.col("average_focus_share")
         )
 
     def signature_streets(self, limit: int = 20) -> DataFrame:
-        """Busiest cells with their anchor block and typical values, share as text."""
-        cells = self.map_cells()
+        """Busiest of all cells in scope with their anchor block and typical values, share as
+        text."""
+        cells = self.summary()
         order = F.col("n_crimes")
         if self.matches is not None:
             order = F.when(self.focused(), F.col("selection_n_crimes")).otherwise(order)
@@ -236,6 +276,6 @@ class HotspotView:
         )
 
     def narrative(self) -> DataFrame:
-        return X.narrative(self.map_cells())
+        return X.narrative(self.summary())
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,8 @@ def build_session(app: str = "hexlytics", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Checkpoints go when the frames that need them are gone.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Wide projections make methods the JVM will not compile; above this size Spark
         # generates small ones instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
@@ -26,11 +31,19 @@ def build_session(app: str = "hexlytics", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+@lru_cache
+def _local_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix="hexlytics-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    A machine-local folder is used only by a local master; a cluster without the setting is
-    an error, since executors could not read each other's files.
+    A machine-local folder is used only by a local master, one per application, removed when
+    Python ends; a cluster without the setting is an error, since executors could not read each
+    other's files.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -41,7 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir():
         return context.getCheckpointDir()
     if context.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="hexlytics-")
+        return _local_folder(context.applicationId)
     raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hexlytics import schemas as S
 
@@ -16,26 +20,87 @@ CSV = {
 }
 
 
-def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Yearly files as text columns; types come later, so nothing is lost on read."""
-    rows = spark.read.schema(S.RAW_SCHEMA).options(**CSV).csv(
-        paths if isinstance(paths, str) else list(paths)
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def header_columns(line: str) -> list[str]:
+    """Column names of a header line; nameless and repeated ones get names of their own."""
+    names: list[str] = []
+    for k, name in enumerate(next(csv.reader([line.removeprefix("﻿")]), [])):
+        name = name or f"_c{k}"
+        names.append(name if name not in names else f"{name}_{k}")
+    return names
+
+
+def _by_header(spark: SparkSession, paths: Sequence[str], lenient: bool
+               ) -> list[tuple[list[str], list[str]]]:
+    """(columns, files) of each distinct header line. Reads the first block of every file."""
+    lines = (
+        spark.read.option("ignoreCorruptFiles", lenient).text(list(paths))
+        .where(F.col("_metadata.file_block_start") == 0)
+        .select("value", F.col("_metadata.file_path").alias("path"),
+                F.monotonically_increasing_id().alias("at"))
     )
-    return rows.select(*S.RAW_SCHEMA.names)
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    # The driver lists files anyway; there are few headers.
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return [
+        (header_columns(r["header"]), [unquote(f) for f in r["files"]])
+        for r in groups.orderBy("header").collect()
+    ]
+
+
+def read_by_header(spark: SparkSession, paths: str | Iterable[str], lenient: bool = False
+                   ) -> DataFrame | None:
+    """Text columns of CSV files, matched by the names in each file's header.
+
+    Files of one header are read by one plan, however many there are; a column that a file
+    lacks is null. Empty files add nothing. Lenient: absent paths and corrupt files are
+    skipped. None when no file has a line. Runs a small job when called (the headers).
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
+    if lenient:
+        given = [p for p in given if _exists(spark, p)]
+    groups = _by_header(spark, given, lenient) if given else []
+    parts = []
+    for columns, files in groups:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        reader = spark.read.schema(schema).options(**CSV).option("ignoreCorruptFiles", lenient)
+        # With one header for all, the paths as given spare a second listing.
+        parts.append(reader.csv(given if len(groups) == 1 else files).select(
+            *[F.col(f"`{c}`") for c in columns]))
+    if not parts:
+        return None
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Yearly files as text columns; types come later, so nothing is lost on read.
+
+    Columns are found by header name: order is free, absent ones are null, others left out.
+    """
+    rows = read_by_header(spark, paths)
+    if rows is None:
+        return spark.createDataFrame([], S.RAW_SCHEMA)
+    return rows.select(*[
+        F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c)
+        for c in S.RAW_SCHEMA.names])
 
 
 def read_monthly_raw(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Monthly files, columns matched by header name; unreadable files are skipped."""
-    out = None
-    for path in paths:
-        part = (
-            spark.read.options(**CSV).option("ignoreCorruptFiles", True)
-            .option("ignoreMissingFiles", True).csv(path)
-        )
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("no monthly files given")
-    return out
+    """Monthly files with all their columns, matched by header name; absent and unreadable
+    files are skipped."""
+    rows = read_by_header(spark, paths, lenient=True)
+    if rows is None:
+        raise ValueError("no monthly file could be read")
+    return rows
 
 
 def write_raw_by_year(df: DataFrame, path: str, year: str = "year") -> None:

@@ -1,32 +1,77 @@
-"""Load raw files that have not been loaded yet.
+"""Load raw files that have not been loaded yet, up to the layers.
 
-The stream's checkpoint is the manifest of finished files: a run picks up what is new, writes
-it, and ends; a run that dies repeats its batch. Only months touched by new files are rebuilt.
+The stream's checkpoint is the manifest of finished files: a run picks up what is new and ends;
+a run that dies repeats its batch. Rows of a batch are kept by month and batch in a landing
+table, and the months a batch touches are written anew in the bronze table from all their
+landed rows. A repeated batch replaces its own landed rows, so it changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hexlytics import schemas as S
 from hexlytics.plans.bronze import bronze
-from hexlytics.sources.raw import CSV
+from hexlytics.plans.gold import gold_daily
+from hexlytics.plans.silver import silver
+from hexlytics.sources import layers as T
+from hexlytics.sources.raw import read_raw
+
+Month = tuple[int, int]
+
+
+def in_months(months: list[Month]) -> Column:
+    """A condition on year and month that prunes partitions."""
+    either = [(F.col("year") == y) & (F.col("month") == m) for y, m in months]
+    return reduce(lambda a, b: a | b, either, F.lit(False))
+
 
+def land(spark: SparkSession, files: list[str], batch: int, landing_path: str, bronze_path: str
+         ) -> list[Month]:
+    """Add the rows of raw files to the bronze table; the months that were touched."""
+    rows = bronze(read_raw(spark, files)).withColumn("batch", F.lit(batch))
+    T.write_partitioned(rows, landing_path, ["year", "month", "batch"])
+    landed = T.read_layer(spark, landing_path)
+    if landed is None:
+        return []
+    # Partition values only, one row per calendar month.
+    months = [(r["year"], r["month"]) for r in landed.where(F.col("batch") == batch)
+              .select("year", "month").distinct().orderBy("year", "month").collect()]
+    if months:
+        T.write_bronze(landed.where(in_months(months)).drop("batch"), bronze_path)
+    return months
 
-def load_new_files(spark: SparkSession, raw_path: str, bronze_path: str, checkpoint: str) -> None:
-    """Append bronze rows of new raw CSV files, each batch once."""
+
+def load_new_files(spark: SparkSession, raw_path: str, landing_path: str, bronze_path: str,
+                   checkpoint: str) -> list[Month]:
+    """Load new raw CSV files, each once, into the bronze table; the months they touch."""
+    touched: set[Month] = set()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A repeated batch replaces its own folder, so no row is written twice.
-        (
-            bronze(batch).withColumn("batch", F.lit(batch_id))
-            .hint("rebalance", "year", "month").write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch", "year", "month").parquet(bronze_path)
-        )
+        # As many paths as there are new files.
+        files = [unquote(r["path"]) for r in batch.distinct().collect()]
+        if files:
+            touched.update(land(spark, sorted(files), batch_id, landing_path, bronze_path))
 
     (
-        spark.readStream.schema(S.RAW_SCHEMA).options(**CSV).csv(raw_path)
+        spark.readStream.text(raw_path).select(F.col("_metadata.file_path").alias("path"))
         .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start().awaitTermination()
     )
+    return sorted(touched)
+
+
+def rebuild_months(spark: SparkSession, months: list[Month], bronze_path: str, silver_path: str,
+                   gold_path: str) -> None:
+    """Silver and gold of these months anew; all other partitions stay as they are.
+
+    Fills and priors are per calendar month and rings per day, so a month depends on its own
+    rows only.
+    """
+    if not months:
+        return
+    chosen = in_months(months)
+    T.write_silver(silver(T.read_layer(spark, bronze_path, strict=True).where(chosen)), silver_path)
+    T.write_gold(gold_daily(T.read_layer(spark, silver_path, strict=True).where(chosen)), gold_path)

@@ -82,7 +82,7 @@ def test_gold_invariants(incidents):
     per_level = {r["res"]: r["n"] for r in
                  gold.groupBy("res").agg(F.sum("n_crimes").alias("n")).collect()}
     assert set(per_level.values()) == {600} and set(per_level) == {6, 7, 8, 9, 10}
-    monthly = gold_monthly(incidents).groupBy("res").agg(F.sum("n_crimes").alias("n"))
+    monthly = gold_monthly(gold_daily(incidents)).groupBy("res").agg(F.sum("n_crimes").alias("n"))
     assert {r["n"] for r in monthly.collect()} == {600}
 
 

@@ -251,3 +251,151 @@ def test_report_and_samples(spark):
     r = H.report(H.pearson(pairs(spark, [1, 2, 3], [1, 2, 4]), "x", "y"), "q", "h0", "h1", "Pearson",
                  "statistic", "p_value", notes="n").first()
     assert (r["question"], r["effect_size"], r["notes"]) == ("q", None, "n")
+
+
+# ------------------------------------------------------------------ inputs that broke it once
+
+@pytest.mark.parametrize("df", [1e8, 1e12, 1e15])
+@pytest.mark.parametrize("t", [0.01, 1.0, 2.0, 5.0, 12.0])
+def test_student_tail_meets_the_normal_one(df, t):
+    # The gap of the two is of the order t**4 / df.
+    assert D.student_two_sided(t, df) == pytest.approx(
+        2 * D.normal_upper(t), rel=max(1e-9, 10 * t**4 / df))
+
+
+@pytest.mark.parametrize("df", [2.0, 3.0, 30.0, 99_998.0, 100_002.0, 250_000.0])
+def test_student_tail_against_its_integral(df):
+    for t in (0.3, 1.7, 4.0):
+        steps = 20_000
+        log_front = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+        if df > 1e4:  # the gamma ratio by its expansion
+            log_front = -0.5 * math.log(2 * math.pi) - 1 / (4 * df)
+        inside = sum(math.exp(log_front - (df + 1) / 2 * math.log1p((t * (k + 0.5) / steps) ** 2 / df))
+                     for k in range(steps)) * t / steps
+        assert D.student_two_sided(t, df) == pytest.approx(1 - 2 * inside, abs=2e-9)
+
+
+def test_fisher_tail_of_large_and_small_parts():
+    assert D.fisher_upper(4.0, 1.0, 1e12) == pytest.approx(D.student_two_sided(2.0, 1e12), rel=1e-9)
+    assert D.fisher_upper(1.0, 1e6, 1e6) == pytest.approx(0.5, abs=1e-9)
+    assert D.fisher_upper(0.5, 10.0, 1e9) + D.fisher_upper(2.0, 1e9, 10.0) == pytest.approx(1.0)
+
+
+def test_an_unfinished_fraction_is_an_error(monkeypatch):
+    monkeypatch.setattr(D, "_MOST_TERMS", 3)
+    with pytest.raises(ArithmeticError):
+        D.incomplete_beta(500.0, 400.0, 0.5, 0.5)
+
+
+def _pairs(spark, n, y="x * x + 1"):
+    return spark.range(n).selectExpr("CAST(id AS DOUBLE) AS x").selectExpr("x", f"{y} AS y")
+
+
+@pytest.mark.parametrize("n", [2, 5, 171, 300, 1_000_000])
+def test_kendall_of_monotone_columns(spark, n):
+    r = H.kendall(_pairs(spark, n), "x", "y").first()
+    assert r["statistic"] == pytest.approx(1.0)
+    expected = 2 / math.factorial(n) if n < 150 else 0.0
+    assert r["p_value"] == pytest.approx(min(1.0, expected), rel=1e-9, abs=1e-290)
+
+
+def test_kendall_with_one_discordant_pair(spark):
+    rows = [(float(k), float(k)) for k in range(200)]
+    rows[10], rows[11] = (10.0, 11.0), (11.0, 10.0)
+    r = H.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    assert 0.0 <= r["p_value"] < 1e-300
+
+
+def test_kendall_in_one_task_or_in_buckets(spark):
+    rng = random.Random(8)
+    rows = [(float(rng.randrange(30)), float(rng.randrange(40))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    assert H.kendall(df, "x", "y").first() == H.kendall(df, "x", "y", one_task=20).first()
+
+
+def test_methods_of_rank_tests(spark):
+    rows = [("a", float(k)) for k in range(7)] + [("b", k + 0.5) for k in range(3, 12)]
+    df = spark.createDataFrame(rows, "sample string, value double")
+    p = {m: H.mann_whitney(df, "a", "b", m).first()["p_value"] for m in H.P_METHODS}
+    assert p["auto"] == p["exact"] != p["asymptotic"] and abs(p["exact"] - p["asymptotic"]) < 0.05
+    tied = df.unionByName(df)
+    assert H.mann_whitney(tied, "a", "b").first()["p_value"] == H.mann_whitney(
+        tied, "a", "b", "asymptotic").first()["p_value"]
+    with pytest.raises(PySparkException):
+        H.mann_whitney(tied, "a", "b", "exact").collect()
+    with pytest.raises(ValueError):
+        H.mann_whitney(df, "a", "b", "guess")
+    with pytest.raises(ValueError):
+        D.rank_sum_upper(5, 3000, 3000)
+    many = _pairs(spark, 40, "CAST((CAST(id AS INT) * 7) % 41 AS DOUBLE)".replace("id", "x"))
+    few = {m: H.kendall(many, "x", "y", m).first()["p_value"] for m in H.P_METHODS}
+    assert few["auto"] == few["asymptotic"] and abs(few["exact"] - few["asymptotic"]) < 0.02
+
+
+@pytest.mark.parametrize("fn", [H.pearson, H.spearman])
+def test_correlation_of_a_constant_and_of_two_rows(spark, fn):
+    flat = fn(_pairs(spark, 50, "5.0D"), "x", "y").first()
+    assert math.isnan(flat["statistic"]) and math.isnan(flat["p_value"])
+    two = fn(_pairs(spark, 2), "x", "y").first()
+    assert two["statistic"] == pytest.approx(1.0) and two["p_value"] == 1.0
+
+
+def test_levene_far_from_zero(spark):
+    rng = random.Random(5)
+    rows = [(s, rng.gauss(0, 1 + 3 * (s == "b"))) for s in "ab" for _ in range(400)]
+    df = spark.createDataFrame(rows, "sample string, value double")
+    near = H.levene(df).first()["statistic"]
+    # Whole powers of two keep the values exact.
+    far = df.withColumn("value", F.round(F.col("value") * 1024) / 1024 + 2.0**40)
+    assert H.levene(far).first()["statistic"] == pytest.approx(near, rel=1e-2) and near > 50
+
+
+def test_levene_of_a_large_spread_and_a_small_difference(spark):
+    rows = [(s, c + d) for s, d in (("a", 1e-3), ("b", 2e-3)) for c in (-1e8, 1e8) for _ in range(3)]
+    df = spark.createDataFrame(rows, "sample string, value double")
+    z = {s: [abs(v - sum(x for t, x in rows if t == s) / 6) for t, v in rows if t == s] for s in "ab"}
+    grand = sum(map(sum, z.values())) / 12
+    between = sum(6 * (sum(v) / 6 - grand) ** 2 for v in z.values())
+    got = H.levene(df, "mean").first()["statistic"]
+    assert got is None or got >= 0.0 and between >= 0.0
+
+
+def test_q_values_of_an_input_that_differs_at_each_evaluation(spark):
+    rows = spark.range(4000).select(
+        "id", (F.lit(0.3) + F.rand() * 1e-15 + F.col("id") % 7 / 100.0).alias("p_value"))
+    out = H.adjust_p_values(rows)
+    assert out.count() == 4000 and out.where("q_value is null").count() == 0
+
+
+def test_harmonic_numbers(spark):
+    rows = spark.range(1, 400).select("id", D.harmonic(F.col("id").cast("double")).alias("h"))
+    total = 0.0
+    for r in rows.orderBy("id").collect():
+        total += 1 / r["id"]
+        assert r["h"] == pytest.approx(total, rel=1e-10)
+
+
+def test_normal_quantile_of_columns(spark):
+    from statistics import NormalDist
+
+    p = [1e-300, 1e-30, 1e-11, 1e-5, 0.02, 0.075, 0.3, 0.5, 0.6, 0.93, 0.99, 1 - 1e-9]
+    df = D.with_normal_quantile(spark.createDataFrame([(x,) for x in p], "p double"), F.col("p"), "z")
+    for r in df.collect():
+        assert r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-11, abs=1e-12)
+
+
+def test_shapiro_of_many_equal_values(spark):
+    df = spark.range(10_000_000).select(
+        F.lit("s").alias("sample"), F.when(F.col("id") < 10, F.col("id").cast("double"))
+        .otherwise(3.0).alias("value"))
+    r = H.shapiro(df).first()
+    assert r["n"] == 10_000_000 and 0.0 < r["statistic"] < 0.01 and r["p_value"] < 1e-6
+
+
+def test_the_bound_of_normality_is_an_argument(spark):
+    rng = random.Random(9)
+    rows = [(s, rng.gauss(0, 1)) for s, n in (("small", 30), ("large", 60)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "sample string, value double")
+    for limit, large in ((60, "shapiro"), (59, "dagostino")):
+        got = {r["sample"]: r["method"] for r in H.normality(df, limit=limit).collect()}
+        assert got == {"small": "shapiro", "large": large}

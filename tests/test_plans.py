@@ -51,3 +51,22 @@ def test_silver_shuffles_the_mode_counts_only(spark):
     exchanges = [line for line in text.splitlines() if "Exchange hash" in line]
     assert len(exchanges) == 2
     assert "field" in exchanges[1] and "latitude" not in "".join(exchanges)
+
+
+def scans(df):
+    """Scans of the silver table in the plan that ran, reused exchanges counted once."""
+    text = plan(df, run=True)
+    return len([line for line in text.splitlines() if "FileScan parquet" in line
+                and "primary_type" in line])
+
+
+def test_key_figures_scan_the_incidents_once(spark):
+    # Everything hangs on one pinned tally; the rest of the plan reads gold and the drill map.
+    assert scans(QUERIES["kpis_drilled_r8"](spark, SF_DIR)) == 0
+    assert scans(QUERIES["kpis_focus_r9"](spark, SF_DIR)) == 0
+
+
+def test_normal_scores_need_no_python(spark):
+    text = plan(QUERIES["normality_by_user"](spark, SF_DIR))
+    assert text.count("ArrowEvalPython") <= 1
+    assert "normal_quantile" not in text

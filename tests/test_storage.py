@@ -8,7 +8,7 @@ from hexlytics.operators import quality as Q
 from hexlytics.plans.bronze import bronze
 from hexlytics.plans.silver import silver
 from hexlytics.sources import layers as T, raw as R
-from hexlytics.streaming.ingest import load_new_files
+from hexlytics.streaming.ingest import land, load_new_files, rebuild_months
 
 
 def raw(spark, *moments):
@@ -29,17 +29,43 @@ def test_raw_files_round_trip(spark, folder):
         map(tuple, df.collect()), key=str)
 
 
+def test_columns_are_found_by_name_in_any_order(spark, folder):
+    path, df = folder("raw"), raw(spark, *MOMENTS)
+    names = list(reversed(df.columns))
+    df.limit(2).write.options(**R.CSV).csv(f"{path}/a")
+    rest = df.exceptAll(df.limit(2)).drop("case_number").withColumn("remark", F.lit("x"))
+    rest.select("remark", *[c for c in names if c != "case_number"]).write.options(**R.CSV).csv(
+        f"{path}/b")
+    back = R.read_raw(spark, [f"{path}/a", f"{path}/b"])
+    assert back.columns == S.RAW_SCHEMA.names
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert bronze(back).count() == 4
+
+
+def test_header_names():
+    assert R.header_columns('\ufeffid,"a, b",,id') == ["id", "a, b", "_c2", "id_3"]
+
+
 def test_monthly_files_match_columns_by_name_and_skip_the_unreadable(spark, folder):
+    import os
+
     a, b, c = folder("m1"), folder("m2"), folder("m3")
     df = raw(spark, *MOMENTS).select("id", "date", "block")
     df.limit(1).write.options(**R.CSV).csv(a)
     df.select("block", "id").limit(2).write.options(**R.CSV).csv(b)
-    out = R.read_monthly_raw(spark, [a, b])
+    plain = c.removeprefix("file:")
+    os.makedirs(plain)
+    with open(f"{plain}/empty.csv", "w"):
+        pass
+    with open(f"{plain}/broken.csv.gz", "wb") as f:
+        f.write(b"this is not gzip")
+    out = R.read_monthly_raw(spark, [a, f"{c}/empty.csv", b, f"{c}/broken.csv.gz", f"{c}/absent.csv"])
     assert out.count() == 3 and out.where("date is null").count() == 2
     assert {r["block"] for r in out.collect()} == {" 012XX A "}
     with pytest.raises(ValueError):
         R.read_monthly_raw(spark, [])
-    assert c not in (a, b)
+    with pytest.raises(ValueError):
+        R.read_monthly_raw(spark, [f"{c}/absent.csv", f"{c}/empty.csv"])
 
 
 def test_layers_round_trip_strict_and_lenient(spark, folder):
@@ -108,14 +134,43 @@ def test_work_list_and_pending_months(spark):
 
 
 def test_new_files_are_loaded_once(spark, folder):
-    inbox, out, checkpoint = folder("inbox"), folder("out"), folder("checkpoint")
+    inbox, landing, out, offsets = (folder(n) for n in ("inbox", "landing", "out", "offsets"))
     raw(spark, *MOMENTS[:2]).coalesce(1).write.options(**R.CSV).csv(inbox)
-    load_new_files(spark, inbox, out, checkpoint)
-    load_new_files(spark, inbox, out, checkpoint)
-    assert spark.read.parquet(out).count() == 2
-    raw(spark, *MOMENTS[2:]).coalesce(1).write.mode("append").options(**R.CSV).csv(inbox)
-    load_new_files(spark, inbox, out, checkpoint)
-    assert spark.read.parquet(out).count() == 4
+    assert load_new_files(spark, inbox, landing, out, offsets) == [(2023, 12), (2024, 1)]
+    assert load_new_files(spark, inbox, landing, out, offsets) == []
+    assert T.read_layer(spark, out).count() == 2
+    more = raw(spark, *MOMENTS[2:])
+    more.select(*reversed(more.columns)).coalesce(1).write.mode("append").options(**R.CSV).csv(inbox)
+    assert load_new_files(spark, inbox, landing, out, offsets) == [(2024, 1), (2024, 3)]
+    back = T.read_layer(spark, out)
+    assert back.count() == 4 and "batch" not in back.columns
+    assert S.schema_differences(silver(back), S.SILVER_SCHEMA).count() == 0
+
+
+def test_a_repeated_batch_changes_nothing(spark, folder):
+    inbox, landing, out = folder("inbox"), folder("landing"), folder("out")
+    R.write_raw_by_year(raw(spark, *MOMENTS), inbox)
+    for _ in range(2):
+        assert land(spark, [inbox], 0, landing, out) == [(2023, 12), (2024, 1), (2024, 3)]
+        assert T.read_layer(spark, out).count() == 4
+    land(spark, [inbox], 1, landing, out)
+    assert T.read_layer(spark, out).count() == 8
+
+
+def test_rebuilding_touched_months_leaves_the_others(spark, folder):
+    inbox, landing, b, s, g = (folder(n) for n in ("inbox", "landing", "bronze", "silver", "gold"))
+    R.write_raw_by_year(raw(spark, *MOMENTS), inbox)
+    months = land(spark, [inbox], 0, landing, b)
+    rebuild_months(spark, months, b, s, g)
+    before = {r["path"] for r in T.read_layer(spark, s).select("_metadata.file_path").distinct()
+              .withColumnRenamed("file_path", "path").collect()}
+    second = folder("inbox")
+    R.write_raw_by_year(raw(spark, "2024-03-09T10:00:00"), second)
+    rebuild_months(spark, land(spark, [second], 1, landing, b), b, s, g)
+    after = {r[0] for r in T.read_layer(spark, s).select("_metadata.file_path").distinct().collect()}
+    assert {p for p in before if "month=3" not in p} == {p for p in after if "month=3" not in p}
+    assert T.read_layer(spark, g).where("res = 9 and month = 3").agg(F.sum("n_crimes")).first()[0] == 2
+    rebuild_months(spark, [], b, s, g)
 
 
 def test_manifest_and_size_reports(spark, folder):
@@ -123,7 +178,8 @@ def test_manifest_and_size_reports(spark, folder):
     T.write_bronze(bronze(raw(spark, *MOMENTS)), path)
     stored = T.read_layer(spark, path)
     expected = spark.createDataFrame([(2024, 1), (2024, 2)], "year int, month int")
-    rows = {r["month"]: r for r in Q.partition_manifest(stored, "bronze", expected=expected).collect()}
+    rows = {r["month"]: r for r in Q.partition_manifest(
+        spark, path, "bronze", expected=expected).collect()}
     assert rows[1]["rows"] == 2 and rows[1]["exists"] and not rows[1]["h3_r9"]
     assert rows[2]["error"] == "missing partition" and rows[2]["rows"] is None
     size = Q.layer_size(stored, "bronze").first()
@@ -132,6 +188,20 @@ def test_manifest_and_size_reports(spark, folder):
     assert both["bytes_before"] >= both["bytes_after"]
 
 
+def test_manifest_has_columns_and_errors_per_file(spark, folder):
+    path = folder("silver")
+    rows = bronze(raw(spark, *MOMENTS))
+    T.write_silver(silver(rows.where("month <> 3")), path)
+    T.write_bronze(rows.where("month = 3"), path)
+    with open(path.removeprefix("file:") + "/year=2024/month=1/broken.parquet", "wb") as f:
+        f.write(b"not parquet at all")
+    found = Q.partition_manifest(spark, path, "silver").collect()
+    good = [r for r in found if r["error"] is None]
+    assert {(r["month"], r["h3_r9"]) for r in good} == {(12, True), (1, True), (3, False)}
+    bad = [r for r in found if r["error"] is not None]
+    assert len(bad) == 1 and bad[0]["path"].endswith("broken.parquet") and bad[0]["month"] == 1
+
+
 def test_year_and_coordinate_reports(spark):
     df = raw(spark, *MOMENTS)
     report = Q.rows_per_year(df, bronze(df).where("month <> 3"), F.col("year").cast("int"), F.col("year"))

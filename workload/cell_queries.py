@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hexlytics import constants as K
 from hexlytics.functions import lattice as L
 from hexlytics.operators import cells as C
-from hexlytics.plans.gold import gold_daily, gold_monthly, gold_rolling
+from hexlytics.plans.gold import gold_daily, gold_rolling
 from hexlytics.sources import layers as T
 from workload import stored as ST
 from workload.oracle import (
@@ -80,13 +80,17 @@ def geojson_features_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.geojson_features(cells, "cell", 8)
 
 
-@query(sql(f"""WITH top AS (SELECT cell, sum(n_crimes) AS n FROM daily WHERE res = 8 GROUP BY cell
-      ORDER BY n DESC, cell LIMIT 600)
-    SELECT '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY cell) || ']}}' AS collection
-    FROM ({_FEATURES_R8}) WHERE cell IN (SELECT cell FROM top)""", "daily", "centres"))
+_PARENT_R8 = f"concat_ws(':', 7, {_parent(8, 'i', 'j')[0]}, {_parent(8, 'i', 'j')[1]})"
+
+
+@query(sql(f"""SELECT parent,
+      '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY cell) || ']}}' AS collection
+    FROM ({_FEATURES_R8}) JOIN (SELECT DISTINCT cell, {_PARENT_R8} AS parent FROM daily WHERE res = 8) USING (cell)
+    GROUP BY parent""", "daily", "centres"))
 def geojson_map_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = ST.gold_rows(spark, sf_dir, 8).groupBy("cell").agg(F.sum("n_crimes").alias("n"))
-    return L.feature_collection(totals, "cell", 8, "n")
+    """All cells, one collection per parent cell."""
+    cells = ST.gold_rows(spark, sf_dir, 8).select("cell").distinct()
+    return L.feature_collections(cells, "cell", 8)
 
 
 _MAP = " UNION ALL ".join(
@@ -174,16 +178,17 @@ def gold_daily_ring2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"""SELECT res, year, month, cell, date, n_crimes, n_arrests, low_conf, {_RATED},
     0 AS pooled_n, 0 AS pooled_k, {r6('prior', 'pooled_rate')}, {r6('smoothed_rate', 'pooled_smoothed')}
-  FROM rated WHERE res IN (6, 8)""", "rated"))
+  FROM rated""", "rated"))
 def gold_daily_unpooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gold_daily(ST.silver_rows(spark, sf_dir), levels=(6, 8), pool_k=0))
+    return rounded(gold_daily(ST.silver_rows(spark, sf_dir), pool_k=0))
 
 
 @query(sql(f"""SELECT res, year, month, cell, n_crimes, n_arrests,
     {r6('n_arrests / CAST(n_crimes AS DOUBLE)', 'raw_rate')},
     {r6('(5.0 * prior + n_arrests) / (5.0 + n_crimes)', 'smoothed_rate')} FROM monthly""", "monthly"))
 def gold_monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gold_monthly(ST.silver_rows(spark, sf_dir)))
+    """The stored monthly table, summed from the stored daily one."""
+    return rounded(T.read_layer(spark, ST.monthly_path(spark, sf_dir), strict=True))
 
 
 _PROFILE = f"cell, date, n_crimes, n_arrests, unique_streets, top_crime_type, {r6('arrest_rate')}"

@@ -254,7 +254,7 @@ def kpis_all_r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(view(spark, sf_dir, 7).kpis())
 
 
-@query(sql(_kpi_sql(_map_sql(9, IS_THEFT), f"(SELECT * FROM view WHERE {IS_THEFT})", True), *_NEEDS))
+@query(sql(_kpi_sql(hotspots(9, IS_THEFT), f"(SELECT * FROM view WHERE {IS_THEFT})", True), *_NEEDS))
 def kpis_focus_r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(view(spark, sf_dir, 9, types=THEFTS).kpis())
 
@@ -273,7 +273,7 @@ _PERCENT = "CAST(CAST(round_even(coalesce(focus_share, 0) * 100, 0) AS BIGINT) A
       ward_id, {_PERCENT} AS focus_share FROM (SELECT h3_id,
         coalesce(signature_block, 'UNKNOWN') AS signature_block, n_crimes, selection_n_crimes,
         coalesce(common_crime, 'UNKNOWN') AS common_crime, district_id, ward_id, focus_share
-      FROM ({_map_sql(9, IS_THEFT)}) ORDER BY selection_n_crimes DESC, h3_id LIMIT 20)""", *_NEEDS))
+      FROM ({hotspots(9, IS_THEFT)}) ORDER BY selection_n_crimes DESC, h3_id LIMIT 20)""", *_NEEDS))
 def signature_streets_r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, 9, types=THEFTS).signature_streets()
 
@@ -284,7 +284,7 @@ def signature_streets_r9(spark: SparkSession, sf_dir: str) -> DataFrame:
       || coalesce(nullif(common_crime, 'UNKNOWN'), 'mixed offenses') || '**'
       || CASE WHEN focus_share <> 0 THEN ' (selected crimes share ' || {_PERCENT} || ')' ELSE '' END || '.' AS line
     FROM (SELECT *, coalesce(nullif(signature_block, 'UNKNOWN'), nullif(signature_street, 'UNKNOWN')) AS place
-      FROM ({_map_sql(9, IS_THEFT)}) ORDER BY n_crimes DESC, h3_id LIMIT 3)""", *_NEEDS))
+      FROM ({hotspots(9, IS_THEFT)}) ORDER BY n_crimes DESC, h3_id LIMIT 3)""", *_NEEDS))
 def narrative_r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, 9, types=THEFTS).narrative()
 

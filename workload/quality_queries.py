@@ -19,7 +19,7 @@ from workload.registry import query, r6, rounded
 @query(sql("""SELECT 'silver' AS layer, year, month, count(*) AS rows, true AS "exists", true AS h3_r7,
     true AS h3_r8, true AS h3_r9 FROM l2 GROUP BY year, month""", "l2"))
 def silver_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = Q.partition_manifest(ST.silver_rows(spark, sf_dir), "silver")
+    files = Q.partition_manifest(spark, ST.silver_path(spark, sf_dir), "silver")
     return files.groupBy("layer", "year", "month", "exists", "h3_r7", "h3_r8", "h3_r9").agg(
         F.sum("rows").alias("rows")
     )
@@ -29,7 +29,7 @@ def silver_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(count(*) AS BIGINT) AS rows FROM daily GROUP BY ALL""", "daily"))
 def gold_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "manifest")
-    T.write_report(Q.partition_manifest(ST.gold_rows(spark, sf_dir), "gold"), path)
+    T.write_report(Q.partition_manifest(spark, ST.gold_path(spark, sf_dir), "gold"), path)
     report = spark.read.option("header", True).csv(path)
     return report.groupBy("layer", *[F.col(k).cast("int").alias(k) for k in ("res", "year", "month")]).agg(
         F.sum(F.col("rows").cast("bigint")).alias("rows")
@@ -38,12 +38,17 @@ def gold_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("""SELECT CAST(w.year AS INT) AS year, CAST(w.month AS INT) AS month, count(l.id) > 0 AS "exists",
       CASE WHEN count(l.id) = 0 THEN 'missing partition' END AS error
-    FROM (SELECT y AS year, m AS month FROM range(1995, 2003) a(y) CROSS JOIN range(1, 13) b(m)) w
+    FROM (SELECT y AS year, m AS month FROM (SELECT unnest(range(a, b + 1)) AS y FROM (
+        SELECT min(year) - 1 AS a, max(year) + 1 AS b FROM l2)) CROSS JOIN range(1, 13) r(m)) w
     LEFT JOIN l2 l ON l.year = w.year AND l.month = w.month GROUP BY ALL""", "l2"))
 def missing_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = spark.sql("SELECT DATE'1995-01-01' AS a, DATE'2002-12-01' AS b")
+    """Every month from the year before the first incident to the year after the last."""
+    span = ST.silver_rows(spark, sf_dir).agg(
+        F.make_date(F.min("year") - 1, F.lit(1), F.lit(1)).alias("a"),
+        F.make_date(F.max("year") + 1, F.lit(12), F.lit(1)).alias("b"))
     expected = R.month_work_list(span, "a", "b")
-    found = Q.partition_manifest(ST.silver_rows(spark, sf_dir), "silver", expected=expected)
+    found = Q.partition_manifest(
+        spark, ST.silver_path(spark, sf_dir), "silver", expected=expected)
     return found.select("year", "month", "exists", "error").distinct()
 
 
@@ -53,6 +58,20 @@ def silver_schema_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.schema_differences(ST.silver_rows(spark, sf_dir), S.SILVER_SCHEMA)
 
 
+@query(sql("""SELECT d.*, (SELECT count(*) FROM l2) AS rows FROM (VALUES
+    ('extra', CAST(NULL AS VARCHAR), 'int'), ('hour', 'int', 'string'),
+    ('street_norm', 'string', CAST(NULL AS VARCHAR))) AS d("column", expected, found)""", "l2"))
+def schema_differences_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column dropped, one of another type, one too many, in a table written and read back."""
+    path = scratch_path(spark, "planted")
+    silver = ST.silver_rows(spark, sf_dir)
+    silver.drop("street_norm").withColumn("hour", F.col("hour").cast("string")).withColumn(
+        "extra", F.lit(1)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows = stored.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    return S.schema_differences(stored, S.SILVER_SCHEMA).withColumn("rows", rows)
+
+
 @query(sql(f"""SELECT year, raw_count, coalesce(kept_count, 0) AS kept_count,
       raw_count - coalesce(kept_count, 0) AS dropped_count,
       {r6('100.0 * (raw_count - coalesce(kept_count, 0)) / raw_count', 'drop_percent')} FROM (
@@ -75,6 +94,22 @@ def coordinate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Q.coordinate_report(rows, F.col("incident_year")))
 
 
+_QUOTED = " + ".join(
+    f"""CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 2 ELSE strlen({c})
+      + CASE WHEN contains({c}, ',') THEN 2 ELSE 0 END END""" for c in S.RAW_SCHEMA.names)
+
+
+@query(sql(f"""SELECT count(*) AS rows, CAST(sum({_QUOTED} + {len(S.RAW_SCHEMA.names)}) AS BIGINT) AS bytes
+    FROM raw""", "raw"))
+def raw_csv_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the raw CSV files without their header lines, as written."""
+    path = scratch_path(spark, "raw-bytes")
+    R.write_raw_by_year(raw_incidents(spark, sf_dir), path)
+    lines = spark.read.text(path).where(F.col("value") != ",".join(S.RAW_SCHEMA.names))
+    return lines.agg(F.count(F.lit(1)).alias("rows"),
+                     F.sum(F.octet_length("value") + 1).alias("bytes"))
+
+
 @query()
 def storage_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes as raw CSV and as bronze parquet."""
@@ -143,16 +178,43 @@ def hotspot_regions_r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.hotspot_regions(counts, "cell", min_cell=15)
 
 
+_Z = ", ".join(
+    f"""round(CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0.0
+      ELSE ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END, 5) + CAST(0 AS DOUBLE) AS z_{c}"""
+    for c in S.CYCLIC_COLUMNS)
+
+
+@query(sql(f"""SELECT year, month, {', '.join(f"round({c}, 5) + CAST(0 AS DOUBLE) AS {c}" for c in S.CYCLIC_COLUMNS)},
+      {', '.join(f"z_{c}" for c in S.CYCLIC_COLUMNS)}, count(*) AS n
+    FROM (SELECT *, {_Z} FROM l2 WINDOW w AS (PARTITION BY year, month)) GROUP BY ALL""", "l2"))
+def standardised_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct code tuples of each month, standardised over the month's incidents."""
+    rows = ST.silver_rows(spark, sf_dir)
+    columns, by = S.CYCLIC_COLUMNS, ("year", "month")
+    scaled = G.standardised(G.code_counts(rows, columns, by), columns, by)
+    return rounded(scaled, 5)
+
+
+@query(sql("SELECT res, year, month, count(*) AS incidents FROM (SELECT 9 AS res, year, month FROM l2) GROUP BY ALL",
+           "l2"))
+def cluster_table_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored cluster table holds every incident, by level, year and month."""
+    stored = spark.read.parquet(_cluster_table(spark, sf_dir))
+    return stored.groupBy("res", "year", "month").agg(F.count(F.lit(1)).alias("incidents"))
+
+
+def _cluster_table(spark: SparkSession, sf_dir: str) -> str:
+    rows = ST.silver_rows(spark, sf_dir).select("year", "month", "h3_r9", *S.CYCLIC_COLUMNS)
+    path = scratch_path(spark, "clusters")
+    clusters = G.cluster_incidents(rows, "h3_r9").withColumn("res", F.lit(9))
+    T.write_partitioned(clusters, path, ["res", "year", "month"])
+    return path
+
+
 @query()
 def incident_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters of the embedded cyclic codes, stored and read back."""
-    rows = ST.silver_rows(spark, sf_dir).select(
-        "h3_r9", *[F.col(c) for c in S.CYCLIC_COLUMNS]
-    )
-    clusters = G.cluster_incidents(rows, "h3_r9")
-    path = scratch_path(spark, "clusters")
-    T.write_partitioned(clusters.withColumn("res", F.lit(9)), path, ["res"])
-    stored = spark.read.parquet(path)
-    return stored.groupBy("cluster").agg(
+    """Density clusters of each month's cyclic codes, stored and read back."""
+    stored = spark.read.parquet(_cluster_table(spark, sf_dir))
+    return stored.groupBy("year", "month", "cluster").agg(
         F.count(F.lit(1)).alias("incidents"), F.count_distinct("h3_r9").alias("cells")
     )

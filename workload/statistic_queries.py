@@ -209,6 +209,13 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.mann_whitney(event_samples(spark, sf_dir, *PAIR), *PAIR))
 
 
+@query(_levene_query("median", _levene("median", f"(SELECT sample, value + 1e9 AS value FROM {_S})")))
+def levene_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spread far from zero."""
+    rows = event_samples(spark, sf_dir, *PAIR)
+    return rounded(H.levene(rows.withColumn("value", F.col("value") + F.lit(1e9))))
+
+
 _DISTRICTS = """SELECT a.district_id AS district, a.s AS s1, a.t AS t1, b.s AS s2, b.t AS t2 FROM (
     SELECT district_id, CAST(sum(hit) AS BIGINT) AS s, count(*) AS t FROM l2 GROUP BY district_id) a
   JOIN (SELECT district_id, CAST(sum(hit) AS BIGINT) AS s, count(*) AS t FROM l2 GROUP BY district_id) b
@@ -286,6 +293,25 @@ def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.kendall(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
+@query("""SELECT 'kendall_tau' AS test, count(*) AS n, CAST(1 AS DOUBLE) AS statistic,
+    CAST(0 AS DOUBLE) AS p_value FROM events""")
+def kendall_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's number against a strictly rising function of it."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("x"), (F.col("event_id") * F.col("event_id") + 3).alias("y"))
+    return rounded(H.kendall(rows, "x", "y"))
+
+
+@query("""SELECT unnest(['pearson_r', 'spearman_rho']) AS test, n, CAST(NULL AS DOUBLE) AS statistic,
+    CAST(NULL AS DOUBLE) AS p_value FROM (SELECT count(*) AS n FROM lineitem)""")
+def correlation_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column against a constant one has no correlation; NaN is shown as null."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1.0))
+    both = H.pearson(rows, "l_quantity", "one").unionByName(H.spearman(rows, "l_quantity", "one"))
+    return both.select("test", "n", *[F.nullif(F.col(c), F.lit(float("nan"))).alias(c)
+                                      for c in ("statistic", "p_value")])
+
+
 _TABLE = " UNION ALL ".join(f"SELECT * FROM ({text})" for text in (
     _correlation("pearson_r", "corr(l_discount, l_tax)", "count(*)", "lineitem"),
     _correlation("spearman_rho", "corr(x, y)", "count(*)", _midranks("l_discount", "l_tax")),

@@ -71,7 +71,7 @@ def gold_rows(spark: SparkSession, sf_dir: str, res: int | None = None) -> DataF
 
 def monthly_path(spark: SparkSession, sf_dir: str) -> str:
     return _stored(
-        spark, sf_dir, "gold-monthly", lambda: gold_monthly(silver_rows(spark, sf_dir)),
+        spark, sf_dir, "gold-monthly", lambda: gold_monthly(gold_rows(spark, sf_dir)),
         T.write_gold,
     )
 
