@@ -19,6 +19,9 @@ CSV = {
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
+# Folder names are no columns here; folders of several roots may be nested as they like.
+FILES = {"recursiveFileLookup": True}
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
@@ -43,7 +46,7 @@ def _by_header(spark: SparkSession, paths: Sequence[str], lenient: bool
                ) -> list[tuple[list[str], list[str]]]:
     """(columns, files) of each distinct header line. Reads the first block of every file."""
     lines = (
-        spark.read.option("ignoreCorruptFiles", lenient).text(list(paths))
+        spark.read.options(**FILES).option("ignoreCorruptFiles", lenient).text(list(paths))
         .where(F.col("_metadata.file_block_start") == 0)
         .select("value", F.col("_metadata.file_path").alias("path"),
                 F.monotonically_increasing_id().alias("at"))
@@ -72,7 +75,8 @@ def read_by_header(spark: SparkSession, paths: str | Iterable[str], lenient: boo
     parts = []
     for columns, files in groups:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        reader = spark.read.schema(schema).options(**CSV).option("ignoreCorruptFiles", lenient)
+        reader = spark.read.schema(schema).options(**CSV, **FILES).option(
+            "ignoreCorruptFiles", lenient)
         # With one header for all, the paths as given spare a second listing.
         parts.append(reader.csv(given if len(groups) == 1 else files).select(
             *[F.col(f"`{c}`") for c in columns]))
