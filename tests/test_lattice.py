@@ -92,5 +92,8 @@ def test_geojson(spark):
     ring = feature["geometry"]["coordinates"][0]
     assert feature["type"] == "Feature" and feature["properties"] == {"h3_id": feature["id"]}
     assert len(ring) == 7 and ring[0] == ring[-1] and ring[0][0] < 0 < ring[0][1]
-    collection = json.loads(L.feature_collection(df, "cell", 8, "n", limit=2).first()["collection"])
-    assert [f["id"] for f in collection["features"]] == ["8:0:0", "8:1:0"]
+    found = L.feature_collections(df, "cell", 8).collect()
+    listed = [f["id"] for r in found for f in json.loads(r["collection"])["features"]]
+    assert sorted(listed) == ["8:0:0", "8:1:0", "8:2:0"]
+    parents = [r["parent"] for r in found]
+    assert len(parents) == len(set(parents)) and all(p.startswith("7:") for p in parents)
