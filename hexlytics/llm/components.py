@@ -18,8 +18,9 @@ def _least(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u is tied to the least of u's neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Repeated edges do no harm here; the other half removes them.
     return both.join(_least(both), "u").where("v > u").select(
-        F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -30,6 +31,12 @@ def _small(edges: DataFrame) -> DataFrame:
         least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and a digest of them all; equal for equal sets of distinct edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
+                           F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): every node of (a, b) edges with the smallest node it reaches.
 
@@ -37,11 +44,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     at = checkpointed(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
                       .where("u <> v").distinct())
+    before = _mark(at)
     for _ in range(most_rounds):
-        after = checkpointed(_small(_large(at)))
-        same = after.count() == at.count() and after.exceptAll(at).isEmpty()
-        at = after
-        if same:
+        at = checkpointed(_small(_large(at)))
+        last, before = before, _mark(at)
+        if last == before:
             break
     else:
         raise RuntimeError(f"components still change after {most_rounds} rounds")
