@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hexlytics.llm.order import partitions
+from hexlytics.llm.tables import small
 
 GRAM, INNER = 24, 8  # bytes
 KEPT = 64
@@ -148,7 +149,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose follower is still to come
-        for batch in batches:
+        for batch in small(batches):
             columns: list[list] = [[] for _ in names]
             for doc_id, text, bucket, end in zip(
                     *(batch.column(c).to_pylist() for c in ("doc_id", "text", "_bucket", "_end"))):

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from hexlytics.llm.components import components
 from hexlytics.llm.order import partitions
 from hexlytics.llm.shingles import mix, shingle_sets
+from hexlytics.llm.tables import small
 from hexlytics.session import checkpointed
 
 PERCENT = 85  # 100 * intersection >= PERCENT * union
@@ -95,7 +96,7 @@ def profiles(docs: DataFrame) -> DataFrame:
               "bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             sets = shingle_sets(texts)
             samples = np.zeros((len(sets), SAMPLES), np.uint32)

@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 from hexlytics.llm.order import running_within
 from hexlytics.llm.shingles import joined, word_table
-from hexlytics.llm.tables import source_key
+from hexlytics.llm.tables import small, source_key
 from hexlytics.session import scratch_path
 
 WINDOW = 2048
@@ -40,9 +40,9 @@ QUANTUM = 128
 CLOSING = 1  # id after each document
 PAD = 0
 VOCABULARY = "word_bpe_49k.json"
-_KNOWN_WORDS = 4_000_000  # remembered per worker, at 20 bytes and their ids each
-_KNOWN_PIECES = 300_000
-_TOGETHER = 3 << 20  # bytes of text whose words are looked up at once
+_KNOWN_WORDS = 1_000_000  # remembered per worker, at 20 bytes and their ids each
+_KNOWN_PIECES = 150_000
+_TOGETHER = 1 << 20  # bytes of text whose words are looked up at once
 _POINT = 32  # binary places of the rates
 
 # Fixed value: how this vocabulary splits lower-cased text into pieces.
@@ -143,7 +143,7 @@ def tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
-        for batch in batches:
+        for batch in small(batches):
             ids = [x + closing for x in words.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_key"), pa.array(ids, pa.binary()),
@@ -218,7 +218,7 @@ def pack(docs: DataFrame, weights: dict[str | None, int] | None = None, window:
     types = [pa.int64()] * 7 + [pa.string()] + [pa.list_(pa.int32())] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in columns]
             for doc_id, key, ids, n, first in zip(*(batch.column(c).to_pylist() for c in (
                     "doc_id", "_key", "ids", "doc_tokens", "_first"))):

@@ -40,6 +40,13 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows: texts become Python strings a part at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def map_columns(df: DataFrame, inputs: list[str], make: Callable[..., list], added: str
                 ) -> DataFrame:
     """All columns of ``df`` plus those of the schema ``added``, in one pass over each partition.
@@ -53,7 +60,7 @@ def map_columns(df: DataFrame, inputs: list[str], make: Callable[..., list], add
     out = StructType([df.schema[c] for c in kept] + new.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             made = make(*[batch.column(c).to_pylist() for c in inputs])
             arrays = [pa.array(v, t) for v, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays(
