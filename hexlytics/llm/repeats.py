@@ -12,8 +12,9 @@ decided at once, and only the rest is ranked anew:
 3. ``LENGTH`` bytes. Cells that repeat in part are resolved start by start. The pair is (first
    half, second half), as in any doubling step.
 
-In each round rows with equal pairs repeat the first of them, wherever it is; a first row whose
-left part occurs in other pairs goes on; all others are unique. Ranks are 64-bit hashes of whole
+In each round rows with equal pairs repeat the first of them, wherever it is (within a text this
+is settled before the shuffle); a first row whose left part occurs in other pairs goes on; all
+others are unique. Ranks are 64-bit hashes of whole
 substrings, taken from running sums, so a pair has 128 bits. A round streams over sorted rows in
 constant memory, and no row is compared with more than its neighbours.
 
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hexlytics.llm.order import partitions
 from hexlytics.llm.shingles import back, mix, running
+from hexlytics.llm.tables import small
 from hexlytics.session import scratch_path
 
 LENGTH = 100
@@ -44,7 +46,8 @@ _VALUE = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 _NO_ID = -(1 << 63)
 _TAG_BITS, _SPAN_BITS = 18, 7
 _HIGH = np.uint64(0xFFFFFFFF00000000)
-ROW = "key long, cls long, doc long, at long"
+_LOW = (1 << 63) - 1
+ROW = "key long, cls long, doc long, at long, done boolean"
 
 
 def _pack(start, lead, width, tag) -> np.ndarray:
@@ -122,7 +125,7 @@ def _rows(texts: DataFrame, make: Callable[..., tuple[np.ndarray, ...]], chosen:
           ) -> DataFrame:
     """Rank rows of each text; ``chosen``: of its positions in ``at`` only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found: list[tuple[np.ndarray, ...]] = []
             size = 0
             ats = batch.column("at") if chosen else None
@@ -133,8 +136,11 @@ def _rows(texts: DataFrame, make: Callable[..., tuple[np.ndarray, ...]], chosen:
                     continue
                 more = () if ats is None else (np.asarray(ats[k].values, np.int64),)
                 key, cls, start, lead, width = make(Text(data), *more)
+                done = _repeated(key, cls, start)
+                key = np.where(done, mix(start.astype(np.uint64) + np.uint64(doc & _LOW)), key)
                 found.append((key.view(np.int64), cls.view(np.int64),
-                              np.full(len(key), doc, np.int64), _pack(start, lead, width, tag)))
+                              np.full(len(key), doc, np.int64), _pack(start, lead, width, tag),
+                              done))
                 size += len(key)
                 if size > 200_000:
                     yield _batch(found)
@@ -145,9 +151,20 @@ def _rows(texts: DataFrame, make: Callable[..., tuple[np.ndarray, ...]], chosen:
     return texts.mapInArrow(run, ROW)
 
 
+def _repeated(key: np.ndarray, cls: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows whose pair occurs earlier in the same text. They are decided, and travel under keys
+    of their own: a text that repeats one word would send all its rows to one task."""
+    order = np.lexsort((start, cls, key))
+    k, c = key[order], cls[order]
+    out = np.zeros(len(key), bool)
+    out[order[1:]] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    return out
+
+
 def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "cls", "doc", "at"])
+        [pa.array(np.concatenate(c)) for c in zip(*found)],
+        names=["key", "cls", "doc", "at", "done"])
 
 
 def rerank(rows: DataFrame) -> DataFrame:
@@ -164,6 +181,12 @@ def rerank(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             k, c, d, a = (batch.column(j).to_numpy() for j in range(4))
+            done = batch.column(4).to_numpy(zero_copy_only=False)
+            if done.any():
+                yield _decided(d[done], a[done], np.ones(int(done.sum()), bool))
+                k, c, d, a = (x[~done] for x in (k, c, d, a))
+                if not len(k):
+                    continue
             new_key = np.concatenate([[k[0] != key or key is None], k[1:] != k[:-1]])
             new_pair = new_key | np.concatenate([[c[0] != cls or cls is None], c[1:] != c[:-1]])
             starts = np.flatnonzero(new_pair)
@@ -192,15 +215,17 @@ def rerank(rows: DataFrame) -> DataFrame:
                 j = starts[-1]
                 only = (d[j], a[j])
             key, cls, first_doc, first_at = k[-1], c[-1], heads_d[-1], heads_a[-1]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(out_d, pa.int64()),
-                pa.array(out_a & ((1 << _TAG_BITS) - 1), pa.int64()),
-                pa.array(out_a, pa.int64()), pa.array(out_again, pa.bool_())],
-                names=["doc", "tag", "at", "again"])
+            yield _decided(out_d, out_a, out_again)
 
     return spread.mapInArrow(run, "doc long, tag long, at long, again boolean")
 
 
+def _decided(doc: np.ndarray, at: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array(doc, pa.int64()), pa.array(at & ((1 << _TAG_BITS) - 1), pa.int64()),
+        pa.array(at, pa.int64()), pa.array(again, pa.bool_())], names=["doc", "tag", "at", "again"])
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
@@ -248,7 +273,7 @@ def _covered(docs: DataFrame) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes, bytes, int]]:
     """(doc_id, all bytes, kept bytes, spans) of each row."""
-    for batch in batches:
+    for batch in small(batches):
         for doc, text, at in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(),
                                  batch.column("at")):
             data = text.encode("utf-8", "replace")
