@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hexlytics.llm.order import running_within
 from hexlytics.llm.tables import source_key, word_count
+from hexlytics.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -71,9 +72,14 @@ def copies(sized: DataFrame, per_source: DataFrame, tie: Sequence[str], seed: in
 
 
 def mixture(docs: DataFrame, seed: int = SEED, **weighting) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken."""
-    sized = docs.select(
-        "doc_id", source_key(F.col("source")).alias("_key"), word_count(F.col("text")).alias("size"))
+    """One row per document: doc_id, size, source_size, target, copies, taken.
+
+    Runs jobs when called: words are counted once and kept, as they are needed for the targets,
+    for the cut points of the order, and for the order itself.
+    """
+    sized = checkpointed(docs.select(
+        "doc_id", source_key(F.col("source")).alias("_key"),
+        word_count(F.col("text")).alias("size")))
     per_source = targets(sized, **weighting)
     return copies(sized, per_source, ["doc_id"], seed).select(
         "doc_id", "_key", "size", "source_size", "target", "copies",
