@@ -43,6 +43,14 @@ def test_statistics_of_odd_texts():
         assert len(out) == len(Q.FEATURES) and np.isfinite(out).all()
 
 
+def test_top_word_counts_every_word():
+    at = Q.FEATURES.index("top_word")
+    words = [w for k in range(115) for w in (f"w{k}", "spam")]  # a stride of 28 meets no "spam"
+    assert Q.statistics(" ".join(words))[at] == 0.5
+    random.Random(1).shuffle(words)
+    assert Q.statistics(" ".join(words))[at] == 0.5
+
+
 def _rows(n=300):
     rng = random.Random(4)
     good = "the quick brown fox jumps over a lazy dog and runs home again today".split()
