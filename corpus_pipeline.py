@@ -14,6 +14,7 @@ from hexlytics.llm.tables import table
 from hexlytics.session import scratch_path
 
 REJECT_BELOW = 0.5
+ALIKE_PERCENT = 80  # least similarity of five-word shingles; op5's own contract has 85
 
 ORACLE_SQL = None
 
@@ -25,8 +26,8 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    return neardup.keep_one(docs)
+    """One document, that of the smallest id, of each group of near duplicates (0.8 or more)."""
+    return neardup.keep_one(docs, ALIKE_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Near duplicates by MinHash bands, odd sketches and exact verification.
 
 1. Each text becomes its set of five-word shingles, a digest of the set, ``SAMPLES`` MinHash
-   values, ``BANDS`` band hashes of ``ROWS`` values each, and an odd sketch: the parity, per bit,
-   of the MinHash values that fall on it. Equal sets are one class from here on.
+   values, hashes of bands of a few values each, and an odd sketch: the parity, per bit, of the
+   MinHash values that fall on it. Equal sets are one class from here on.
 2. Classes that share a band are compared by their sketches, in blocks of bounded size: the
    number of differing bits gives the number of differing MinHash values. Pairs that may be
    similar tie their classes into clusters; a block returns a spanning forest, never its pairs.
 3. Within each cluster, again in blocks, links are confirmed on the full sets. Blocks return a
    spanning forest of the links. Components of these are the groups.
 
-A pair at the limit of 0.85 shares no band with probability below 1e-8 and fails the sketch bound,
-six standard deviations below the limit, even more rarely. Pairs are compared once per cluster,
-however many bands they share.
+The least similarity is ``percent``, 85 unless given; size filter, bands (32 of 5 values at 85, 40 of
+4 at 80), sketch bound and confirmation follow from it. A pair at the limit shares no band with
+probability below 1e-8 and fails the sketch bound, six standard deviations below the limit, even
+more rarely. Pairs are compared once per cluster, however many bands they share.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; fewer than five words
 make one shingle; rows of equal sets form one group; rows that share a doc_id are judged by their
@@ -23,6 +24,7 @@ empty result; further columns are ignored by ``groups`` and kept by ``keep_one``
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,10 @@ from hexlytics.llm.tables import small
 from hexlytics.session import checkpointed
 
 PERCENT = 85  # 100 * intersection >= PERCENT * union
-BANDS, ROWS = 32, 5
-SAMPLES = BANDS * ROWS
+SAMPLES = 160
+MISSED = 1e-8  # most probable share of pairs at the limit without a common band
 SKETCH_BITS = 512
-MOST_DIFFERING = 56  # MinHash values of two candidates: 24 expected at the limit, deviation 5.2
+SKETCH_ERROR = 0.11  # deviation of a sketch's estimate; measured 0.07 at the limits of 85 and 80
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 2_000_000
 
@@ -47,7 +49,7 @@ _rng = np.random.default_rng(85)
 _FACTOR = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2)
            + np.uint32(1))[:, None]
 _SHIFT = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[:, None]
-_BAND_PLACE = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_PLACE = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1 << 11  # shingles at once, so that the table of values stays in cache
 
 
@@ -62,11 +64,21 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(samples: np.ndarray) -> np.ndarray:
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, values in each): the longest bands of which a pair at the limit shares one."""
+    for rows in range(SAMPLES, 0, -1):
+        bands = SAMPLES // rows
+        if (1 - (percent / 100) ** rows) ** bands < MISSED:
+            return bands, rows
+    raise ValueError(f"{SAMPLES} MinHash values do not find pairs of {percent} %")
+
+
+def band_hashes(samples: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """(text, band) as signed 64-bit numbers; bands never share a hash by design of the last term."""
-    parts = samples.reshape(len(samples), BANDS, ROWS).astype(np.uint64)
-    total = (mix(parts) * _BAND_PLACE).sum(2, dtype=np.uint64)
-    return mix(total + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    bands, rows = band_shape(percent)
+    parts = samples[:, :bands * rows].reshape(len(samples), bands, rows).astype(np.uint64)
+    total = (mix(parts) * _BAND_PLACE[:rows]).sum(2, dtype=np.uint64)
+    return mix(total + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
@@ -83,14 +95,18 @@ def bits_for(differing: int) -> int:
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differing)))
 
 
-_MOST_BITS = bits_for(MOST_DIFFERING)
+def most_differing(percent: int) -> int:
+    """MinHash values of two candidates: 24 expected at 85, deviation 5.2; 32 at 80, 6.2."""
+    expected = SAMPLES * (100 - percent) / 100
+    deviation = math.hypot(math.sqrt(expected * percent / 100), SKETCH_ERROR * expected)
+    return math.ceil(expected + 6 * deviation)
 
 
 def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row_key, n_shingles, node, sketch, bands); null node for an empty set."""
     schema = ("doc_id long, row_key long, n_shingles long, node binary, sketch binary, "
               "bands array<long>")
@@ -103,7 +119,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             for k, s in enumerate(sets):
                 if len(s):
                     samples[k] = minhash(s)
-            bands, sketch = band_hashes(samples), odd_sketches(samples)
+            bands, sketch = band_hashes(samples, percent), odd_sketches(samples)
             filled = [len(s) > 0 for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("row_key"),
@@ -194,8 +210,9 @@ def _forest(nodes: list, label: np.ndarray) -> pa.RecordBatch:
         pa.array([nodes[k] for k in tied], pa.binary())], names=["a", "b"])
 
 
-def clusters(classes: DataFrame) -> DataFrame:
+def clusters(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): forests that tie all classes which share a band and may be similar."""
+    most_bits = bits_for(most_differing(percent))
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     rows = classes.select("node", "sketch", "n_shingles", F.explode("bands").alias("band")).join(
@@ -219,11 +236,11 @@ def clusters(classes: DataFrame) -> DataFrame:
                 if not len(here):
                     break
                 there = here + step
-                like = 100 * np.minimum(size[here], size[there]) >= PERCENT * np.maximum(
+                like = 100 * np.minimum(size[here], size[there]) >= percent * np.maximum(
                     size[here], size[there])
                 i, j = here[like], there[like]
                 bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
-                close = bits <= _MOST_BITS
+                close = bits <= most_bits
                 firsts.append(i[close])
                 seconds.append(j[close])
                 step += 1
@@ -234,8 +251,8 @@ def clusters(classes: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, _forest_schema()).distinct()
 
 
-def _links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with 100 * intersection >= PERCENT * union, by products of 0/1 columns."""
+def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with 100 * intersection >= percent * union, by products of 0/1 columns."""
     sizes = np.array([len(s) for s in sets])
     which = np.repeat(np.arange(len(sets)), sizes)
     _, column, times = np.unique(
@@ -253,11 +270,12 @@ def _links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         ones[which[a:b], column[a:b] - low] = 1
         shared += ones @ ones.T
     union = sizes[:, None] + sizes[None, :] - shared
-    i, j = np.nonzero(100 * shared.astype(np.float64) >= PERCENT * union)
+    i, j = np.nonzero(100 * shared.astype(np.float64) >= percent * union)
     return i[i < j], j[i < j]
 
 
-def links(docs: DataFrame, classes: DataFrame, tied: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, tied: DataFrame, percent: int = PERCENT
+          ) -> DataFrame:
     """(a, b): spanning forests of all links, confirmed on the full sets."""
     member = classes.select("node", F.col("doc_id").alias("_rep"), "n_shingles").join(
         tied, "node")
@@ -281,7 +299,7 @@ def links(docs: DataFrame, classes: DataFrame, tied: DataFrame) -> DataFrame:
             for g in np.split(np.arange(len(number)), np.flatnonzero(np.diff(number)) + 1):
                 g = [k for k in {nodes[k]: k for k in g if right[k]}.values()]
                 if len(g) > 1:
-                    i, j = _links([sets[k] for k in g])
+                    i, j = _links([sets[k] for k in g], percent)
                     firsts.append(np.array(g)[i])
                     seconds.append(np.array(g)[j])
             if firsts:
@@ -291,15 +309,15 @@ def links(docs: DataFrame, classes: DataFrame, tied: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, _forest_schema()).distinct()
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    profile = checkpointed(profiles(keyed))
+    profile = checkpointed(profiles(keyed, percent))
     classes = checkpointed(
         profile.where("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
             F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    tied = components(clusters(classes))
-    linked = components(links(docs, classes, tied))
+    tied = components(clusters(classes, percent))
+    linked = components(links(docs, classes, tied, percent))
     rooted = classes.select("node", "doc_id").join(linked, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -314,17 +332,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document. Runs jobs when called."""
-    return _grouped(docs).drop("row_key")
+    return _grouped(docs, percent).drop("row_key")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that repeat one of a smaller id.
 
     Rows alike in doc_id and text are one document and stay once; documents without words stay.
     """
-    kept = _grouped(docs).where("kept").select("row_key").distinct()
+    kept = _grouped(docs, percent).where("kept").select("row_key").distinct()
     keyed = docs.select(
         F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.struct("*").alias("_row"))
     return keyed.join(kept, "row_key", "left_semi").dropDuplicates(

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from hexlytics.llm import components as C, neardup as N, shingles as H
 
 
@@ -115,6 +116,45 @@ def test_keep_one(docs):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(groups)
 
 
+def pairs_at_80():
+    """Pairs (2k, 2k + 1) that share all but ``changed`` shingles of each side."""
+    rows = []
+    for k in range(60):
+        words, changed = (202, 22) if k < 10 else (204, 17 + k % 8)  # 0.8 sharp; 0.78 to 0.85
+        base = [f"p{k}w{j}" for j in range(words)]
+        rows += [(2 * k, " ".join(base)),
+                 (2 * k + 1, " ".join(base[:-changed] + [f"p{k}z{j}" for j in range(changed)]))]
+    return rows
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_a_limit_of_80(docs, monkeypatch, small_blocks):
+    if small_blocks:
+        monkeypatch.setattr(N, "BLOCK_ROWS", 8)
+        monkeypatch.setattr(N, "BLOCK_SHINGLES", 600)
+    rows = pairs_at_80()
+    random.Random(2).shuffle(rows)
+    sets = {d: set_of(t) for d, t in rows}
+    share = {k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1])
+             for k in range(60)}
+    alike = {k for k, s in share.items() if s >= 0.8}
+    assert 10 < len(alike) < 60 and max(share.values()) < 0.85
+    df = docs(rows)
+    expected = {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if k not in alike}
+    assert {r["doc_id"] for r in N.keep_one(df, 80).collect()} == expected
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(
+        None, df, "").collect()} == expected
+    assert N.keep_one(df).count() == len(rows)  # op5's limit is 85
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
+def test_bounds_follow_the_limit(percent):
+    bands, values = N.band_shape(percent)
+    assert bands * values <= N.SAMPLES and (1 - (percent / 100) ** values) ** bands < 1e-8
+    assert N.most_differing(percent) >= N.SAMPLES * (100 - percent) / 100
+    assert (N.band_shape(85), N.most_differing(85)) == ((32, 5), 56)
+
+
 def test_only_copies(docs):
     found = N.groups(docs([(k, "the very same text in every row") for k in range(50)])).collect()
     assert {r["component_id"] for r in found} == {0} and sum(r["kept"] for r in found) == 1
