@@ -2,9 +2,10 @@
 
 A k-gram of bytes is an anchor if the smallest hash of its inner s-grams lies at its first or last
 s-gram. Whether a k-gram is one depends on its own bytes only, so an edit elsewhere moves no
-anchor. A fingerprint holds the ``KEPT`` anchors with the smallest hashes, each with its place, in
-order of places; the likeness of two is the Dice share of anchors that occur in both in the same
-order, estimated from the smallest hashes of their union.
+anchor. A fingerprint holds all anchors, each with its place, in order of places, so any 40 bytes
+of a text have one, unless they repeat; the likeness of two is the Dice share of anchors that
+occur in both in the same order. Printed, an anchor takes four bytes and the distance to the one
+before, a byte as a rule.
 
 Cases: null text counts as empty; an empty text has an empty fingerprint, like (1) another empty
 one and unlike (0) any other; a text too short for an anchor has one anchor for the whole of it;
@@ -28,7 +29,7 @@ from hexlytics.llm.order import partitions
 from hexlytics.llm.tables import small
 
 GRAM, INNER = 24, 8  # bytes
-KEPT = 64
+KEPT = 64  # anchors that a text of few distinct grams stays below; no text is cut
 BUCKETS_PER_PARTITION = 3
 
 
@@ -64,40 +65,55 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    """(anchor, 2): hash and place of the kept anchors, in order of places."""
+    """(anchor, 2): hash and place of all anchors, in order of places."""
     hashes, places = anchors((text or "").encode("utf-8", "replace"))
-    if len(hashes) > KEPT:
-        # Enough of the smallest to leave KEPT distinct ones, unless nearly all repeat.
-        many = min(len(hashes), 4 * KEPT)
-        some = np.sort(np.argpartition(hashes, many - 1)[:many])
-        if many < len(hashes) and len(np.unique(hashes[some])) < KEPT:
-            some = np.arange(len(hashes))
-        hashes, places = hashes[some], places[some]
-    kinds, first = np.unique(hashes, return_index=True)
-    first = np.sort(first[:KEPT])
+    first = np.sort(np.unique(hashes, return_index=True)[1])
     return np.stack([hashes[first], places[first].astype(np.uint32)], 1)
 
 
 def as_text(kept: np.ndarray) -> str:
-    return kept.astype(">u4").tobytes().hex()
+    """Hex of the number of anchors, their hashes, and the steps between places in base 128.
+
+    Numbers and hashes have four bytes, high first; a step its low seven bits first, with the high
+    bit set on all bytes but its last.
+    """
+    if not len(kept):
+        return ""
+    steps = np.diff(kept[:, 1].astype(np.int64), prepend=0)
+    shift = 7 * np.arange(5)
+    parts = (steps[:, None] >> shift) & 127
+    more = (steps[:, None] >> (shift + 7)) > 0
+    used = np.concatenate([np.ones((len(kept), 1), bool), more[:, :-1]], 1)
+    head = np.concatenate([[len(kept)], kept[:, 0]]).astype(">u4").tobytes()
+    return (head + (parts | more * 128)[used].astype(np.uint8).tobytes()).hex()
 
 
 def from_text(printed: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(printed), ">u4").reshape(-1, 2)
+    data = bytes.fromhex(printed)
+    if not data:
+        return np.zeros((0, 2), np.uint32)
+    many = int.from_bytes(data[:4], "big")
+    hashes = np.frombuffer(data, ">u4", many, 4)
+    parts = np.frombuffer(data, np.uint8, offset=4 + 4 * many).astype(np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(parts < 128)[:-1] + 1])
+    within = np.arange(len(parts)) - np.repeat(starts, np.diff(starts, append=len(parts)))
+    places = np.cumsum(np.add.reduceat((parts & 127) << (7 * within), starts))
+    return np.stack([hashes.astype(np.uint32), places.astype(np.uint32)], 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 1.0 if len(a) == len(b) else 0.0
-    both = np.union1d(a[:, 0], b[:, 0])[:KEPT]
-    limit = both[-1]
-    where = {h: k for k, h in enumerate(b[:, 0].tolist())}
-    order = [where[h] for h in a[:, 0].tolist() if h <= limit and h in where]
-    tails: list[int] = []  # longest run of shared anchors in the same order
-    for k in order:
-        at = bisect.bisect_left(tails, k)
-        tails[at:at + 1] = [k]
-    return 2.0 * len(tails) / (len(both) + len(tails))
+    _, mine, other = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
+    order = other[np.argsort(mine)]
+    run = len(order)  # longest run of shared anchors in the same order
+    if (np.diff(order) < 0).any():
+        tails: list[int] = []
+        for k in order.tolist():
+            at = bisect.bisect_left(tails, k)
+            tails[at:at + 1] = [k]
+        run = len(tails)
+    return 2.0 * run / (len(a) + len(b) - len(order) + run)
 
 
 def edited(text: str, following: str) -> str:

@@ -64,6 +64,46 @@ def test_odd_texts(text):
     assert S.likeness(kept, S.fingerprint("")) == 0.0
 
 
+def test_no_anchor_is_cut():
+    text = prose(6000, 3)
+    hashes, places = S.anchors(text.encode())
+    kept = S.fingerprint(text)
+    assert len(kept) > 2000 and set(kept[:, 0].tolist()) == set(hashes.tolist())
+    assert np.diff(kept[:, 1].astype(int)).max() <= 2 * S.GRAM
+    assert len(S.as_text(kept)) < 11 * len(kept)
+
+
+def test_a_shared_passage_in_long_texts():
+    passage = prose(60, 4)
+    texts = [" ".join([prose(5000, 10 + k), passage, prose(100, 20 + k)]) for k in range(2)]
+    a, b = map(S.fingerprint, texts)
+    own = S.fingerprint(passage)
+    assert set(own[:, 0].tolist()) <= set(a[:, 0].tolist()) & set(b[:, 0].tolist())
+    assert S.likeness(a, b) >= len(own) / len(a) * 0.9
+
+
+def test_likeness_by_hand():
+    for seed in range(5):
+        rng = random.Random(seed)
+        parts = [prose(rng.randint(5, 90), 50 + k) for k in range(8)]
+        turned = rng.sample(parts, 6)
+        a, b = S.fingerprint(" ".join(parts)), S.fingerprint(" ".join(turned))
+        x, y = a[:, 0].tolist(), b[:, 0].tolist()
+        longest = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, h in enumerate(x):
+            for j, g in enumerate(y):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if h == g else max(
+                    longest[i][j + 1], longest[i + 1][j])
+        run = longest[-1][-1]
+        assert S.likeness(a, b) == 2 * run / (len({*x, *y}) + run)
+
+
+@pytest.mark.parametrize("places", [[0], [5, 133, 260, 20_000, 3_000_000, 4_000_000_000]])
+def test_printed_places(places):
+    kept = np.array([[7 * k, p] for k, p in enumerate(places)], np.uint32)
+    assert (S.from_text(S.as_text(kept)) == kept).all()
+
+
 def test_empty_texts_are_alike():
     assert S.likeness(S.fingerprint(None), S.fingerprint("")) == 1.0 and not S.as_text(
         S.fingerprint(""))
