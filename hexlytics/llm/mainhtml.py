@@ -4,14 +4,16 @@ The standard library's parser streams over a page and the text between block tag
 each with its number of characters, link characters and inline tags, and the container (article,
 main, section, division, cell, body) it stands in. Menus, page headers and footers, sidebars,
 forms, scripts, styles and blocks named as notices, adverts or comments are skipped by tag, role
-or class. The ratio of text to tags of each line is smoothed with a Gaussian; lines at or above
-the standard deviation of the smoothed ratios are seeds. Seeds choose containers: those of
-articles if any, else every container with a fair part of the seeds' text; all lines of a chosen
-container are kept, in page order.
+or class. Where a page has main or article elements, all lines in them are kept, and headings
+that stand right before; main is one region with the articles in it. Elsewhere the ratio of text to
+tags of each line is smoothed with a Gaussian, and lines at or above the standard deviation of the
+smoothed ratios are seeds. Neighbouring containers form a region, which only a container of mostly
+links ends; all lines between the first and the last region with a seed or a heading are kept, but
+those of link containers. No block goes for being short beside a seed.
 
 Cases: null or empty html gives an empty text; broken markup is read as browsers read it (open
 paragraphs end at the next block, open inline tags at the end); unknown references stay as they
-are; a page without any line kept by the threshold falls back to the container with most text.
+are; an article of mostly links is left out beside others; a page of nothing but links is kept.
 Rows are independent of each other; further columns are kept.
 """
 
@@ -28,7 +30,6 @@ from hexlytics.llm.tables import map_columns
 CHUNK = 1 << 16  # characters fed to the parser at once
 SIGMA = 1.0
 RADIUS = 2
-FAIR = 0.2  # share of the best container's seed text that a container needs
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +39,7 @@ HIDDEN = frozenset(
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
     "small span strike strong sub sup time tt u var ruby rb rt rp wbr br img".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body".split())
 HIDDEN_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu "
@@ -53,12 +55,14 @@ ARTICLE_NAMED = re.compile(
 
 
 class _Lines(HTMLParser):
-    """Events to lines: (text, link characters, tags, container number, container is article)."""
+    """Events to lines: (text, link characters, tags, container number, is heading)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.article: list[bool] = [False]  # by container number; 0 stands for the page
+        self.main: list[bool] = [False]  # likewise; the articles in it belong to it
+        self.body: list[bool] = [True]  # likewise; its lines are no block
         self.stack: list[tuple[str, bool, int]] = []  # element, hides, container
         self.hiding = 0
         self.words: list[str] = []
@@ -68,7 +72,8 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text:
             where = self.stack[-1][2] if self.stack else 0
-            self.lines.append((text, min(self.links, len(text)), self.tags, where))
+            self.lines.append((text, min(self.links, len(text)), self.tags, where,
+                               any(t in HEADINGS for t, _, _ in self.stack[-4:])))
         self.words, self.links, self.tags = [], 0, 0
 
     def _hides(self, tag: str, attrs) -> bool:
@@ -120,9 +125,11 @@ class _Lines(HTMLParser):
             attributes = dict(attrs)
             main = tag in ("article", "main") or (attributes.get("role") or "") in (
                 "main", "article") or (attributes.get("itemprop") or "") == "articleBody"
-            # Divisions inside an article belong to it.
-            if not (self.article[where] and not main):
+            # Divisions inside an article belong to it, and everything inside main.
+            if not (self.main[where] or self.article[where] and not main):
                 self.article.append(main or self.article[where])
+                self.main.append(tag == "main" or attributes.get("role") == "main")
+                self.body.append(tag == "body")
                 where = len(self.article) - 1
         self.stack.append((tag, hides, where))
         self.hiding += hides
@@ -183,28 +190,36 @@ def main_text(html: str | None) -> str:
     parser.flush()
     if not parser.lines:
         return ""
-    size = np.array([len(t) for t, _, _, _ in parser.lines], float)
-    links = np.array([n for _, n, _, _ in parser.lines], float)
-    tags = np.array([n for _, _, n, _ in parser.lines], float)
-    where = np.array([c for _, _, _, c in parser.lines])
-    ratio = smoothed((size - links) / (1.0 + tags))
-    seeds = ratio >= min(ratio.std(), ratio.max())
-    text_of = lambda mask: np.bincount(
-        where, weights=np.where(mask, size - links, 0.0), minlength=len(parser.article))
-    in_article = np.array(parser.article)
-    score, everything = text_of(seeds), text_of(np.ones(len(size), bool))
-    if in_article[where].any():
+    kept = chosen(parser)
+    return " ".join(t for (t, *_), k in zip(parser.lines, kept) if k)
+
+
+def chosen(parser: _Lines) -> np.ndarray:
+    """Which lines are main text."""
+    size = np.array([len(line[0]) for line in parser.lines], float)
+    links, tags = (np.array([line[k] for line in parser.lines], float) for k in (1, 2))
+    where = np.array([line[3] for line in parser.lines])
+    heading = np.array([line[4] for line in parser.lines])
+    many = len(parser.article)
+    of_links = np.bincount(where, links, many) > 0.5 * np.bincount(where, size, many)
+    marked = np.array(parser.article)[where]
+    if marked.any():
         # Nested comments and teasers are skipped by name; what is left of articles is content.
-        score, everything = score * in_article, everything * in_article
-    if not score.any():
-        score = everything if everything.any() else np.bincount(
-            where, weights=size, minlength=len(in_article))
-    chosen = score >= FAIR * score.max()
-    mostly_links = np.bincount(where, weights=links, minlength=len(in_article)) > 0.5 * np.bincount(
-        where, weights=size, minlength=len(in_article))
-    if (chosen & ~mostly_links).any():
-        chosen &= ~mostly_links
-    return " ".join(t for (t, _, _, c) in parser.lines if chosen[c])
+        kept = marked & (np.array(parser.main) | ~of_links)[where]
+        kept = kept if kept.any() else marked
+        for k in range(len(kept) - 2, -1, -1):
+            kept[k] |= heading[k] and kept[k + 1] and not of_links[where[k]]
+        return kept
+    # Menus straight in the body take no heading or paragraph along.
+    text = ~of_links[where] | np.array(parser.body)[where] & (links <= 0.5 * size)
+    if not text.any():
+        return ~text
+    ratio = smoothed((size - links) / (1.0 + tags))
+    seeds = text & (heading | (ratio >= min(ratio.std(), ratio[text].max())))
+    region = np.cumsum(~text)
+    with_seed = np.flatnonzero(np.isin(region, region[seeds]) & text)
+    inside = np.arange(len(text))
+    return text & (inside >= with_seed[0]) & (inside <= with_seed[-1])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -30,6 +30,32 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+LONGER = " ".join([LONG] * 8)
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<main><h1>Title</h1><p>Lead.</p><article><p>{LONGER}</p></article><p>End.</p></main>",
+     f"Title Lead. {LONGER} End."),
+    (f"<h1>Title</h1><article><p>{LONGER}</p></article>", f"Title {LONGER}"),
+    (f"<article><p>{LONGER}</p></article><article><p>Short.</p></article>"
+     "<article><h2>Third</h2><p>Short too.</p></article>", f"{LONGER} Short. Third Short too."),
+    (f"<body><h1>Title</h1><div><p>{LONGER}</p><p>{LONGER}</p></div><h2>More</h2>"
+     "<div><p>Short.</p></div><section><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p></section>",
+     f"Title {LONGER} {LONGER} More Short. One. Two. Three. Four."),
+    (f"<body><div><p>Short first.</p></div><div><p>x</p><p>y</p><p>z</p></div><div><p>{LONGER}"
+     "</p></div><div><a href=a>one</a> <a href=b>two</a></div>", f"Short first. x y z {LONGER}"),
+    (f"<body><div><p>{LONGER}</p></div><div><a href=a>some links here</a></div>"
+     f"<div><h2>Head</h2><p>Sh.</p></div><div class=ad>{LONG}</div>", f"{LONGER} Head Sh."),
+    (f"<body><h1>T</h1><ul><li><a href=a>{LONG}</a></ul><div>{LONG}</div>", f"T {LONG}"),
+    ("<div><a href=a>one</a> <a href=b>two</a></div><div><a href=c>three</a></div>",
+     "one two three"),
+    (f"<nav><a href=x>Home</a></nav><div><div>Cell.</div><p>{LONGER}</p></div><footer>x</footer>",
+     f"Cell. {LONGER}"),
+])
+def test_short_blocks_stay(html, text):
+    assert main_text(html) == text
+
+
 def test_long_page():
     body = "".join(f"<p>{LONG} {k}</p>" for k in range(5000))
     out = main_text(f"<body><nav>menu</nav><article>{body}</article></body>")
