@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics.llm import (
-    fingerprints, mainhtml, mixing, neardup, neighbours, packing, quality, repeats, secrets,
+    fingerprints, mainhtml, mixing, neardup, neighbours, packing, quality, repeats, resample, secrets,
     sharding,
 )
 from hexlytics.llm.registry import query
@@ -116,3 +116,68 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract(pages).select(
         "page_id", "url", F.col("main_text").alias("text"),
         F.length("main_text").cast("long").alias("n_chars"))
+
+
+# crc32 of the bytes of ``word``, step by step; a macro of this file, not a function of the engine.
+CRC_STEPS = """
+polynomial(n, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1
+  FROM polynomial WHERE k < 8),
+steps AS (SELECT list(c ORDER BY n) AS t FROM polynomial WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of a text expression in a query over ``steps``."""
+    digits = f"'0x' || substr(hex(encode({text})), 2 * i + 1, 2)"
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      range(octet_length(encode({text}))), lambda i: CAST({digits} AS BIGINT))),
+      lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)))"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_STEPS},
+told AS (
+  SELECT 1 AS aimed, item_id AS id, text FROM benchmark
+  UNION ALL SELECT 0, doc_id, text FROM documents),
+numbered AS (SELECT row_number() OVER () AS r, * FROM told),
+met AS (
+  SELECT r, aimed, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM numbered),
+bucketed AS (
+  SELECT word, {crc_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM met), steps),
+found AS (SELECT r, aimed, bucket FROM met JOIN bucketed USING (word)),
+sums AS (
+  SELECT bucket, count(*) FILTER (WHERE aimed = 0) AS s, count(*) FILTER (WHERE aimed = 1) AS t
+  FROM found GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM sums),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)
+                                 / ((s + 1)::DOUBLE * (all_t + 10000)))) AS g
+  FROM sums, totals),
+weighed AS (
+  SELECT r, count(*) AS n, floor(sum(g) / count(*)) AS weight
+  FROM found JOIN gain USING (bucket) WHERE aimed = 0 GROUP BY r),
+scored AS (
+  SELECT id AS doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(
+           '0x' || substr(sha256('2024:' || coalesce(id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM numbered LEFT JOIN weighed USING (r) WHERE aimed = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         10 * count(*) FILTER (WHERE n_features >= 20) OVER () // 100 AS drawn
+  FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank
+FROM placed
+"""
+
+
+@query(OP11_SQL)
+def op11_head_tail_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resample.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resample.ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -47,6 +49,29 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(k, rows)
 
 
+def text_parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
+               ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, the UTF-8 bytes of their texts in one array, and where each text ends in it.
+
+    Parts have about ``most`` bytes, or one longer text; a null text has no bytes. The bytes are
+    Arrow's own, not a copy.
+    """
+    for batch in batches:
+        texts = batch.column(column)
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
+        wide = pa.types.is_large_string(texts.type)
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64 if wide else np.int32)[
+            texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+            yield (batch.slice(low, high - low), held[at[low]:at[high]], at[low + 1:high + 1] - at[low])
+            low = high
+
+
 def map_columns(df: DataFrame, inputs: list[str], make: Callable[..., list], added: str
                 ) -> DataFrame:
     """All columns of ``df`` plus those of the schema ``added``, in one pass over each partition.
