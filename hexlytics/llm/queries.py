@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics.llm import (
-    fingerprints, mainhtml, mixing, neardup, neighbours, packing, quality, repeats, resample, secrets,
-    sharding,
+    fingerprints, mainhtml, mixing, neardup, neighbours, packing, quality, repair, repeats, resample,
+    secrets, sharding,
 )
 from hexlytics.llm.registry import query
 from hexlytics.llm.tables import crc, table, utf8_bytes
@@ -181,3 +181,96 @@ FROM placed
 def op11_head_tail_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = resample.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return resample.ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_COSTS = {  # per state: what keeping or giving the role it waits for costs, over the vector v0 .. v3
+    0: "CASE first WHEN 's' THEN cut + v1 WHEN 'u' THEN cut + v2 END, 2 + cut + v2",
+    1: "CASE first WHEN 'u' THEN cut + v2 END, 2 + cut + v2",
+    2: "CASE first WHEN 'a' THEN cut + v3 END, 2 + cut + v3",
+    3: "CASE first WHEN 'u' THEN cut + v2 END, 2 + cut + v2",
+}
+_TAKEN = ", ".join(
+    f"CASE WHEN gone THEN 3 + v{s} ELSE least(3 + v{s}, {cost}) END AS t{s}" for s, cost in _COSTS.items())
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_STEPS},
+plain AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, '~') AS c, turn, coalesce(role, ' ') AS role,
+         coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place
+  FROM conversations),
+dealt AS (
+  SELECT place, {crc_sql("place")} % 20 AS hit FROM (SELECT DISTINCT place FROM plain), steps),
+damaged AS (
+  SELECT c, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM plain JOIN dealt USING (place) WHERE hit <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         substr(role, 1, 1) AS first, regexp_matches(text, '[^\x20\x09-\x0D]') AS filled
+  FROM damaged),
+faults AS (
+  SELECT *, NOT filled AS blank,
+         filled AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS duplicate,
+         lag(first) OVER (PARTITION BY c ORDER BY i) AS previous
+  FROM placed),
+kinds AS (
+  SELECT *, blank OR duplicate AS gone,
+         CASE WHEN blank OR duplicate OR regexp_matches(text, '[.!?][\x20\x09-\x0D]*$')
+              THEN 0 ELSE 1 END AS cut
+  FROM faults),
+sums AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+         sum(cut) AS truncated,
+         count(*) FILTER (WHERE previous IS NOT NULL AND previous || first NOT IN ('su', 'ua', 'au'))
+           AS illegal
+  FROM kinds GROUP BY c),
+back(c, i, v0, v1, v2, v3) AS (
+  SELECT c, n + 1, 0, 4, 2, 0 FROM sums
+  UNION ALL
+  SELECT c, i, least(t0, 2 + t2, 4 + t3), least(t1, 2 + t2, 4 + t3), least(t2, 2 + t3), least(t3, 2 + t2)
+  FROM (SELECT k.c, k.i, {_TAKEN} FROM back b JOIN kinds k ON k.c = b.c AND k.i = b.i - 1)),
+costs AS (
+  SELECT b.c, b.i, [v0, v1, v2, v3] AS v, gone, cut, first, role, text
+  FROM back b LEFT JOIN kinds k ON k.c = b.c AND k.i = b.i),
+steps_on AS (
+  SELECT a.*, b.v AS w FROM costs a LEFT JOIN costs b ON b.c = a.c AND b.i = a.i + 1),
+walk(c, i, s, audit, kept, pending) AS (
+  SELECT c, 1, 0, '', CAST([] AS VARCHAR[]), true FROM sums
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN i ELSE i + 1 END,
+         CASE edit WHEN 'D' THEN s WHEN 'K' THEN kept_state ELSE next_state END,
+         audit || coalesce(edit, ''),
+         CASE edit WHEN 'K' THEN list_append(kept, role || ':' || text)
+                   WHEN 'I' THEN list_append(kept, given || ':')
+                   WHEN 'R' THEN list_append(kept, given || ':' || text) ELSE kept END,
+         edit IS NOT NULL
+  FROM (
+    SELECT *, CASE
+      WHEN w IS NOT NULL AND 3 + w[1 + s] = v[1 + s] THEN 'D'
+      WHEN 2 + v[1 + next_state] = v[1 + s] THEN 'I'
+      WHEN w IS NOT NULL AND NOT gone AND kept_state IS NOT NULL
+           AND cut + w[1 + kept_state] = v[1 + s] THEN 'K'
+      WHEN w IS NOT NULL AND NOT gone AND 2 + cut + w[1 + next_state] = v[1 + s] THEN 'R' END AS edit
+    FROM (
+      SELECT x.*, y.v, y.w, y.gone, y.cut, y.role, y.text,
+             CASE WHEN s = 2 THEN 3 ELSE 2 END AS next_state,
+             CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END AS given,
+             CASE WHEN s = 0 AND first = 's' THEN 1 WHEN s <> 2 AND first = 'u' THEN 2
+                  WHEN s = 2 AND first = 'a' THEN 3 END AS kept_state
+      FROM walk x JOIN steps_on y ON y.c = x.c AND y.i = x.i WHERE pending))),
+ended AS (SELECT c, audit, array_to_string(kept, chr(10)) AS lines FROM walk WHERE NOT pending)
+SELECT p.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(costs.v[1], 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM plain) p LEFT JOIN sums USING (c) LEFT JOIN ended USING (c)
+LEFT JOIN costs ON costs.c = p.c AND costs.i = 1
+"""
+
+
+@query(OP12_SQL)
+def op12_rank_convergence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
