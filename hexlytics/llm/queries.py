@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics.llm import (
-    fingerprints, mainhtml, mixing, neardup, neighbours, packing, quality, repair, repeats, resample,
-    secrets, sharding,
+    fingerprints, mainhtml, mixing, multiindex, neardup, neighbours, packing, quality, repair, repeats,
+    resample, secrets, sharding,
 )
 from hexlytics.llm.registry import query
 from hexlytics.llm.tables import crc, table, utf8_bytes
@@ -274,3 +274,26 @@ LEFT JOIN costs ON costs.c = p.c AND costs.i = 1
 @query(OP12_SQL)
 def op12_rank_convergence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reached(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON p.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+       vec_id <= coalesce(least.b, vec_id) AS kept
+FROM embeddings LEFT JOIN counted ON counted.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+
+@query(OP13_SQL)
+def op13_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
