@@ -70,16 +70,23 @@ def missing_coordinate() -> Column:
     return F.col("latitude").isNull() | F.col("longitude").isNull()
 
 
-def load_quality(typed: DataFrame) -> DataFrame:
-    """One row: what the load keeps and why the rest goes. Input as before the row filters."""
-    total = F.count(F.lit(1))
-    kept = F.count_if(has_datetime() & in_box(K.BRONZE_BOX))
-    return typed.agg(
-        total.alias("total_rows"),
+def quality_counts() -> list[Column]:
+    """What a load keeps and why the rest goes, as aggregates over rows before the row filters."""
+    return [
+        F.count(F.lit(1)).alias("total_rows"),
         F.count_if(~has_datetime()).alias("null_datetime"),
         F.count_if(missing_coordinate()).alias("null_coordinates"),
-        kept.alias("kept_rows"),
-    ).select(
+        F.count_if(has_datetime() & in_box(K.BRONZE_BOX)).alias("kept_rows"),
+    ]
+
+
+def load_quality(typed: DataFrame) -> DataFrame:
+    """One row: what the load keeps and why the rest goes. Input as before the row filters."""
+    return with_dropped(typed.agg(*quality_counts()))
+
+
+def with_dropped(counts: DataFrame) -> DataFrame:
+    return counts.select(
         "*",
         (F.col("total_rows") - F.col("kept_rows")).alias("dropped_rows"),
         F.try_divide(

@@ -60,6 +60,18 @@ def write_report(df: DataFrame, path: str) -> None:
     df.hint("rebalance").write.mode("overwrite").option("header", True).csv(path)
 
 
+def drop_partition(spark: SparkSession, path: str, values: dict[str, object]) -> None:
+    """Remove one partition of a table, wherever the table lies."""
+    folder = "/".join([path, *(f"{key}={value}" for key, value in values.items())])
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None if it does not exist or has no file."""
+    return _read(spark, path, strict=False)
+
+
 def _read(spark: SparkSession, path: str, strict: bool) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

@@ -60,13 +60,14 @@ def _by_header(spark: SparkSession, paths: Sequence[str], lenient: bool
     ]
 
 
-def read_by_header(spark: SparkSession, paths: str | Iterable[str], lenient: bool = False
-                   ) -> DataFrame | None:
+def read_by_header(spark: SparkSession, paths: str | Iterable[str], lenient: bool = False,
+                   file: str | None = None) -> DataFrame | None:
     """Text columns of CSV files, matched by the names in each file's header.
 
     Files of one header are read by one plan, however many there are; a column that a file
     lacks is null. Empty files add nothing. Lenient: absent paths and corrupt files are
-    skipped. None when no file has a line. Runs a small job when called (the headers).
+    skipped. ``file``: a further column for each row's file. None when no file has a line. Runs a
+    small job when called (the headers).
     """
     given = [paths] if isinstance(paths, str) else list(paths)
     if lenient:
@@ -78,24 +79,26 @@ def read_by_header(spark: SparkSession, paths: str | Iterable[str], lenient: boo
         reader = spark.read.schema(schema).options(**CSV, **FILES).option(
             "ignoreCorruptFiles", lenient)
         # With one header for all, the paths as given spare a second listing.
+        path = [F.col("_metadata.file_path").alias(file)] if file else []
         parts.append(reader.csv(given if len(groups) == 1 else files).select(
-            *[F.col(f"`{c}`") for c in columns]))
+            *[F.col(f"`{c}`") for c in columns], *path))
     if not parts:
         return None
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Yearly files as text columns; types come later, so nothing is lost on read.
+def read_raw(spark: SparkSession, paths: str | Sequence[str], file: str | None = None) -> DataFrame:
+    """Yearly files as text columns; types come later, so nothing is lost on read. ``file``: a
+    further column for each row's file.
 
     Columns are found by header name: order is free, absent ones are null, others left out.
     """
-    rows = read_by_header(spark, paths)
+    rows = read_by_header(spark, paths, file=file)
+    names = [*S.RAW_SCHEMA.names, *([file] if file else [])]
     if rows is None:
-        return spark.createDataFrame([], S.RAW_SCHEMA)
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
     return rows.select(*[
-        F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c)
-        for c in S.RAW_SCHEMA.names])
+        F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names])
 
 
 def read_monthly_raw(spark: SparkSession, paths: Iterable[str]) -> DataFrame:

@@ -1,77 +1,99 @@
 """Load raw files that have not been loaded yet, up to the layers.
 
-The stream's checkpoint is the manifest of finished files: a run picks up what is new and ends;
-a run that dies repeats its batch. Rows of a batch are kept by month and batch in a landing
-table, and the months a batch touches are written anew in the bronze table from all their
-landed rows. A repeated batch replaces its own landed rows, so it changes nothing.
+The manifest tells what is new. A load lands the rows of new files as a batch, commits it, renews
+bronze and all layers after it for the months the batch touches, and marks it as built. A run may die
+anywhere: a batch without commit never counts and its files are new again; a committed one that is not
+marked is built by the next run, which writes the same months again. So neither a repeated run nor a
+stream with a lost or another checkpoint repeats or replaces rows. One load runs at a time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from hexlytics.plans.bronze import bronze
-from hexlytics.plans.gold import gold_daily
-from hexlytics.plans.silver import silver
-from hexlytics.sources import layers as T
-from hexlytics.sources.raw import read_raw
+from hexlytics.operators.cleaning import quality_counts
+from hexlytics.plans.bronze import kept, typed
+from hexlytics.plans.refresh import Month, in_months, refresh, replace_months
+from hexlytics.session import checkpointed
+from hexlytics.sources import layers as T, manifest as M
+from hexlytics.sources.manifest import Store
+from hexlytics.sources.raw import FILES, read_raw
 
-Month = tuple[int, int]
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def in_months(months: list[Month]) -> Column:
-    """A condition on year and month that prunes partitions."""
-    either = [(F.col("year") == y) & (F.col("month") == m) for y, m in months]
-    return reduce(lambda a, b: a | b, either, F.lit(False))
+def land(spark: SparkSession, paths: Sequence[str], store: Store) -> str | None:
+    """Commit the rows of new files below ``paths`` as a batch; its id, or None without new files.
+
+    What the load keeps and drops is counted while it writes, and stored with the batch.
+    """
+    listed = checkpointed(M.new_files(spark, paths, store))
+    # As many paths as there are new files; the reader takes a list.
+    files = listed.select("file", "length").collect()
+    if not files:
+        return None
+    batch, seen = uuid.uuid4().hex, Observation()
+    filled = sorted(unquote(r["file"]) for r in files if r["length"])
+    if filled:
+        rows = typed(read_raw(spark, filled, file="file"), carry=["file"])
+        counted = rows.observe(seen, *quality_counts())
+        T.write_partitioned(kept(counted).withColumn("batch", F.lit(batch)), store.landing,
+                            ["batch", "year", "month"])
+        if T.read_or_none(spark, f"{store.landing}/batch={batch}") is not None:
+            quality = spark.createDataFrame([{"batch": batch} | seen.get])
+        else:  # no row is kept: Spark leaves out the plan, and what it would have counted
+            quality = rows.agg(*quality_counts()).withColumn("batch", F.lit(batch))
+        quality.select("batch", "total_rows", "null_datetime", "null_coordinates", "kept_rows").coalesce(
+            1).write.mode("append").parquet(store.quality)
+    M.stage(listed, batch, store)
+    M.commit(spark, batch, store)
+    return batch
+
+
+def touched_months(spark: SparkSession, batches: DataFrame, store: Store) -> list[Month]:
+    """Months of the batches' rows, and of the rows they take the place of; calendar months only."""
+    rows = M.landed(spark, store)
+    if rows is None:
+        return []
+    files = M.entries(spark, store).join(batches, "batch", "left_semi").select("file").distinct()
+    found = rows.join(files, "file", "left_semi").select("year", "month").distinct()
+    return sorted((r["year"], r["month"]) for r in found.collect())
 
 
-def land(spark: SparkSession, files: list[str], batch: int, landing_path: str, bronze_path: str
-         ) -> list[Month]:
-    """Add the rows of raw files to the bronze table; the months that were touched."""
-    rows = bronze(read_raw(spark, files)).withColumn("batch", F.lit(batch))
-    T.write_partitioned(rows, landing_path, ["year", "month", "batch"])
-    landed = T.read_layer(spark, landing_path)
-    if landed is None:
+def build(spark: SparkSession, store: Store) -> list[Month]:
+    """Bring bronze and the layers up to the committed batches; the months renewed in bronze."""
+    batches = checkpointed(M.pending(spark, store))
+    if batches.limit(1).count() == 0:
         return []
-    # Partition values only, one row per calendar month.
-    months = [(r["year"], r["month"]) for r in landed.where(F.col("batch") == batch)
-              .select("year", "month").distinct().orderBy("year", "month").collect()]
+    months = touched_months(spark, batches, store)
     if months:
-        T.write_bronze(landed.where(in_months(months)).drop("batch"), bronze_path)
+        rows = M.counting_rows(spark, store).where(in_months(months))
+        replace_months(spark, rows, store.bronze, ("year", "month"), months)
+        refresh(spark, store, months)
+    M.mark_built(batches, store)
     return months
 
 
-def load_new_files(spark: SparkSession, raw_path: str, landing_path: str, bronze_path: str,
-                   checkpoint: str) -> list[Month]:
-    """Load new raw CSV files, each once, into the bronze table; the months they touch."""
-    touched: set[Month] = set()
+def load(spark: SparkSession, paths: str | Sequence[str], store: Store) -> list[Month]:
+    """Load new and changed raw files below the folders into all layers; the months renewed."""
+    land(spark, [paths] if isinstance(paths, str) else paths, store)
+    return build(spark, store)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # As many paths as there are new files.
-        files = [unquote(r["path"]) for r in batch.distinct().collect()]
-        if files:
-            touched.update(land(spark, sorted(files), batch_id, landing_path, bronze_path))
 
-    (
-        spark.readStream.text(raw_path).select(F.col("_metadata.file_path").alias("path"))
-        .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    return sorted(touched)
+def load_quality(spark: SparkSession, store: Store) -> DataFrame:
+    """Per committed batch, what its load has kept and dropped, as counted on the way."""
+    return spark.read.parquet(store.quality).join(M.commits(spark, store).select("batch"), "batch", "left_semi")
 
 
-def rebuild_months(spark: SparkSession, months: list[Month], bronze_path: str, silver_path: str,
-                   gold_path: str) -> None:
-    """Silver and gold of these months anew; all other partitions stay as they are.
-
-    Fills and priors are per calendar month and rings per day, so a month depends on its own
-    rows only.
-    """
-    if not months:
-        return
-    chosen = in_months(months)
-    T.write_silver(silver(T.read_layer(spark, bronze_path, strict=True).where(chosen)), silver_path)
-    T.write_gold(gold_daily(T.read_layer(spark, silver_path, strict=True).where(chosen)), gold_path)
+def follow(spark: SparkSession, path: str, store: Store, checkpoint: str) -> None:
+    """Load whenever the folder has new files, until none is left. The stream reads names only and
+    is nothing but the bell: what to load comes from the manifest."""
+    (
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).options(**FILES).load(path).select("path")
+        .writeStream.foreachBatch(lambda names, k: load(spark, path, store) and None)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    )

@@ -8,7 +8,6 @@ from hexlytics.operators import quality as Q
 from hexlytics.plans.bronze import bronze
 from hexlytics.plans.silver import silver
 from hexlytics.sources import layers as T, raw as R
-from hexlytics.streaming.ingest import land, load_new_files, rebuild_months
 
 
 def raw(spark, *moments):
@@ -133,46 +132,6 @@ def test_work_list_and_pending_months(spark):
     assert R.pending_months(work, done).count() == 3
 
 
-def test_new_files_are_loaded_once(spark, folder):
-    inbox, landing, out, offsets = (folder(n) for n in ("inbox", "landing", "out", "offsets"))
-    raw(spark, *MOMENTS[:2]).coalesce(1).write.options(**R.CSV).csv(inbox)
-    assert load_new_files(spark, inbox, landing, out, offsets) == [(2023, 12), (2024, 1)]
-    assert load_new_files(spark, inbox, landing, out, offsets) == []
-    assert T.read_layer(spark, out).count() == 2
-    more = raw(spark, *MOMENTS[2:])
-    more.select(*reversed(more.columns)).coalesce(1).write.mode("append").options(**R.CSV).csv(inbox)
-    assert load_new_files(spark, inbox, landing, out, offsets) == [(2024, 1), (2024, 3)]
-    back = T.read_layer(spark, out)
-    assert back.count() == 4 and "batch" not in back.columns
-    assert S.schema_differences(silver(back), S.SILVER_SCHEMA).count() == 0
-
-
-def test_a_repeated_batch_changes_nothing(spark, folder):
-    inbox, landing, out = folder("inbox"), folder("landing"), folder("out")
-    R.write_raw_by_year(raw(spark, *MOMENTS), inbox)
-    for _ in range(2):
-        assert land(spark, [inbox], 0, landing, out) == [(2023, 12), (2024, 1), (2024, 3)]
-        assert T.read_layer(spark, out).count() == 4
-    land(spark, [inbox], 1, landing, out)
-    assert T.read_layer(spark, out).count() == 8
-
-
-def test_rebuilding_touched_months_leaves_the_others(spark, folder):
-    inbox, landing, b, s, g = (folder(n) for n in ("inbox", "landing", "bronze", "silver", "gold"))
-    R.write_raw_by_year(raw(spark, *MOMENTS), inbox)
-    months = land(spark, [inbox], 0, landing, b)
-    rebuild_months(spark, months, b, s, g)
-    before = {r["path"] for r in T.read_layer(spark, s).select("_metadata.file_path").distinct()
-              .withColumnRenamed("file_path", "path").collect()}
-    second = folder("inbox")
-    R.write_raw_by_year(raw(spark, "2024-03-09T10:00:00"), second)
-    rebuild_months(spark, land(spark, [second], 1, landing, b), b, s, g)
-    after = {r[0] for r in T.read_layer(spark, s).select("_metadata.file_path").distinct().collect()}
-    assert {p for p in before if "month=3" not in p} == {p for p in after if "month=3" not in p}
-    assert T.read_layer(spark, g).where("res = 9 and month = 3").agg(F.sum("n_crimes")).first()[0] == 2
-    rebuild_months(spark, [], b, s, g)
-
-
 def test_manifest_and_size_reports(spark, folder):
     path = folder("bronze")
     T.write_bronze(bronze(raw(spark, *MOMENTS)), path)

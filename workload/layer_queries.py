@@ -12,7 +12,6 @@ from hexlytics.plans.gold import gold_daily
 from hexlytics.plans.silver import canonical, silver
 from hexlytics.session import scratch_path
 from hexlytics.sources import layers as T, raw as R
-from hexlytics.streaming.ingest import load_new_files, rebuild_months
 from workload import stored as ST
 from workload.fixture import raw_incidents, table
 from workload.oracle import sql
@@ -232,38 +231,6 @@ def gold_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("h3_r8", "date", "n_crimes", "ci_low", "ci_high"))
 
 
-def _load_in_two_parts(spark: SparkSession, sf_dir: str, rebuild: bool) -> tuple[str, str]:
-    """A folder that grows between two loads; bronze and gold paths. The second load's files
-    have their columns in another order."""
-    raw, landing = scratch_path(spark, "incoming"), scratch_path(spark, "landing")
-    bronze_path, silver_path = scratch_path(spark, "loaded"), scratch_path(spark, "loaded-silver")
-    gold_path, checkpoint = scratch_path(spark, "loaded-gold"), scratch_path(spark, "offsets")
-    rows = raw_incidents(spark, sf_dir)
-    early = F.col("id").startswith("E") | (F.crc32("id") % 2 == 0)
-    for part in (rows.where(early), rows.where(~early).select(*reversed(rows.columns))):
-        part.write.mode("append").options(**R.CSV).csv(raw)
-        months = load_new_files(spark, raw, landing, bronze_path, checkpoint)
-        if rebuild:
-            rebuild_months(spark, months, bronze_path, silver_path, gold_path)
-    return bronze_path, gold_path
-
-
-@query(sql(f"SELECT {', '.join(_BRONZE)} FROM l1", "l1"))
-def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two loads of a growing folder: the second takes the new files and joins their months."""
-    bronze_path, _ = _load_in_two_parts(spark, sf_dir, rebuild=False)
-    return T.read_layer(spark, bronze_path, strict=True).select(*_BRONZE)
-
-
-@query(sql(f"""SELECT res, year, month, cell, date, n_crimes, n_arrests, low_conf,
-    {', '.join(r6(c) for c in ('raw_rate', 'smoothed_rate', 'ci_low', 'ci_high'))}, pooled_n, pooled_k,
-    {r6('pooled_rate')}, {r6('pooled_smoothed')} FROM gold""", "gold"))
-def incremental_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold after two loads, each of which rebuilt the months it touched."""
-    _, gold_path = _load_in_two_parts(spark, sf_dir, rebuild=True)
-    return rounded(T.read_layer(spark, gold_path, strict=True))
-
-
 @query(sql("SELECT id, h3_r6, h3_r7, h3_r8, h3_r9, h3_r10 FROM l2", "l2"))
 def cell_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ST.bronze_rows(spark, sf_dir).select("id", "latitude", "longitude")
