@@ -30,10 +30,9 @@ def test_words_agree_with_the_tokenizer():
 
 
 def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(P, "_KNOWN_WORDS", 3)
-    monkeypatch.setattr(P, "_KNOWN_PIECES", 2)
     monkeypatch.setattr(P, "_TOGETHER", 10)
     words = P.Words(public_tokenizers.path(P.VOCABULARY))
+    words.pieces.most = 2
     for _ in range(3):
         for text in TEXTS[3:6]:
             ids = words.encode([text])[0]
@@ -128,3 +127,33 @@ def test_sequences_are_whole(docs, rows):
 
 def test_empty_table(empty):
     assert P.pack(empty).count() == 0
+
+
+def test_long_words_that_a_polynomial_hash_confuses_keep_their_own_ids():
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate({97: 98, 98: 97})
+    other = thue.translate({97: 98, 98: 97})
+    words = P.Words(public_tokenizers.path(P.VOCABULARY))
+    for text, ids in zip([thue, other], words.encode([thue, other])):
+        assert np.frombuffer(ids, "<u2").tolist() == expected(text)[:-1]
+
+
+def test_random_texts_agree_with_the_tokenizer_together_and_in_slices(monkeypatch):
+    rng = np.random.default_rng(8)
+    signs = [*"aabcdelmrstvSTLÉéß×÷²½Ÿÿĸŉİſ0123   \t\n!?.,<|-_", *["'"] * 6, "'ll", "'re", "\xa0", "日"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(600)]
+    texts += ["x" * 900, "'", "s", "it'", "s a", "y'", "'s", "''s", "a'S", "5'll9", "'llx", "'r", "e"]
+    words = P.Words(public_tokenizers.path(P.VOCABULARY))
+    for slice_ in (1 << 20, 64):
+        monkeypatch.setattr(P, "_TOGETHER", slice_)
+        for text, ids in zip(texts, words.encode(texts)):
+            assert np.frombuffer(ids, "<u2").tolist() == expected(text)[:-1], repr(text)
+
+
+def test_forgetting_pieces_changes_nothing():
+    words = P.Words(public_tokenizers.path(P.VOCABULARY))
+    words.pieces.most = 50
+    for text in [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(20)] * 2:
+        (ids,) = words.encode([text])
+        assert np.frombuffer(ids, "<u2").tolist() == expected(text)[:-1]
