@@ -45,9 +45,10 @@ _VALUE = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) * n
     2) + np.uint64(1)
 _NO_ID = -(1 << 63)
 _TAG_BITS, _SPAN_BITS = 18, 7
+TEXT = ["doc", "name", "tag"]  # an id, and 82 bits of two hashes: null or repeated ids have many texts
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = (1 << 63) - 1
-ROW = "key long, cls long, doc long, at long, done boolean"
+ROW = "key long, cls long, doc long, name long, at long, done boolean"
 
 
 def _pack(start, lead, width, tag) -> np.ndarray:
@@ -129,8 +130,8 @@ def _rows(texts: DataFrame, make: Callable[..., tuple[np.ndarray, ...]], chosen:
             found: list[tuple[np.ndarray, ...]] = []
             size = 0
             ats = batch.column("at") if chosen else None
-            for k, (doc, tag, text) in enumerate(zip(
-                    *(batch.column(c).to_pylist() for c in ("doc", "tag", "text")))):
+            for k, (doc, name, tag, text) in enumerate(zip(
+                    *(batch.column(c).to_pylist() for c in ("doc", "name", "tag", "text")))):
                 data = text.encode("utf-8", "replace")
                 if len(data) < LENGTH:
                     continue
@@ -139,8 +140,8 @@ def _rows(texts: DataFrame, make: Callable[..., tuple[np.ndarray, ...]], chosen:
                 done = _repeated(key, cls, start)
                 key = np.where(done, mix(start.astype(np.uint64) + np.uint64(doc & _LOW)), key)
                 found.append((key.view(np.int64), cls.view(np.int64),
-                              np.full(len(key), doc, np.int64), _pack(start, lead, width, tag),
-                              done))
+                              np.full(len(key), doc, np.int64), np.full(len(key), name, np.int64),
+                              _pack(start, lead, width, tag), done))
                 size += len(key)
                 if size > 200_000:
                     yield _batch(found)
@@ -164,11 +165,11 @@ def _repeated(key: np.ndarray, cls: np.ndarray, start: np.ndarray) -> np.ndarray
 def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(c)) for c in zip(*found)],
-        names=["key", "cls", "doc", "at", "done"])
+        names=["key", "cls", "doc", "name", "at", "done"])
 
 
 def rerank(rows: DataFrame) -> DataFrame:
-    """(doc, tag, at, again) from rank rows: ``again`` repeats an earlier row with the same pair;
+    """(doc, name, tag, at, again) from rank rows: ``again`` repeats an earlier row with the same pair;
     the others are first of their pair while their key occurs in other pairs too."""
     spread = rows.repartition(partitions(rows), "key").sortWithinPartitions(
         "key", "cls", "doc", "at")
@@ -180,11 +181,11 @@ def rerank(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, c, d, a = (batch.column(j).to_numpy() for j in range(4))
-            done = batch.column(4).to_numpy(zero_copy_only=False)
+            k, c, d, m, a = (batch.column(j).to_numpy() for j in range(5))
+            done = batch.column(5).to_numpy(zero_copy_only=False)
             if done.any():
-                yield _decided(d[done], a[done], np.ones(int(done.sum()), bool))
-                k, c, d, a = (x[~done] for x in (k, c, d, a))
+                yield _decided(d[done], m[done], a[done], np.ones(int(done.sum()), bool))
+                k, c, d, m, a = (x[~done] for x in (k, c, d, m, a))
                 if not len(k):
                     continue
             new_key = np.concatenate([[k[0] != key or key is None], k[1:] != k[:-1]])
@@ -202,10 +203,11 @@ def rerank(rows: DataFrame) -> DataFrame:
             count[0] += pairs
             goes_on = new_pair & (count[group] > 1)
             take = np.flatnonzero(again | goes_on)
-            out_d, out_a, out_again = d[take], a[take], again[take]
+            out_d, out_m, out_a, out_again = d[take], m[take], a[take], again[take]
             if only is not None and count[0] > 1:
                 out_d = np.concatenate([[only[0]], out_d])
-                out_a = np.concatenate([[only[1]], out_a])
+                out_m = np.concatenate([[only[1]], out_m])
+                out_a = np.concatenate([[only[2]], out_a])
                 out_again = np.concatenate([[False], out_again])
                 only = None
             elif group[-1] > 0:
@@ -213,35 +215,37 @@ def rerank(rows: DataFrame) -> DataFrame:
             pairs = int(count[group[-1]])
             if pairs == 1 and only is None:
                 j = starts[-1]
-                only = (d[j], a[j])
+                only = (d[j], m[j], a[j])
             key, cls, first_doc, first_at = k[-1], c[-1], heads_d[-1], heads_a[-1]
-            yield _decided(out_d, out_a, out_again)
+            yield _decided(out_d, out_m, out_a, out_again)
 
-    return spread.mapInArrow(run, "doc long, tag long, at long, again boolean")
+    return spread.mapInArrow(run, "doc long, name long, tag long, at long, again boolean")
 
 
-def _decided(doc: np.ndarray, at: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+def _decided(doc: np.ndarray, name: np.ndarray, at: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        pa.array(doc, pa.int64()), pa.array(at & ((1 << _TAG_BITS) - 1), pa.int64()),
-        pa.array(at, pa.int64()), pa.array(again, pa.bool_())], names=["doc", "tag", "at", "again"])
+        pa.array(doc, pa.int64()), pa.array(name, pa.int64()),
+        pa.array(at & ((1 << _TAG_BITS) - 1), pa.int64()), pa.array(at, pa.int64()),
+        pa.array(again, pa.bool_())], names=["doc", "name", "tag", "at", "again"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id"), F.lit(_NO_ID).cast("long")).alias("doc"),
-        F.xxhash64("text").bitwiseAND((1 << _TAG_BITS) - 1).alias("tag"), text.alias("text"))
+        F.xxhash64("text").alias("name"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).bitwiseAND((1 << _TAG_BITS) - 1)
+        .alias("tag"), text.alias("text"))
 
 
 def _again(texts: DataFrame, ranked: DataFrame, make) -> DataFrame:
     """The next round, for the rows that go on."""
-    todo = ranked.where("not again").groupBy("doc", "tag").agg(F.collect_set("at").alias("at"))
-    return rerank(_rows(texts.join(todo, ["doc", "tag"]).select("doc", "tag", "text", "at"),
-                        make, True))
+    todo = ranked.where("not again").groupBy(*TEXT).agg(F.collect_set("at").alias("at"))
+    return rerank(_rows(texts.join(todo, TEXT).select(*TEXT, "text", "at"), make, True))
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, repeats): texts as (doc, tag, text), repeats as (doc, tag, at) of decided rows.
+    """(texts, repeats): texts as (doc, name, tag, text), repeats as (doc, name, tag, at) of decided rows.
 
     Runs the first round when called and writes its rows to the shared folder.
     """
@@ -267,8 +271,8 @@ def spans(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _covered(docs: DataFrame) -> DataFrame:
     texts, found = removed(docs)
-    per = found.groupBy("doc", "tag").agg(F.collect_list("at").alias("at"))
-    return texts.join(per, ["doc", "tag"], "left").select("doc", "text", "at")
+    per = found.groupBy(*TEXT).agg(F.collect_list("at").alias("at"))
+    return texts.join(per, TEXT, "left").select("doc", "text", "at")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes, bytes, int]]:

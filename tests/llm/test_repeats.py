@@ -97,3 +97,24 @@ def test_anchors_by_hand():
     anchor, first, last, _ = text.anchors()
     assert first[0] == 0 and last[-1] == 300 and (first[1:] == last[:-1] + 1).all()
     assert ((anchor >= last) & (anchor + R.GRAM <= first + R.LENGTH)).all()
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_one_id_with_thousands_of_texts(docs, doc_id):
+    shared = prose(150, 77)
+    texts = [prose(110 + k % 40, 1000 + k) for k in range(4990)]
+    texts += [prose(40 + 13 * k, 9000 + k) + shared for k in range(10)]
+    first = {}
+    for text in texts:  # rows of one id start together: the earliest start in any of them counts
+        for k in range(len(text) - 99):
+            first[text[k:k + 100]] = min(k, first.get(text[k:k + 100], k))
+    want = []
+    for text in texts:
+        covered = np.zeros(len(text), bool)
+        for k in range(len(text) - 99):
+            if first[text[k:k + 100]] < k:
+                covered[k:k + 100] = True
+        want.append((len(text), int(covered.sum())))
+    found = R.measure(docs([(doc_id, t) for t in texts])).select("n_bytes", "n_removed").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert sum(n for _, n in want) >= 9 * 150
