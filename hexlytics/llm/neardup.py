@@ -277,15 +277,14 @@ def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
 def links(docs: DataFrame, classes: DataFrame, tied: DataFrame, percent: int = PERCENT
           ) -> DataFrame:
     """(a, b): spanning forests of all links, confirmed on the full sets."""
-    member = classes.select("node", F.col("doc_id").alias("_rep"), "n_shingles").join(
+    member = classes.select("node", F.col("row_key").alias("_rep"), "n_shingles").join(
         tied, "node")
     sizes = member.groupBy("root").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
     dealt = _blocks(member.join(sizes, "root"), "root", "_n", "_s").select(
         "root", "_block", "node", "_rep")
-    text = docs.select("doc_id", "text").where("text is not null")
-    rows = dealt.join(text, dealt["_rep"].eqNullSafe(text["doc_id"])).select(
-        "root", "_block", "node", "text")
+    text = docs.select(F.col("row_key").alias("_rep"), "text").where("text is not null")
+    rows = dealt.join(text, "_rep").select("root", "_block", "node", "text")
     spread = rows.repartition(partitions(docs), "root", "_block").sortWithinPartitions(
         "root", "_block")
 
@@ -293,7 +292,7 @@ def links(docs: DataFrame, classes: DataFrame, tied: DataFrame, percent: int = P
         for table, number in _whole_groups(batches, ["root", "_block"], 256):
             nodes = table.column("node").to_pylist()
             sets = shingle_sets(table.column("text").to_pylist())
-            # Another row with the id of the representative has another set, or the same again.
+            # Rows alike have one key and the same set; one is enough.
             right = [digest(s) == n for s, n in zip(sets, nodes)]
             firsts, seconds = [], []
             for g in np.split(np.arange(len(number)), np.flatnonzero(np.diff(number)) + 1):
@@ -314,10 +313,11 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     profile = checkpointed(profiles(keyed, percent))
     classes = checkpointed(
         profile.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+            F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"),
+            F.first("n_shingles").alias("n_shingles"),
             F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     tied = components(clusters(classes, percent))
-    linked = components(links(docs, classes, tied, percent))
+    linked = components(links(keyed, classes, tied, percent))
     rooted = classes.select("node", "doc_id").join(linked, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

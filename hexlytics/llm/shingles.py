@@ -2,17 +2,20 @@
 
 Words are runs of bytes between ASCII white space, A-Z lower-cased. A word's hash is a polynomial
 over random values of its bytes, taken from running sums, so a batch of texts takes a handful of
-array operations; five mixed word hashes make a shingle. All hashes have 64 bits.
+array operations; five mixed word hashes make a shingle. All hashes have 64 bits. Strings made to
+collide under such a polynomial have some thousand bytes, so words of over 32 take blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 WORDS = 5
 _SLICE = 1 << 19  # bytes handled at once
+_SURE = 32  # bytes of a word that the polynomial is trusted with
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,7 +65,11 @@ def word_table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, stop = edge[::2], edge[1::2]
         sums = running(raw, _VALUE)
         value = (sums[stop] - sums[start]) * back(len(raw))[start] if len(raw) else sums[:0]
-        parts.append((start + at, stop + at, mix(value + (stop - start).astype(np.uint64))))
+        value = mix(value + (stop - start).astype(np.uint64))
+        for k in np.flatnonzero(stop - start > _SURE).tolist():
+            word = piece[start[k]:stop[k]].lower()  # bytes: A-Z only
+            value[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        parts.append((start + at, stop + at, value))
         at += len(piece)
     return tuple(np.concatenate(c) for c in zip(*parts))
 

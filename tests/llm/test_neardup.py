@@ -176,3 +176,20 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert found == root
+
+
+def test_long_words_that_a_polynomial_hash_confuses_are_not_alike(docs):
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate({97: 98, 98: 97})
+    other = thue.translate({97: 98, 98: 97})
+    rows = [(1, thue), (2, other), (3, thue.upper())]
+    found = {r["doc_id"]: r["component_id"] for r in N.groups(docs(rows)).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_many_null_ids(docs):
+    rows = [(None, t) for _, t in near_copies(60, 4, edits=1)] + [(None, "x y z")] * 40 + [(9, "x y z")]
+    found = N.groups(docs(rows)).collect()
+    assert len(found) == 101
+    assert sum(r["component_id"] == 9 for r in found) == 41
