@@ -7,8 +7,9 @@ the way, until the leaves seen hold ``EFFORT`` times as many rows as the table.
 meet leaf by leaf, in blocks of bounded size, and cosines are computed exactly in double
 precision; each block returns only its best few per query.
 
-Cases: vectors that are null, zero, hold null or non-finite components, have no id, or are not of
-the most frequent dimension take no part, as query or candidate; equal vectors are searched as one
+Cases: vectors that are null, empty, zero, hold null or non-finite components or have no id take no
+part, as query or candidate; vectors are searched among those of their own dimension, with a forest
+for each; equal vectors are searched as one
 and put back afterwards, smallest ids first; rows alike in id and vector count once, and a
 candidate with the query's own id never counts; with fewer than k candidates all are returned; an
 empty table gives an empty result; further columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -143,11 +145,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         & F.forall(v, lambda x: x.isNotNull() & ~x.cast("double").isin(infinite))
         & F.exists(v, lambda x: x != 0)
     )
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(
-        F.coalesce(fine, F.lit(False)))
-    sizes = rows.groupBy(F.size("vector").alias("s")).count()
-    best = sizes.orderBy(F.desc("count"), "s").limit(1).collect()
-    return rows.where(F.size("vector") == (best[0]["s"] if best else 0)).distinct()
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    return rows.where(F.coalesce(fine, F.lit(False))).distinct()
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
@@ -159,6 +158,19 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     (bounded), leaf sizes are counted (trees x leaves numbers), routed queries are checkpointed.
     """
     rows = checkpointed(usable(df, id_col, vector_col))
+    # Mostly one dimension.
+    sizes = [r["s"] for r in rows.groupBy(F.size("vector").alias("s")).count().orderBy("s").collect()]
+    parts = [_nearest(rows if len(sizes) == 1 else rows.where(F.size("vector") == s), is_query, k, trees,
+                      effort, sample_rows, block) for s in sizes]
+    if not parts:
+        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id",
+                           F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, trees: int, effort: float, sample_rows: int,
+             block: int) -> DataFrame:
+    """As ``nearest``, for usable vectors of one dimension."""
     # Equal vectors: the k + 1 smallest ids are all that k neighbours can need.
     nth = F.row_number().over(W.partitionBy("vector").orderBy("id"))
     members = checkpointed(
@@ -167,10 +179,6 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     index = members.select(F.element_at("members", 1).alias("rep"), "vector")
     sample = index.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).toPandas()
     n = index.count()
-    if n == 0:
-        return rows.select(
-            F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id",
-            F.lit(0.0).alias("score")).limit(0)
     forest = fit(_units(sample["vector"]), trees)
     id_type = dict(rows.dtypes)["id"]
     vector_type = dict(rows.dtypes)["vector"]

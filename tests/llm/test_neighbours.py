@@ -95,3 +95,12 @@ def test_leaves_hold_every_row_once():
     assert leaves.min() >= 0
     for tree in range(3):
         assert np.bincount(leaves[:, tree]).max() <= 20
+
+
+def test_every_dimension_is_searched(spark):
+    wide = cloud(300, 24)
+    narrow = [(1000 + k, v, c) for k, v, c in cloud(60, 7, seed=2)] + [(2000, [1.0], 0), (2001, [], 0)]
+    got = found(spark.createDataFrame(wide + narrow, SCHEMA), 10)
+    a, b = by_hand(wide, 10), by_hand(narrow[:60], 10)
+    assert set(got) == set(a) | set(b) and recall(got, a | b) >= 0.9
+    assert all(i >= 1000 for q in b for i, _ in got[q])
