@@ -84,7 +84,7 @@ line AS (
   SELECT doc_id, size, s, target, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate,
          row_number() OVER (PARTITION BY k ORDER BY size, doc_id) - 1 AS before
   FROM sized JOIN target USING (k))
-SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, round(target, 4) AS target,
+SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
        CAST((floor(before * rate + rate + {mixing.offset()!r})
              - floor(before * rate + {mixing.offset()!r})) * size AS BIGINT) AS taken
 FROM line
@@ -94,7 +94,7 @@ FROM line
 @query(OP8_SQL)
 def op8_systematic_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+        "doc_id", "size", "source_size", "target", "taken")
 
 
 @query()
