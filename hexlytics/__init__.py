@@ -2,8 +2,9 @@
 
 from pyspark import cloudpickle
 
-from hexlytics.functions import distributions, groupwise
+from hexlytics.functions import distributions
+from hexlytics.operators import closedtest
 
 # Helpers that run inside Python workers travel with the task, so executors need no install.
 cloudpickle.register_pickle_by_value(distributions)
-cloudpickle.register_pickle_by_value(groupwise)
+cloudpickle.register_pickle_by_value(closedtest)

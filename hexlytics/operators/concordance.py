@@ -1,68 +1,60 @@
-"""Kendall concordance of a large table of (x, y) pairs, exact and without a pair join.
-
-Both axes are cut into ordered buckets of about 8 * sqrt(n) distinct pairs; a value that alone
-exceeds a bucket gets one of its own, where all pairs are ties and nothing is left to count.
-Pairs in different buckets on both axes depend on the bucket table only, which is the same
-problem on at most n / 16 rows. Pairs that share a bucket are counted within it:
-
-    total = K(bucket table) + sum K(x bucket) + sum K(y bucket) - sum K(x and y bucket)
+"""Kendall concordance of a table of (x, y) pairs of any size, exact and without a pair join.
+
+Pairs get their place in (x, y) order. For each bit of the place, rows that agree in all higher bits
+form a block, whose rows without the bit lie left of those with it; any two places part at exactly
+one bit. So on each level, a row of the right half counts the weight of the left half with a smaller
+y less that with a larger one: running sums by y within blocks, taken over slices, of which no
+task sees more than its own. What is left over are pairs of equal x, which the order counts as
+concordant.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
-from hexlytics.functions.groupwise import concordance_rows
 from hexlytics.operators.ordered import running_sum, sliced
 from hexlytics.session import checkpointed
 
-SMALL_TABLE = 20_000
+_WIDE = "decimal(38,0)"
 
 
-def _grouped(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        pairs.groupBy(*keys)
-        .applyInPandas(lambda rows: concordance_rows(rows), "signed decimal(38,0)")
-    )
+def placed(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``place``, 0 upwards in (x, y) order."""
+    keyed = pairs.select("*", F.struct("x", "y").alias("_xy"), F.lit(1).cast("bigint").alias("_one"))
+    return running_sum(sliced(keyed, [], "_xy"), [], "_xy", "_one", "place").drop("_xy", "_one", "_slice")
 
 
-def _with_bucket(pairs: DataFrame, axis: str, size: int) -> DataFrame:
-    """Add ``b{axis}`` (order-preserving) and ``wide_{axis}`` (bucket of one heavy value)."""
-    values = pairs.groupBy(axis).agg(F.count(F.lit(1)).alias("_m"))
-    placed = running_sum(sliced(values, [], axis), [], axis, "_m", "_before").select(
-        axis,
-        (2 * F.floor(F.col("_before") / F.lit(size)) + (F.col("_m") > size).cast("bigint"))
-        .alias(f"b{axis}"),
-        (F.col("_m") > size).alias(f"wide_{axis}"),
-    )
-    return pairs.join(placed, axis)
+def halves(pairs: DataFrame, levels: int) -> DataFrame:
+    """(level, block, y, left, right): weights of the two halves of each block per value of y."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    rows = pairs.select("place", "y", "weight", level).select(
+        "level", "y", "weight", F.expr("shiftright(place, level + 1)").alias("block"),
+        F.expr("shiftright(place, level) & 1").alias("half"))
+    slices = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Equal keys share a range, so the sums need no second shuffle.
+    spread = rows.repartitionByRange(slices, "level", "block", "y")
+    return checkpointed(spread.groupBy("level", "block", "y").agg(
+        F.sum(F.when(F.col("half") == 0, F.col("weight")).otherwise(0)).alias("left"),
+        F.sum(F.when(F.col("half") == 1, F.col("weight")).otherwise(0)).alias("right"),
+    ).withColumn("_slice", F.spark_partition_id()))
 
 
-def signed_pairs(pairs: DataFrame, small: int = SMALL_TABLE) -> int:
-    """Concordant minus discordant pairs of (x, y, weight), each (x, y) at most once."""
+def signed_pairs(pairs: DataFrame) -> int:
+    """Concordant minus discordant pairs of (x, y, weight), each (x, y) at most once. Runs jobs when
+    called."""
     pairs = checkpointed(pairs)
     n = pairs.count()
-    if n <= small:
-        parts = [_grouped(pairs.withColumn("_one", F.lit(1)), ["_one"])]
-        rest = 0
-    else:
-        size = max(2, int(8 * math.sqrt(n)))
-        cut = checkpointed(_with_bucket(_with_bucket(pairs, "x", size), "y", size))
-        plain_x, plain_y = ~F.col("wide_x"), ~F.col("wide_y")
-        both = _grouped(cut.where(plain_x & plain_y), ["bx", "by"])
-        parts = [
-            _grouped(cut.where(plain_x), ["bx"]),
-            _grouped(cut.where(plain_y), ["by"]),
-            both.select((-F.col("signed")).alias("signed")),
-        ]
-        table = cut.groupBy(F.col("bx").alias("x"), F.col("by").alias("y")).agg(
-            F.sum("weight").alias("weight")
-        )
-        rest = signed_pairs(table, small)
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    found = union.agg(F.sum("signed").alias("s")).first()["s"]
-    return int(found or 0) + rest
+    if n < 2:
+        return 0
+    cut = halves(placed(pairs), (n - 1).bit_length())
+    by = ["level", "block"]
+    below = running_sum(cut, by, "y", "left", "below")
+    wide = lambda c: F.col(c).cast(_WIDE)
+    reached = below.agg(F.sum(wide("right") * (2 * wide("below") + wide("left"))).alias("s"))
+    totals = cut.groupBy(*by).agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+    against = totals.agg(F.sum(wide("left") * wide("right")).alias("s"))
+    tied = pairs.groupBy("x").agg(
+        F.sum("weight").alias("w"), F.sum(wide("weight") * wide("weight")).alias("ww")
+    ).agg(F.sum((wide("w") * wide("w") - F.col("ww")) / 2).alias("s"))
+    parts = reached.unionByName(against).unionByName(tied).collect()
+    return int(parts[0]["s"] or 0) - int(parts[1]["s"] or 0) - int(parts[2]["s"] or 0)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hexlytics import constants as K
 from hexlytics.functions import distributions as D
 from hexlytics.functions.rates import safe_rate
-from hexlytics.operators.concordance import SMALL_TABLE, signed_pairs
+from hexlytics.operators.closedtest import hommel
+from hexlytics.operators.concordance import signed_pairs
 from hexlytics.operators.onerow import beside
 from hexlytics.operators.ordered import (
     ranked, running_max, running_min_from_top, running_sum, sliced, value_counts, value_ranks,
@@ -448,19 +449,17 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return _with_t(one, "spearman_rho")
 
 
-def kendall(df: DataFrame, x: str, y: str, method: str = "auto", one_task: int = SMALL_TABLE
-            ) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, method: str = "auto") -> DataFrame:
     """Tau-b. The pair counts are found by an iterative job, so this call runs Spark jobs.
 
     ``exact`` counts all orders; it needs columns without ties and fails where its table exceeds
     ``distributions.EXACT_TABLE``. ``auto`` is exact without ties for at most 33 pairs, or where
-    at most one pair is discordant (or concordant), else the normal approximation. Tables of at
-    most ``one_task`` distinct pairs are counted in one task; the result is the same either way.
+    at most one pair is discordant (or concordant), else the normal approximation.
     """
     _check_method(method)
     pairs = checkpointed(
         _complete(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("weight")))
-    signed = signed_pairs(pairs, one_task)
+    signed = signed_pairs(pairs)
 
     def ties(axis: str) -> DataFrame:
         t = F.col("t").cast("double")
@@ -513,7 +512,7 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 
 FDR_METHODS = (
     "bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by",
-    "fdr_tsbh", "fdr_tsbky",
+    "fdr_tsbh", "fdr_tsbky", "fdr_gbs", "hommel",
 )
 
 
@@ -547,6 +546,11 @@ def adjust_p_values(df: DataFrame, p: str = "p_value", alpha: float = 0.05,
             table = running_max(cut, p, value * (m - first + 1), "_q")
         elif method == "holm-sidak":
             table = running_max(cut, p, any_of(m - first + 1), "_q")
+        elif method == "fdr_gbs":
+            odds = F.when(value < 1.0, value / (1.0 - value)).otherwise(F.lit(float("inf")))
+            table = running_max(cut, p, odds * (m - first + 1) / first, "_q")
+        elif method == "hommel":
+            table = cut.withColumn("_q", hommel(cut, p, last, int(size.first()["m"] or 0)))
         elif method == "simes-hochberg":
             table = running_min_from_top(cut, p, value * (m - last + 1), "_q")
         else:

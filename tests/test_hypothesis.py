@@ -4,13 +4,14 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hexlytics.functions import distributions as D
-from hexlytics.functions.groupwise import concordance
 from hexlytics.operators import hypothesis as H
+from hexlytics.operators import closedtest, concordance as C
 from hexlytics.operators.concordance import signed_pairs
 from hexlytics.operators.ordered import running_sum, sliced, value_ranks
 
@@ -172,28 +173,28 @@ def brute(rows):
     return total
 
 
-def test_concordance_of_a_group():
-    import numpy as np
-
-    rng = random.Random(11)
-    for size in (0, 1, 2, 3, 17, 64, 101):
-        cells = {(rng.randrange(12), rng.randrange(12)) for _ in range(size)}
-        rows = [(x, y, rng.randrange(1, 6)) for x, y in cells]
-        x, y, w = (np.array([r[k] for r in rows]) for k in range(3))
-        assert concordance(x, y, w) == brute(rows)
-
-
-@pytest.mark.parametrize("shape", ["even", "hot x", "hot y", "hot both"])
-def test_concordance_across_buckets(spark, shape):
+@pytest.mark.parametrize("shape", ["even", "hot both", "two", "none"])
+def test_concordance_by_bits(spark, shape):
     rng = random.Random(13)
     cells = {(rng.randrange(90), rng.randrange(90)) for _ in range(350)}
     if shape in ("hot x", "hot both"):
         cells |= {(45, y) for y in range(-150, 150)}
     if shape in ("hot y", "hot both"):
         cells |= {(x, 30) for x in range(-150, 150)}
+    cells = {"two": {(1, 1), (2, 0)}, "none": set()}.get(shape, cells)
     rows = [(float(x), float(y), rng.randrange(1, 4)) for x, y in cells]
     df = spark.createDataFrame(rows, "x double, y double, weight long")
-    assert signed_pairs(df, small=40) == brute(rows)
+    assert signed_pairs(df) == brute(rows)
+
+
+def test_concordance_stays_in_the_jvm_and_its_tasks_are_slices(spark):
+    df = spark.range(1000).selectExpr("double(id) as x", "double(id % 37) as y", "1L as weight")
+    cut = C.halves(C.placed(df), 10)
+    plan = C.placed(df)._jdf.queryExecution().executedPlan().toString() + cut._jdf.queryExecution(
+        ).executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
 
 
 def test_running_sums_and_ranks_per_group(spark):
@@ -240,10 +241,41 @@ def test_adjusted_p_values(spark):
     assert q == pytest.approx([min(1, x * (m - rejected) / m) for x in bh])
     q, _ = adjusted(spark, [0.5, 0.9], "fdr_tsbky")
     assert q == pytest.approx([0.945, 0.945])
+    q, _ = adjusted(spark, ps, "fdr_gbs")
+    odds = [(m - j) / (j + 1) * p / (1 - p) if p < 1 else math.inf for j, p in enumerate(order)]
+    assert q == pytest.approx([min(1, max(odds[:order.index(p) + 1])) for p in ps])
+    for some in (ps, [0.2], [0.0, 0.0, 1.0], [0.02] * 4 + [0.9], []):
+        q, _ = adjusted(spark, some, "hommel")
+        assert q == pytest.approx(closed_simes(some)), some
     with pytest.raises(ValueError):
         adjusted(spark, ps, "other")
 
 
+def closed_simes(ps):
+    """The largest Simes value of all sets that hold a p-value."""
+    out = []
+    for k, p in enumerate(ps):
+        rest, best = ps[:k] + ps[k + 1:], 0.0
+        for size in range(len(rest) + 1):
+            for some in itertools.combinations(rest, size):
+                s = sorted([p, *some])
+                best = max(best, min(len(s) * v / (j + 1) for j, v in enumerate(s)))
+        out.append(min(1.0, best))
+    return out
+
+
+def test_closed_test_of_random_p_values():
+    rng = random.Random(5)
+    for n in (1, 2, 5, 9):
+        for _ in range(15):
+            ps = [round(rng.random() ** rng.choice([1, 3]), 2) for _ in range(n)]
+            order = sorted(ps)
+            last = {p: k + 1 for k, p in enumerate(order)}
+            hull = closedtest.lower_hull([last[p] for p in sorted(last)], sorted(last))
+            got = closedtest.adjusted(np.array(ps), n, hull)
+            assert got == pytest.approx(closed_simes(ps)), ps
+
+
 def test_report_and_samples(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("c", 3.0)], "g string, v double")
     assert H.samples(df, "g", "v", ["a", "b"]).count() == 2
@@ -306,13 +338,6 @@ def test_kendall_with_one_discordant_pair(spark):
     assert 0.0 <= r["p_value"] < 1e-300
 
 
-def test_kendall_in_one_task_or_in_buckets(spark):
-    rng = random.Random(8)
-    rows = [(float(rng.randrange(30)), float(rng.randrange(40))) for _ in range(900)]
-    df = spark.createDataFrame(rows, "x double, y double")
-    assert H.kendall(df, "x", "y").first() == H.kendall(df, "x", "y", one_task=20).first()
-
-
 def test_methods_of_rank_tests(spark):
     rows = [("a", float(k)) for k in range(7)] + [("b", k + 0.5) for k in range(3, 12)]
     df = spark.createDataFrame(rows, "sample string, value double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics import constants as K
 from hexlytics.functions import lattice as L
-from hexlytics.operators import cells as C
+from hexlytics.operators import cells as C, sketches as K_
 from hexlytics.plans.gold import gold_daily, gold_rolling
 from hexlytics.sources import layers as T
 from workload import stored as ST
@@ -229,3 +229,25 @@ def dense_days_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silver_cell_centres_r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = ST.silver_rows(spark, sf_dir).select(F.col("h3_r7").alias("h3_id")).distinct()
     return rounded(L.id_centre(cells, "h3_id"))
+
+
+@query(sql("SELECT res, count(*) AS cells, true AS within FROM cell_list GROUP BY res", "cell_list"))
+def distinct_cells_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct cells from sketches by month, merged over all months, beside the exact number: within
+    four deviations of it."""
+    rows = ST.silver_rows(spark, sf_dir)
+    guess = K_.estimated(K_.merged(K_.cell_sketches(rows), ["res"]), "guess")
+    off = F.abs(F.col("guess") - F.col("cells")) / F.col("cells")
+    return C.distinct_cells(rows).join(guess, "res").select(
+        "res", "cells", (off <= 4 * K_.DEVIATION).alias("within"))
+
+
+@query(sql("""SELECT cell, CAST(date_trunc('month', date) AS DATE) AS month_start,
+    count(DISTINCT street_norm) AS unique_streets
+  FROM (SELECT h3_r8 AS cell, date, street_norm FROM l2 WHERE h3_r8 IS NOT NULL) GROUP BY ALL""", "l2"))
+def monthly_streets_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct streets of parent cells and months, from sketches by finer cell and day. A sketch of
+    so few streets (at most some hundred) is exact."""
+    days = K_.street_sketches(ST.silver_rows(spark, sf_dir), 9)
+    months = K_.merged(days, ["cell", F.trunc("date", "month").alias("month_start")])
+    return K_.estimated(K_.parents_of(months, 9), "unique_streets")

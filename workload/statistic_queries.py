@@ -383,6 +383,20 @@ def fdr_two_stage_bky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjust(spark, sf_dir, "fdr_tsbky")
 
 
+@query(_adjusted(f"p_value / (1 - p_value) * ({_M} - {_FIRST} + 1) / {_FIRST}", _FROM_LOW))
+def fdr_gavrilov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjust(spark, sf_dir, "fdr_gbs")
+
+
+@query(f"""WITH p AS (SELECT sample, p_value, row_number() OVER (ORDER BY p_value) AS r, {_M} AS m FROM {_USERS}),
+  simes AS (SELECT i, min(CAST(i AS DOUBLE) * p_value / (r - m + i)) AS c
+    FROM (SELECT unnest(range(1, CAST(max(m) AS BIGINT) + 1)) AS i FROM p) s JOIN p ON r > m - i GROUP BY i),
+  adjusted AS (SELECT sample, p_value, max(least(c, i * p_value)) AS q FROM p, simes GROUP BY sample, p_value)
+  SELECT sample, {r6('p_value')}, {r6('least(1.0, q)', 'q_value')}, q <= 0.05 AS rejected FROM adjusted""")
+def hommel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjust(spark, sf_dir, "hommel")
+
+
 @query(_adjusted(f"p_value * ({_M} - {_FIRST} + 1)", _FROM_LOW))
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjust(spark, sf_dir, "holm")
