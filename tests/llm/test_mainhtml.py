@@ -73,3 +73,52 @@ def test_table(spark):
     out = extract(df)
     assert sorted((r["main_text"], r["text"]) for r in out.collect()) == [("", 1), ("", 1), (LONG, 1)]
     assert extract(df.limit(0)).count() == 0
+
+
+LINKS = "".join(f"<li><a href=/{k}>Another story number {k}</a></li>" for k in range(8))
+
+
+@pytest.mark.parametrize("html,text", [
+    (f'<body><div id="content" class="page-with-sidebar"><h1>T</h1><p>{LONGER}</p></div>', f"T {LONGER}"),
+    (f'<body><div class="sidebar"><p>{LONGER}</p></div><footer>x</footer>', LONGER),
+    (f"<body><aside><p>Aside.</p><article><p>{LONG}</p></article><footer>x</footer>", LONG),
+    (f"<body><aside><article><p>Teaser {LONG}</p></article></aside><article><p>{LONGER}</p></article>", LONGER),
+    (f'<article><p>{LONG}</p><section class="related-work"><h2>Related work</h2><p>{LONG} 2</p></section>'
+     f'<p id="notice-period">{LONG} 3</p><div class="side-by-side"><p>Left.</p><p>Right.</p></div></article>',
+     f"{LONG} Related work {LONG} 2 {LONG} 3 Left. Right."),
+    (f'<article><p>{LONG}</p><div style="color: red; display: none">{LONG}</div></article>', LONG),
+    (f'<article><p>{LONG}</p><div class="dfp-slot">Buy this. {LONG}</div><p>End.</p></article>', f"{LONG} End."),
+    (f'<article><p>{LONGER}</p></article><section><h2>Discussion</h2><article class="c"><p>Nice. {LONG}</p></article>'
+     f'<article class="c"><p>No. {LONG}</p></article></section>', LONGER),
+    (f'<article><p>{LONGER}</p><h2>Comments</h2><article class="c"><p>Nice.</p></article></article>', LONGER),
+    (f"<article><p>{LONG}</p><h2>Discussion</h2><p>{LONG} 2</p></article>", f"{LONG} Discussion {LONG} 2"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p><h3>More</h3><ul>{LINKS}</ul><h2>Next</h2><p>{LONG}</p></article>",
+     f"{LONG} {LONG} Next {LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=a>One source</a></li></ul></article>", f"{LONG} One source"),
+    (f"<body><div><p>{LONGER}</p></div><div>© 2024 Somebody. All rights.</div>", LONGER),
+    (f"<body><form><div><p>{LONGER}</p><input><select><option>x</select></div></form>", LONGER),
+    (f"<article><p>Short.</p></article><div class=comments><p>{LONGER}</p></div>", "Short."),
+    (f"<div class=post><p>{LONG}</p></div><div id=comments><p>{LONGER}</p></div>", LONG),
+])
+def test_names_are_hints_and_the_ratio_judges(html, text):
+    assert main_text(html) == text
+
+
+def test_pages_of_known_articles_and_chrome_with_random_names():
+    import random
+
+    rng = random.Random(10)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "labore", "magna"]
+    name = lambda: "".join(rng.choice("bcdfgklmnprstvwz") + rng.choice("aeiou") for _ in range(3))
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    for _ in range(200):
+        blocks = [prose(rng.randint(1, 60)) for _ in range(rng.randint(2, 12))]
+        menu = "".join(f"<li><a href=/{k}>{prose(2)}</a>" for k in range(rng.randint(4, 12)))
+        inner = "".join(rng.choice([f"<p>{b}</p>", f"<div class={name()}><p>{b}</p></div>", f"<p class={name()}>{b}"])
+                        for b in blocks)
+        outer = rng.choice(["article", "main"])
+        page = (f"<body class={name()}><nav>{menu}</nav><div class={name()}><ul>{menu}</ul></div>"
+                f"<{outer} class={name()}>{inner}<ul class={name()}>{menu}</ul></{outer}>"
+                f"<div class='{name()} ad'>{prose(20)}</div><div><ul>{menu}</ul></div><footer>{prose(6)}</footer>")
+        got, want = main_text(page), " ".join(blocks)
+        assert got == want, page
