@@ -42,11 +42,19 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows: texts become Python strings a part at a time."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 32 << 20
+          ) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and about ``most`` bytes, or one larger row: texts become
+    Python strings a part at a time."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        parts = [batch.slice(k, rows) for k in range(0, batch.num_rows, rows)][::-1]
+        while parts:
+            part = parts.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def text_parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20

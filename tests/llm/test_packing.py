@@ -157,3 +157,14 @@ def test_forgetting_pieces_changes_nothing():
     for text in [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(20)] * 2:
         (ids,) = words.encode([text])
         assert np.frombuffer(ids, "<u2").tolist() == expected(text)[:-1]
+
+
+def test_batches_are_cut_by_bytes_too():
+    import pyarrow as pa
+
+    from hexlytics.llm.tables import small
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 10 + ["y" * 9000] + ["z"] * 600})
+    parts = list(small(iter([batch]), 512, 4000))
+    assert pa.Table.from_batches(parts).column("t").to_pylist() == batch.column("t").to_pylist()
+    assert all(p.num_rows == 1 or p.nbytes <= 4000 for p in parts) and len(parts) < 20
