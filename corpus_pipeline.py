@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hexlytics.llm import mixing, neardup, packing, quality, secrets
 from hexlytics.llm.tables import table
-from hexlytics.session import scratch_path
+from hexlytics.session import remove_path, scratch_path
 
 REJECT_BELOW = 0.5
 ALIKE_PERCENT = 80  # least similarity of five-word shingles; op5's own contract has 85
@@ -56,9 +56,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # nothing reads it any more
+            remove_path(spark, before)
+        before = path
     return docs

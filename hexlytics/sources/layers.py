@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from hexlytics import constants as K, schemas as S
+from hexlytics.session import remove_path
 from hexlytics.sources.raw import normalize_months
 
 
@@ -62,9 +63,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def drop_partition(spark: SparkSession, path: str, values: dict[str, object]) -> None:
     """Remove one partition of a table, wherever the table lies."""
-    folder = "/".join([path, *(f"{key}={value}" for key, value in values.items())])
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    remove_path(spark, "/".join([path, *(f"{key}={value}" for key, value in values.items())]))
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
