@@ -54,4 +54,4 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
