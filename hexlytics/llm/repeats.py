@@ -45,7 +45,9 @@ _VALUE = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) * n
     2) + np.uint64(1)
 _NO_ID = -(1 << 63)
 _TAG_BITS, _SPAN_BITS = 18, 7
-TEXT = ["doc", "name", "tag"]  # an id, and 82 bits of two hashes: null or repeated ids have many texts
+# An id, and bits of two hashes: a null id may have any number of texts (82 bits), another one some
+# thousand (50 bits, which travel in half the space).
+TEXT = ["doc", "name", "tag"]
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = (1 << 63) - 1
 ROW = "key long, cls long, doc long, name long, at long, done boolean"
@@ -233,7 +235,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id"), F.lit(_NO_ID).cast("long")).alias("doc"),
-        F.xxhash64("text").alias("name"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(
+            F.xxhash64("text").bitwiseAND(0xFFFFFFFF)).alias("name"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).bitwiseAND((1 << _TAG_BITS) - 1)
         .alias("tag"), text.alias("text"))
 
