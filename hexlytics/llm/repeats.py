@@ -237,8 +237,9 @@ def _texts(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id"), F.lit(_NO_ID).cast("long")).alias("doc"),
         F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(
             F.xxhash64("text").bitwiseAND(0xFFFFFFFF)).alias("name"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).bitwiseAND((1 << _TAG_BITS) - 1)
-        .alias("tag"), text.alias("text"))
+        # Another seed. Never null, so that all joins can reuse one exchange of the texts.
+        F.xxhash64(F.lit(18), "text").bitwiseAND((1 << _TAG_BITS) - 1).alias("tag"),
+        text.alias("text"))
 
 
 def _again(texts: DataFrame, ranked: DataFrame, make) -> DataFrame:
