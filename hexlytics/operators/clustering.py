@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hexlytics import constants as K
 from hexlytics.functions import lattice as L
+from hexlytics.operators.hierarchy import density_clusters
 from hexlytics.session import checkpointed
 
 
@@ -146,18 +147,40 @@ def cluster_incidents(df: DataFrame, cell: str, by: Sequence[str] = ("year", "mo
     per distinct code tuple first; everything else works on that small table, and labels come
     back by the tuple.
     """
+    rows, placed, bins = _binned(df, cell, by, bin_radius)
+    if by:
+        bins = bins.join(bins.groupBy(*by).agg(F.sum("n").alias("_all")), list(by))
+    else:
+        bins = bins.withColumn("_all", bins.agg(F.sum("n")).scalar())
+    regions = dense_regions(bins, F.col("n") >= F.col("_all") * min_share, min_size, by)
+    return _with_labels(rows, placed, regions, cell, by)
+
+
+def density_incidents(df: DataFrame, cell: str, by: Sequence[str] = ("year", "month"),
+                      bin_radius: float = 0.25, min_size: int = K.MIN_CLUSTER_SIZE,
+                      prominence: float = 2.0) -> DataFrame:
+    """``cluster_incidents`` by the density hierarchy of the bins: clusters may differ in density,
+    and no share of the rows has to be chosen."""
+    rows, placed, bins = _binned(df, cell, by, bin_radius)
+    return _with_labels(
+        rows, placed, density_clusters(bins, by, min_size, prominence), cell, by)
+
+
+def _binned(df: DataFrame, cell: str, by: Sequence[str], bin_radius: float
+            ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' codes, their distinct tuples with place and bin, and the bins' rows."""
     columns = cyclic_columns(df)
     rows = df.select(
         *by, cell, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
     points = checkpointed(embedding(code_counts(rows, columns, by), columns, by))
     i, j = L.nearest_cell(F.col("embed_x"), F.col("embed_y"), bin_radius)
     placed = points.withColumn("i", i).withColumn("j", j)
-    bins = placed.groupBy(*by, "i", "j").agg(F.sum("n").alias("n"))
-    if by:
-        bins = bins.join(bins.groupBy(*by).agg(F.sum("n").alias("_all")), list(by))
-    else:
-        bins = bins.withColumn("_all", bins.agg(F.sum("n")).scalar())
-    regions = dense_regions(bins, F.col("n") >= F.col("_all") * min_share, min_size, by)
+    return rows, placed, placed.groupBy(*by, "i", "j").agg(F.sum("n").alias("n"))
+
+
+def _with_labels(rows: DataFrame, placed: DataFrame, regions: DataFrame, cell: str,
+                 by: Sequence[str]) -> DataFrame:
+    columns = cyclic_columns(rows)
     known = placed.join(regions.drop("n"), [*by, "i", "j"]).select(
         *by, *columns, "embed_x", "embed_y", "cluster")
     return rows.join(known, [*by, *columns]).select(*by, cell, "embed_x", "embed_y", "cluster")

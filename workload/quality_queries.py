@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics import schemas as S
 from hexlytics.functions.features import with_moment
-from hexlytics.operators import clustering as G, quality as Q
+from hexlytics.functions import lattice as L
+from hexlytics.operators import clustering as G, hierarchy as H, quality as Q
 from hexlytics.plans.bronze import typed
 from hexlytics.session import scratch_path
 from hexlytics.sources import layers as T, raw as R
@@ -178,6 +179,61 @@ def hotspot_regions_r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.hotspot_regions(counts, "cell", min_cell=15)
 
 
+# Highest level that joins each peak with each bin: the best path's lowest count.
+_PEAKS = """/*RECURSIVE*/WITH busy AS (SELECT i, j, cell, CAST(sum(n_crimes) AS BIGINT) AS n FROM daily WHERE res = {res} GROUP BY ALL),
+  side AS (SELECT a.i, a.j, a.n, b.i AS bi, b.j AS bj, b.n AS bn FROM busy a JOIN busy b
+    ON greatest(abs(a.i - b.i), abs(a.j - b.j), abs((a.i - b.i) - (a.j - b.j))) = 1),
+  peak AS (SELECT * FROM busy ANTI JOIN (SELECT DISTINCT i, j FROM side WHERE (bn, -bi, -bj) > (n, -i, -j)) USING (i, j)),
+  path(pi, pj, i, j, level) AS (
+    SELECT i, j, i, j, n FROM peak
+    UNION SELECT p.pi, p.pj, s.bi, s.bj, least(p.level, s.bn) FROM path p JOIN side s ON s.i = p.i AND s.j = p.j),
+  joined AS (SELECT pi, pj, i, j, max(level) AS level FROM path GROUP BY ALL),
+  met AS (SELECT p.i, p.j, p.n, p.cell, max(g.level) FILTER (WHERE (b.n, -b.i, -b.j) > (p.n, -p.i, -p.j)) AS level
+    FROM peak p JOIN joined g ON g.pi = p.i AND g.pj = p.j JOIN busy b ON b.i = g.i AND b.j = g.j GROUP BY ALL),
+  tree AS (SELECT m.cell, m.i, m.j, m.n, m.level, CAST(coalesce(sum(b.n) FILTER (WHERE g.level > m.level), 0) AS BIGINT) AS mass
+    FROM met m JOIN joined g ON g.pi = m.i AND g.pj = m.j JOIN busy b ON b.i = g.i AND b.j = g.j GROUP BY ALL)
+"""
+
+
+def _busy_bins(spark: SparkSession, sf_dir: str, res: int) -> DataFrame:
+    cells = ST.gold_rows(spark, sf_dir, res).groupBy("cell").agg(F.sum("n_crimes").alias("n"))
+    return cells.select(L.id_part(F.col("cell"), 2).alias("i"), L.id_part(F.col("cell"), 3).alias("j"), "n")
+
+
+@query(sql(_PEAKS.format(res=7) + "SELECT cell, n AS peak, level, mass FROM tree WHERE level IS NOT NULL", "daily"))
+def density_tree_r7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every peak of the map that meets a higher one, and where."""
+    tree = H.merge_tree(H.basins(_busy_bins(spark, sf_dir, 7)))
+    return tree.select(
+        L.cell_id(7, -F.col("at.i"), -F.col("at.j")).alias("cell"), F.col("at.n").alias("peak"), "level", "mass")
+
+
+@query(sql(_PEAKS.format(res=7) + """, kept AS (SELECT * FROM tree WHERE level IS NULL OR (mass >= 50 AND n >= 1.5 * level)),
+  floored AS (SELECT k.i, k.j, max(g.level) FILTER (WHERE o.i IS NOT NULL AND (o.i, o.j) <> (k.i, k.j)) AS floor
+    FROM kept k JOIN joined g ON g.pi = k.i AND g.pj = k.j LEFT JOIN kept o ON o.i = g.i AND o.j = g.j GROUP BY ALL),
+  part AS (SELECT f.i AS pi, f.j AS pj, g.i, g.j FROM floored f JOIN joined g ON g.pi = f.i AND g.pj = f.j
+    WHERE g.level > coalesce(f.floor, -1)),
+  sized AS (SELECT pi, pj FROM part JOIN busy USING (i, j) GROUP BY pi, pj HAVING sum(n) >= 50)
+  SELECT cell, n AS n_crimes, coalesce(s.pi * 4294967296 + s.pj + 2147483648, -1) AS cluster
+  FROM busy b LEFT JOIN (part JOIN sized USING (pi, pj)) s USING (i, j)""", "daily"))
+def density_clusters_r7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of the map by the density hierarchy: thin ones beside thick ones."""
+    labelled = H.density_clusters(_busy_bins(spark, sf_dir, 7), prominence=1.5)
+    return labelled.select(
+        L.cell_id(7, F.col("i"), F.col("j")).alias("cell"), F.col("n").alias("n_crimes"), "cluster")
+
+
+@query(sql("""SELECT year, month, CAST(count(*) AS BIGINT) AS rows, true AS large
+    FROM l2 WHERE h3_r9 IS NOT NULL GROUP BY ALL""", "l2"))
+def incident_density_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the clusters of incidents by density: a month keeps its rows, clusters have 50 or more."""
+    rows = ST.silver_rows(spark, sf_dir).where("h3_r9 IS NOT NULL")
+    sizes = G.density_incidents(rows, "h3_r9").groupBy("year", "month", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    named = F.col("cluster") != -1
+    return sizes.groupBy("year", "month").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.min(F.when(named, F.col("n"))) >= 50, F.lit(True)).alias("large"))
+
+
 _Z = ", ".join(
     f"""round(CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0.0
       ELSE ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END, 5) + CAST(0 AS DOUBLE) AS z_{c}"""
