@@ -26,6 +26,14 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], gather: boo
     )
 
 
+def write_clustered(df: DataFrame, path: str, keys: Sequence[str], order: str) -> None:
+    """``write_partitioned`` with the rows of a partition in ``order``: ranges of it go to tasks
+    of their own, so files and row groups skip by their least and greatest value. Ranges are
+    chosen from a sample of the rows, so a large partition is split into many."""
+    rows = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    write_partitioned(rows, path, keys, gather=False)
+
+
 def write_bronze(df: DataFrame, path: str) -> None:
     write_partitioned(df, path, ["year", "month"])
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexlytics import constants as K
-from hexlytics.functions import lattice as L
+from hexlytics.functions import lattice as L, subtree as U
 from hexlytics.operators import cells as C, sketches as K_
 from hexlytics.plans.gold import gold_daily, gold_rolling
 from hexlytics.sources import layers as T
@@ -121,6 +121,21 @@ def children_of_busy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.children_of(mapping, busy)
 
 
+@query(sql("""SELECT h3_r9 AS cell, CAST(count(*) AS BIGINT) AS n_crimes FROM l2 WHERE h3_r9 IS NOT NULL AND h3_r6 = (
+      SELECT cell FROM daily WHERE res = 6 GROUP BY cell ORDER BY sum(n_crimes) DESC, cell LIMIT 1)
+    GROUP BY ALL""", "l2", "daily"))
+def cells_below_busiest_r6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels down from the busiest coarse cell, as one key range of the clustered table."""
+    busiest = (
+        ST.gold_rows(spark, sf_dir, 6).groupBy("cell").agg(F.sum("n_crimes").alias("n"))
+        .orderBy(F.desc("n"), "cell").first()
+    )
+    rows = spark.read.parquet(ST.clustered_path(spark, sf_dir))
+    if busiest is None:
+        return rows.limit(0).select("cell", "n_crimes")
+    return U.below(rows, busiest["cell"]).groupBy("cell").agg(F.sum("n_crimes").alias("n_crimes"))
+
+
 @query(sql(f"SELECT parent, child FROM ({_MAP}) WHERE parent = '6:0:0'", "daily"))
 def children_of_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = T.read_drill_map(spark, ST.drill_path(spark, sf_dir), 6, 7)

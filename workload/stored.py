@@ -13,6 +13,7 @@ from hexlytics.plans.gold import gold_daily, gold_monthly, gold_rolling
 from hexlytics.plans.silver import silver
 from hexlytics.operators.cells import drill_map
 from hexlytics.functions import lattice as L
+from hexlytics.functions.subtree import with_subtree_key
 from hexlytics.session import scratch_path
 from hexlytics.sources import layers as T, raw as R
 from pyspark.sql import functions as F
@@ -95,3 +96,14 @@ def drill_path(spark: SparkSession, sf_dir: str) -> str:
         spark, sf_dir, "drill-map", lambda: drill_map(cells_of(gold_rows(spark, sf_dir))),
         T.write_drill_map,
     )
+
+
+def clustered_path(spark: SparkSession, sf_dir: str) -> str:
+    """Daily cells of level 9 by year, in subtree order."""
+    def build() -> DataFrame:
+        rows = gold_rows(spark, sf_dir, 9).select("year", "cell", "date", "n_crimes")
+        return with_subtree_key(
+            rows, L.id_part(F.col("cell"), 2), L.id_part(F.col("cell"), 3), 9)
+
+    return _stored(spark, sf_dir, "gold-clustered", build,
+                   lambda df, path: T.write_clustered(df, path, ["year"], "subtree"))
