@@ -97,6 +97,25 @@ def test_leaves_hold_every_row_once():
         assert np.bincount(leaves[:, tree]).max() <= 20
 
 
+def test_recall_with_under_half_of_all_comparisons():
+    """Vectors without any structure, the worst case; places of all leaves seen, each row once."""
+    x = np.random.default_rng(9).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = N.fit(x)
+    leaves = forest.leaves(x)
+    rows = np.stack([np.bincount(c, minlength=leaves.max() + 1) for c in leaves.T])
+    hits, compared = [], []
+    for q in range(0, 2000, 20):
+        seen = np.zeros(2000, bool)
+        for tree, leaf in forest.search(x[q], rows, N.EFFORT * 2000, 6):
+            seen |= leaves[:, tree] == leaf
+        score = x @ x[q]
+        score[q] = -2
+        hits.append(seen[np.argsort(-score)[:5]].mean())
+        compared.append(seen.mean())
+    assert np.mean(hits) >= 0.9 and np.mean(compared) < 0.5
+
+
 def test_every_dimension_is_searched(spark):
     wide = cloud(300, 24)
     narrow = [(1000 + k, v, c) for k, v, c in cloud(60, 7, seed=2)] + [(2000, [1.0], 0), (2001, [], 0)]
