@@ -92,18 +92,19 @@ def coordinate_report(df: DataFrame, year) -> DataFrame:
     )
 
 
-def layer_size(df: DataFrame, layer: str) -> DataFrame:
-    """Files and bytes of a stored layer."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(
+def layer_size(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """Files and bytes of a stored layer, from the listing; contents are not read. Files without
+    rows count; files without bytes and markers of the writer do not."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("length").agg(
         F.lit(layer).alias("layer"), F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
     )
 
 
-def size_reduction(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Bytes of two layers and the reduction in percent (60 to 80 is the documented range)."""
-    sizes = layer_size(before, "before").unionByName(layer_size(after, "after"))
+def size_reduction(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """Bytes of two stored layers and the reduction in percent (60 to 80 is the documented range)."""
+    sizes = layer_size(spark, before, "before").unionByName(layer_size(spark, after, "after"))
     b = F.max(F.when(F.col("layer") == "before", F.col("bytes")))
     a = F.max(F.when(F.col("layer") == "after", F.col("bytes")))
     percent = F.try_divide((b - a) * 100.0, b)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -22,6 +23,8 @@ CSV = {
 # Folder names are no columns here; folders of several roots may be nested as they like.
 FILES = {"recursiveFileLookup": True}
 
+OPEN_FILES = 32  # at a time, for their headers
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
@@ -42,22 +45,52 @@ def header_columns(line: str) -> list[str]:
     return names
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of one file, compressed or not; the rest is not read. None if it is empty."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(conf).open(where)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        reader = jvm.java.io.InputStreamReader(plain, jvm.java.nio.charset.StandardCharsets.UTF_8)
+        return jvm.java.io.BufferedReader(reader).readLine()
+    finally:
+        stream.close()
+
+
+def _classes(thing) -> list[str]:
+    """Names of a Java object's class and of those above it."""
+    kind, names = thing.getClass(), []
+    while kind is not None:
+        names.append(kind.getName())
+        kind = kind.getSuperclass()
+    return names
+
+
 def _by_header(spark: SparkSession, paths: Sequence[str], lenient: bool
                ) -> list[tuple[list[str], list[str]]]:
-    """(columns, files) of each distinct header line. Reads the first block of every file."""
-    lines = (
-        spark.read.options(**FILES).option("ignoreCorruptFiles", lenient).text(list(paths))
-        .where(F.col("_metadata.file_block_start") == 0)
-        .select("value", F.col("_metadata.file_path").alias("path"),
-                F.monotonically_increasing_id().alias("at"))
-    )
-    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    # The driver lists files anyway; there are few headers.
-    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files"))
-    return [
-        (header_columns(r["header"]), [unquote(f) for f in r["files"]])
-        for r in groups.orderBy("header").collect()
-    ]
+    """(columns, files) of each distinct header line.
+
+    Any Spark stage over the lines would read all of them, so the driver, which lists the files
+    anyway, opens each for a buffer, several at a time.
+    """
+    def header(path: str) -> str | None:
+        try:
+            return _first_line(spark, path)
+        except Py4JJavaError as error:
+            if not lenient or "java.io.IOException" not in _classes(error.java_exception):
+                raise
+            return None
+
+    listed = spark.read.format("binaryFile").options(**FILES).load(list(paths)).select("path")
+    files = sorted(r["path"] for r in listed.distinct().collect())
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        for path, line in zip(files, pool.map(header, files)):
+            if line is not None:
+                groups.setdefault(line, []).append(path)
+    return [(header_columns(line), groups[line]) for line in sorted(groups)]
 
 
 def read_by_header(spark: SparkSession, paths: str | Iterable[str], lenient: bool = False,

@@ -45,6 +45,30 @@ def test_header_names():
     assert R.header_columns('\ufeffid,"a, b",,id') == ["id", "a, b", "_c2", "id_3"]
 
 
+def test_headers_are_read_without_the_rest(spark, folder):
+    """The rest of the compressed file is damaged, so reading on would fail."""
+    import gzip
+    import os
+
+    path = folder("long").removeprefix("file:")
+    os.makedirs(f"{path}/below")
+    lines = "".join(f"{k},{k * k % 9973}\n" for k in range(300_000))
+    for name, header in (("a.csv", "date,id"), ("below/b c%20.csv", "id,date")):
+        with open(f"{path}/{name}", "w") as f:
+            f.write(header + "\n" + lines)
+    packed = bytearray(gzip.compress(b"id,date\n" + lines.encode()))
+    packed[len(packed) // 2:] = b"\xff" * (len(packed) - len(packed) // 2)
+    with open(f"{path}/c.csv.gz", "wb") as f:
+        f.write(packed)
+    with open(f"{path}/empty.csv", "w"):
+        pass
+    groups = R._by_header(spark, [path], False)
+    assert [(c, [f.rsplit("/", 1)[1] for f in files]) for c, files in groups] == [
+        (["date", "id"], ["a.csv"]), (["id", "date"], ["b c%20.csv", "c.csv.gz"])]
+    both = R.read_by_header(spark, [f"{path}/a.csv", f"{path}/below"])
+    assert both.count() == 600_000 and both.where("id = '7'").count() > 0
+
+
 def test_monthly_files_match_columns_by_name_and_skip_the_unreadable(spark, folder):
     import os
 
@@ -141,10 +165,24 @@ def test_manifest_and_size_reports(spark, folder):
         spark, path, "bronze", expected=expected).collect()}
     assert rows[1]["rows"] == 2 and rows[1]["exists"] and not rows[1]["h3_r9"]
     assert rows[2]["error"] == "missing partition" and rows[2]["rows"] is None
-    size = Q.layer_size(stored, "bronze").first()
-    assert size["files"] >= 3 and size["bytes"] > 0
-    both = Q.size_reduction(stored, stored.where("year = 2024")).first()
-    assert both["bytes_before"] >= both["bytes_after"]
+    size = Q.layer_size(spark, path, "bronze").first()
+    assert size["files"] == stored.select("_metadata.file_path").distinct().count()
+    both = Q.size_reduction(spark, path, f"{path}/year=2024").first()
+    assert both["bytes_before"] == size["bytes"] > both["bytes_after"] > 0
+
+
+def test_sizes_come_from_the_listing(spark, folder):
+    import os
+
+    path = folder("plain")
+    os.makedirs(f"{path.removeprefix('file:')}/part=1")
+    for name, content in (("part=1/a.csv", b"x" * 70), ("b.csv", b"y" * 30), ("c.csv", b""),
+                          ("_SUCCESS", b"zz")):
+        with open(f"{path.removeprefix('file:')}/{name}", "wb") as f:
+            f.write(content)
+    size = Q.layer_size(spark, path, "raw").first()
+    assert (size["files"], size["bytes"]) == (2, 100)
+    assert Q.size_reduction(spark, path, f"{path}/part=1").first()["reduction_percent"] == 30.0
 
 
 def test_manifest_has_columns_and_errors_per_file(spark, folder):

@@ -95,12 +95,15 @@ def coordinate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Q.coordinate_report(rows, F.col("incident_year")))
 
 
-_QUOTED = " + ".join(
-    f"""CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 2 ELSE strlen({c})
-      + CASE WHEN contains({c}, ',') THEN 2 ELSE 0 END END""" for c in S.RAW_SCHEMA.names)
+def _csv_bytes(columns: list[str]) -> str:
+    """Bytes of a row's CSV line."""
+    return " + ".join(
+        f"""CASE WHEN {c} IS NULL THEN 0 WHEN {c} = '' THEN 2 ELSE strlen({c})
+          + CASE WHEN contains({c}, ',') THEN 2 ELSE 0 END END""" for c in columns
+    ) + f" + {len(columns)}"
 
 
-@query(sql(f"""SELECT count(*) AS rows, CAST(sum({_QUOTED} + {len(S.RAW_SCHEMA.names)}) AS BIGINT) AS bytes
+@query(sql(f"""SELECT count(*) AS rows, CAST(sum({_csv_bytes(S.RAW_SCHEMA.names)}) AS BIGINT) AS bytes
     FROM raw""", "raw"))
 def raw_csv_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the raw CSV files without their header lines, as written."""
@@ -116,9 +119,23 @@ def storage_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes as raw CSV and as bronze parquet."""
     path = scratch_path(spark, "raw-size")
     R.write_raw_by_year(raw_incidents(spark, sf_dir), path)
-    return Q.size_reduction(
-        spark.read.schema(S.RAW_SCHEMA).options(**R.CSV).csv(path), ST.bronze_rows(spark, sf_dir)
-    )
+    return Q.size_reduction(spark, path, ST.bronze_path(spark, sf_dir))
+
+
+_PLACED = ["id", "date", "primary_type", "latitude", "longitude"]
+
+
+@query(sql(f"""SELECT *, {r6('100.0 * (bytes_before - bytes_after) / bytes_before', 'reduction_percent')},
+      100.0 * (bytes_before - bytes_after) / bytes_before BETWEEN 60 AND 80 AS in_documented_range
+    FROM (SELECT CAST(sum({_csv_bytes(S.RAW_SCHEMA.names)}) AS BIGINT) AS bytes_before,
+      CAST(sum({_csv_bytes(_PLACED)}) AS BIGINT) AS bytes_after FROM raw)""", "raw"))
+def storage_reduction_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all raw columns and of five of them, as CSV files without header lines."""
+    rows, paths = raw_incidents(spark, sf_dir), []
+    for columns in (S.RAW_SCHEMA.names, _PLACED):
+        paths.append(scratch_path(spark, "csv-size"))
+        rows.select(*columns).write.options(**{**R.CSV, "header": False}).csv(paths[-1])
+    return rounded(Q.size_reduction(spark, *paths))
 
 
 _CYCLES = " UNION ALL ".join(
