@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from hexlytics import constants as K, schemas as S
-from hexlytics.session import remove_path
+from hexlytics.session import open_writers, remove_path
 from hexlytics.sources.raw import normalize_months
 
 
@@ -17,11 +17,15 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], gather: boo
 
     Gathering collects small partitions into few files and splits a partition that holds much
     of the data over many tasks. It costs a shuffle, so it is left out where rows already lie
-    by partition.
+    by partition. Tasks write without sorting their rows.
     """
-    rows = df.hint("rebalance", *keys) if gather else df
+    with open_writers(df.sparkSession):
+        _overwrite(df.hint("rebalance", *keys) if gather else df, path, keys)
+
+
+def _overwrite(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
 
@@ -31,7 +35,7 @@ def write_clustered(df: DataFrame, path: str, keys: Sequence[str], order: str) -
     of their own, so files and row groups skip by their least and greatest value. Ranges are
     chosen from a sample of the rows, so a large partition is split into many."""
     rows = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
-    write_partitioned(rows, path, keys, gather=False)
+    _overwrite(rows, path, keys)
 
 
 def write_bronze(df: DataFrame, path: str) -> None:

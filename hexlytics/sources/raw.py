@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hexlytics import schemas as S
+from hexlytics.session import open_writers
 
 
 # Quotes are doubled and blanks kept, in both directions.
@@ -144,11 +145,13 @@ def read_monthly_raw(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def write_raw_by_year(df: DataFrame, path: str, year: str = "year") -> None:
-    """Consolidate to one folder per year."""
-    (
-        df.withColumn("file_year", F.col(year)).hint("rebalance", "file_year")
-        .write.mode("overwrite").options(**CSV).partitionBy("file_year").csv(path)
-    )
+    """Consolidate to one folder per year. The rows are wide text, so they are neither shuffled nor
+    sorted: each task has a file of its own in the years it holds."""
+    with open_writers(df.sparkSession):
+        (
+            df.withColumn("file_year", F.col(year))
+            .write.mode("overwrite").options(**CSV).partitionBy("file_year").csv(path)
+        )
 
 
 def normalize_months(months: int | str | Iterable[int]) -> tuple[int, ...]:

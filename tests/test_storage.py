@@ -7,6 +7,7 @@ from hexlytics import schemas as S
 from hexlytics.operators import quality as Q
 from hexlytics.plans.bronze import bronze
 from hexlytics.plans.silver import silver
+from hexlytics.session import open_writers
 from hexlytics.sources import layers as T, raw as R
 
 
@@ -204,3 +205,30 @@ def test_year_and_coordinate_reports(spark):
     report = Q.rows_per_year(df, bronze(df).where("month <> 3"), F.col("year").cast("int"), F.col("year"))
     got = {r["year"]: (r["raw_count"], r["kept_count"], r["drop_percent"]) for r in report.collect()}
     assert got[2023] == (1, 1, 0.0) and got[2024] == (3, 2, pytest.approx(100 / 3))
+
+
+def test_tasks_write_without_sorting_their_rows(spark, folder, monkeypatch):
+    """Plans inside ``open_writers`` have no sort; the writers of layers and raw files use it."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.sql(f"CREATE TABLE written (id long, year int) USING parquet PARTITIONED BY (year) LOCATION '{folder('w')}'")
+    text = "EXPLAIN INSERT INTO written SELECT id, CAST(id % 90 AS INT) FROM range(1000)"
+    try:
+        assert "Sort" in spark.sql(text).first()[0]
+        with pytest.raises(ZeroDivisionError), open_writers(spark):
+            assert "Sort" not in spark.sql(text).first()[0]
+            1 / 0
+        with open_writers(spark):  # more partitions than open files
+            spark.sql("INSERT INTO written SELECT id, CAST(id % 90 AS INT) FROM range(0, 1000, 1, 1)")
+        assert spark.table("written").groupBy("year").count().where("count >= 11").count() == 90
+    finally:
+        spark.sql("DROP TABLE written")
+    assert spark.conf.get(key, None) == before
+
+    seen = []
+    for module in (T, R):
+        monkeypatch.setattr(module, "open_writers", lambda s, m=module: seen.append(m) or open_writers(s))
+    df = raw(spark, *MOMENTS)
+    R.write_raw_by_year(df, folder("raw"))
+    T.write_silver(silver(bronze(df)), folder("silver"))
+    assert seen == [R, T]
