@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -90,24 +92,38 @@ def with_rates(df: DataFrame, alpha: float = K.PRIOR_WEIGHT) -> DataFrame:
 def pooled_counts(daily: DataFrame, pool_k: int = 1) -> DataFrame:
     """Add ``pooled_n``, ``pooled_k``: same-day counts over the cell and its ring.
 
-    Every row sends its counts to the cells of its ring and the receivers add up, which is the
-    same sum because the ring relation is symmetric. One shuffle and no join; a cell-day gets
-    at most one message per ring cell, so no key can be hot.
+    A cell's ring is a run of cells on each of 2k + 1 lattice lines. So every row sends its counts
+    to those lines, not to each cell of its ring, and a line adds up runs: one shuffle and no join.
+    A window partition is one lattice line of one level and day, with that many lines of cells.
     """
     if pool_k < 1:
         none = F.lit(0).cast("bigint")
         return daily.withColumn("pooled_n", none).withColumn("pooled_k", none)
-    own = (F.col("ni") == F.col("i")) & (F.col("nj") == F.col("j"))
+    reach = range(-pool_k, pool_k + 1)
+    sent = daily.where(F.col("n_crimes").isNotNull()).select(
+        "res", "date", "i", "j", "n_crimes", "n_arrests",
+        F.explode(F.array(*[F.lit(a) for a in reach])).alias("_a"),
+    ).select("res", "date", (F.col("i") - F.col("_a")).alias("_line"), "j", "_a", "n_crimes", "n_arrests")
+    line = W.partitionBy("res", "date", "_line").orderBy("j")
+    own = F.col("_a") == 0
+
+    def run(a: int, name: str):
+        frame = line.rangeBetween(max(-pool_k, a - pool_k), min(pool_k, a + pool_k))
+        return F.coalesce(F.sum(F.when(F.col("_a") == a, F.col(name))).over(frame), F.lit(0))
+
+    def most(name: str):
+        return F.max(F.when(own, F.col(name))).over(line.rangeBetween(0, 0)).alias(name)
+
+    # The same cell-day in several rows counts in each sum and gives one row.
+    earlier = F.last(F.when(own, F.col("j")), ignorenulls=True).over(
+        line.rowsBetween(W.unboundedPreceding, -1))
     return (
-        L.ring_cells(daily, "res", "i", "j", pool_k)
-        .groupBy("res", F.col("ni").alias("i"), F.col("nj").alias("j"), "date")
-        .agg(
-            F.max(F.when(own, F.col("n_crimes"))).alias("n_crimes"),
-            F.max(F.when(own, F.col("n_arrests"))).alias("n_arrests"),
-            F.sum("n_crimes").alias("pooled_n"),
-            F.sum("n_arrests").alias("pooled_k"),
-        )
-        .where(F.col("n_crimes").isNotNull())
+        sent.select(
+            "res", F.col("_line").alias("i"), "j", "date", most("n_crimes"), most("n_arrests"),
+            reduce(add, [run(a, "n_crimes") for a in reach]).alias("pooled_n"),
+            reduce(add, [run(a, "n_arrests") for a in reach]).alias("pooled_k"),
+            (own & ~F.coalesce(earlier == F.col("j"), F.lit(False))).alias("_kept"))
+        .where(F.col("_kept") & F.col("i").isNotNull() & F.col("j").isNotNull()).drop("_kept")
     )
 
 

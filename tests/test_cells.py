@@ -139,3 +139,26 @@ def test_drill_map_children_have_their_parent(incidents):
     assert {(r["parent"], r["child"]) for r in pairs.collect()} == expected
     sizes = mapping.groupBy("parent").count().agg(F.max("count")).first()[0]
     assert sizes <= 7
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_pooling_sends_each_row_to_lattice_lines(spark, k):
+    """2k + 1 messages a row, with repeated and null keys, against sums over all pairs."""
+    rng = random.Random(k)
+    rows = [(res, rng.randrange(-6, 6), rng.randrange(-6, 6), rng.choice([D(2023, 1, 1), D(2023, 1, 2), None]),
+             rng.randrange(1, 9), rng.randrange(3)) for res in (9, 10) for _ in range(60)]
+    rows += [(9, None, 1, D(2023, 1, 1), 5, 1), (9, 1, None, D(2023, 1, 1), 5, 1), rows[0], rows[1]]
+    daily = spark.createDataFrame(rows, "res int, i bigint, j bigint, date date, n_crimes bigint, n_arrests bigint")
+    known = [r for r in rows if r[1] is not None and r[2] is not None]
+    expected = {}
+    for res, i, j, date, *_ in known:
+        near = [r for r in known if (r[0], r[3]) == (res, date)
+                and max(abs(r[1] - i), abs(r[2] - j), abs((r[1] - i) - (r[2] - j))) <= k]
+        mine = [r for r in near if (r[1], r[2]) == (i, j)]
+        expected[res, i, j, date] = (max(r[4] for r in mine), max(r[5] for r in mine),
+                                     sum(r[4] for r in near), sum(r[5] for r in near))
+    pooled = C.pooled_counts(daily, k)
+    got = pooled.select("res", "i", "j", "date", "n_crimes", "n_arrests", "pooled_n", "pooled_k").collect()
+    assert len(got) == len(expected) and {tuple(r)[:4]: tuple(r)[4:] for r in got} == expected
+    text = pooled._jdf.queryExecution().optimizedPlan().toString()
+    assert f"explode([{','.join(map(str, range(-k, k + 1)))}])" in text.replace(" ", "")
