@@ -121,3 +121,20 @@ def test_listing_reads_no_contents(spark, folder):
     add(raw(spark, *MOMENTS), inbox)
     plan = M.listing(spark, [inbox])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<>" in plan
+
+
+def test_landed_rows_stay_where_they_lie(spark, folder):
+    """The manifest goes to the rows: no shuffle between landing and bronze."""
+    inbox, store = folder("inbox"), Store(folder("store"))
+    add(raw(spark, *MOMENTS), inbox)
+    I.load(spark, inbox, store)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (M.counting_rows(spark, store), M.landed(spark, store)):
+            text = rows._jdf.queryExecution().executedPlan().toString()
+            above = text.split("FileScan")[0]
+            assert "BroadcastHashJoin" in above and "Exchange" not in above
+            assert rows.count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
