@@ -187,6 +187,27 @@ def test_concordance_by_bits(spark, shape):
     assert signed_pairs(df) == brute(rows)
 
 
+@pytest.mark.parametrize("shape", ["even", "hot both", "heavy"])
+def test_concordance_of_a_reduced_table(spark, shape):
+    rng = random.Random(29)
+    cells = {(rng.randrange(40), rng.randrange(60)) for _ in range(500)}
+    if shape == "hot both":
+        cells |= {(20, y) for y in range(-60, 60)} | {(x, 30) for x in range(-60, 60)}
+    most = 1 << 31 if shape == "heavy" else 4  # heavy: products beyond 64 bits
+    rows = [(float(x), float(y), rng.randrange(1, most)) for x, y in cells]
+    df = spark.createDataFrame(rows, "x double, y double, weight long")
+    assert signed_pairs(df, 60) == brute(rows)
+
+
+def test_a_large_concordance_multiplies_rows_inside_tasks_only(spark):
+    rows = spark.range(1000).selectExpr("id as first", "999 - id as second", "1L as weight")
+    within = C.within_parts(rows, "first", F.col("second"), 6, 4, "bigint")
+    plan = within._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange hash") == 1
+    assert plan.index("Generate") < plan.index("Exchange hash")
+    assert within.first()["s"] == -(15 * 64 * 63 + 40 * 39) // 2
+
+
 def test_concordance_stays_in_the_jvm_and_its_tasks_are_slices(spark):
     df = spark.range(1000).selectExpr("double(id) as x", "double(id % 37) as y", "1L as weight")
     cut = C.halves(C.placed(df), 10)
