@@ -121,3 +121,12 @@ def test_incidents_keep_all_rows(spark):
     assert len(got) == len(flat) == 500
     sizes = got[got.cluster != -1].groupby("cluster").size()
     assert (sizes >= 30).all() and len(sizes) >= 2
+
+
+def test_rounds_do_not_multiply_the_planned_size(spark):
+    """Each join's estimate is a product; kept over the rounds, its digits would fill the driver."""
+    rng = random.Random(3)
+    rows = [(i, j, rng.randrange(1, 90)) for i in range(18) for j in range(18)]
+    labelled = H.density_clusters(spark.createDataFrame(rows, "i bigint, j bigint, n bigint"), prominence=1.5)
+    size = labelled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 1 << 1000 and labelled.count() == len(rows)
