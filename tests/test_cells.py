@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hexlytics.functions import lattice as L
 from hexlytics.operators import cells as C
-from hexlytics.plans.gold import gold_daily, gold_monthly, gold_rolling
+from hexlytics.plans.gold import gold_daily, gold_monthly, gold_rolling, rolled_across
+from hexlytics.plans.refresh import cells_by_month
 from hexlytics.session import scratch_path
 
 D = dt.date
@@ -162,3 +163,36 @@ def test_pooling_sends_each_row_to_lattice_lines(spark, k):
     assert len(got) == len(expected) and {tuple(r)[:4]: tuple(r)[4:] for r in got} == expected
     text = pooled._jdf.queryExecution().optimizedPlan().toString()
     assert f"explode([{','.join(map(str, range(-k, k + 1)))}])" in text.replace(" ", "")
+
+
+def test_pooling_multiplies_rows_after_the_shuffle(spark):
+    daily = spark.createDataFrame(
+        [(9, i, i % 7, D(2023, 1, 1), 1, 0) for i in range(-40, 40)],
+        "res int, i bigint, j bigint, date date, n_crimes bigint, n_arrests bigint")
+    text = C.pooled_counts(daily)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.replace(" ", "").index("explode([-1,0,1])") < text.replace(
+        " ", "").index("Exchangehashpartitioning(res")
+
+
+def test_layers_that_follow_from_earlier_ones(incidents):
+    """Sums over month ends from the table with sums inside months, the drill map's pairs from months."""
+    kept = ["cell", "date", "n_crimes", "n_arrests", "unique_streets", "top_crime_type", "arrest_rate",
+            "rolling_n_7", "rolling_n_14", "rolling_n_30", "res", "year", "month"]
+    rows = lambda df: Counter(tuple(r) for r in df.select(*kept).collect())
+    assert rows(rolled_across(gold_rolling(incidents))) == rows(gold_rolling(incidents, across_months=True))
+    monthly = gold_monthly(gold_daily(incidents)).localCheckpoint()
+    pairs = cells_by_month(monthly)
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+    assert {tuple(r) for r in pairs.select("child_res", "parent_res", "parent", "child").collect()} == {
+        tuple(r) for r in C.drill_map(C.daily_levels(incidents)).collect()}
+
+
+def test_daily_gold_counts_its_cells_once(incidents):
+    """Pooling and priors read one exchange of the counts of all levels."""
+    gold = gold_daily(incidents)
+    run = gold._jdf.queryExecution().executedPlan()
+    run.executeCollect()
+    text = run.toString().split("== Initial Plan ==")[0]
+    assert len([x for x in text.splitlines() if "Exchange hashpartitioning(res" in x and ", j#" in x
+                and "ReusedExchange" not in x]) == 1
